@@ -56,3 +56,18 @@ def in_chunks(rows: Iterable, weight, limit: int) -> Iterator[list]:
             held, total = [], 0
     if held:
         yield held
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared folder, and let go of the shuffles behind it."""
+    import gc
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
