@@ -6,7 +6,8 @@ uses confirmed toxic documents and unlabelled texts only: a linear numpy classif
     prior * R_positive(+1) + max(0, R_unlabelled(-1) - prior * R_positive(-1))
 
 by full-batch gradient steps; where the bracket is negative the step goes against it, as the non-negative estimator asks.
-Its logistic output estimates the chance that a text is toxic.
+Its logistic output estimates the chance that a text is toxic. The class prior is the toxic share of the labelled rows, or less
+if the strongest features are rarer in the unlabelled texts than that share implies.
 
 Training is bounded: ``POSITIVES`` toxic documents and ``UNLABELLED`` texts in hash order, ``FEATURES`` features kept for how
 far their share among the positives exceeds that among the unlabelled, beyond what chance would give (``LEAST_Z``). Scoring covers every whole text.
@@ -35,6 +36,7 @@ FEATURES = 512
 LEAST_TEXTS = 5
 LEAST_RATIO = 2.0
 LEAST_Z = 5.0
+PRIOR_FEATURES = 20
 PREFIXES = (3, 4, 5, 6)
 WORDS_KEPT = 500_000
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -148,7 +150,11 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, labelled: int, unlabelled_ids: Da
         .orderBy((share_p * F.log(share_p / share_u)).desc(), "feature")
         .limit(FEATURES)
     )
-    features = {r["feature"]: i for i, r in enumerate(ranked.collect())}
+    best = ranked.collect()
+    features = {r["feature"]: i for i, r in enumerate(best)}
+    if best:  # features that only toxic texts hold are in the unlabelled texts in proportion to the class prior
+        shares = [(r["unlabelled"] / size[0]) / (r["positive"] / size[1]) for r in best[:PRIOR_FEATURES]]
+        prior = min(prior, max(0.005, float(np.median(shares))))
     rows = sample.mapInArrow(_presence(spark.sparkContext.broadcast(features)), "positive int, present array<int>").collect()
     rows.sort(key=lambda r: (r["positive"], r["present"]))
     x = np.zeros((len(rows), len(features)), np.float32)
