@@ -31,6 +31,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
             sources.alias("sources"),
             F.round(F.col("value") * 100).cast("bigint").alias("total_ms"),
             F.when(F.col("k") % 10 != 0, F.col("k")).cast("bigint").alias("router_ms"),
+            F.lit(None).cast("bigint").alias("generation_ms"),
             ((kind == "error") & (F.col("k") < 30)).alias("timed_out"),
             F.when((kind == "error") & (F.col("k") >= 30), F.concat(F.lit("failure "), F.col("k").cast("string"))).alias("error"),
             (F.col("k") % 7 == 0).alias("reranker_fallback"),
@@ -50,3 +51,44 @@ metrics AS (
     (k % 7 = 0) AS reranker_fallback
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 )"""
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a conversation: title from its first turn, update order from its longest text."""
+    talk = table(spark, sf_dir, "conversations")
+    return talk.groupBy(F.col("conv_id").alias("chat_id")).agg(
+        F.substring(F.min_by("text", "turn"), 1, 40).alias("title"),
+        F.sum(F.length("text")).alias("updated_seq"),
+        F.count(F.lit(1)).alias("messages"),
+    ).withColumn("pinned", F.col("chat_id") % 9 == 0)
+
+
+CHATS_SQL = """
+chats AS (SELECT conv_id AS chat_id, substr(arg_min(text, turn), 1, 40) AS title, CAST(sum(length(text)) AS BIGINT) AS updated_seq,
+  count(*) AS messages, conv_id % 9 = 0 AS pinned FROM conversations GROUP BY conv_id)"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+
+
+MESSAGES_SQL = "messages AS (SELECT conv_id AS chat_id, turn AS seq, role, text AS content FROM conversations)"
+
+
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores from ``labels`` and ``documents``; NaN where the id is divisible by 11."""
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    score = F.when(F.col("doc_id") % 11 == 0, F.lit(float("nan"))).otherwise((F.col("quality") * 500 + F.col("n_chars") % 500) / 1000.0)
+    return joined.select(
+        F.col("doc_id").alias("id"),
+        (F.col("doc_id") * 2).alias("metrics_id"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("question "), F.col("doc_id").cast("string"))).alias("query"),
+        score.alias("faithfulness"),
+        ((F.col("n_chars") % 997) / 997.0).alias("answer_relevancy"),
+    )
+
+
+EVALS_SQL = """
+evals AS (SELECT l.doc_id AS id, l.doc_id * 2 AS metrics_id, CASE WHEN l.doc_id % 3 = 0 THEN 'question ' || l.doc_id END AS query,
+  CASE WHEN l.doc_id % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE (quality * 500 + n_chars % 500) / CAST(1000 AS DOUBLE) END AS faithfulness,
+  (n_chars % 997) / CAST(997 AS DOUBLE) AS answer_relevancy FROM labels l JOIN documents d USING (doc_id))"""
