@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import telemetry
+from . import telemetry, texts
 
-_TOPICS = (telemetry,)
+_TOPICS = (telemetry, texts)
 
 
 def queries() -> dict:
