@@ -18,17 +18,23 @@ def _normal(url: str | None) -> str | None:
     return urlunsplit((u.scheme.lower(), u.netloc.lower(), path, urlencode(sorted(pairs, key=lambda p: (p[0], str(p[1])))), ""))
 
 
-@F.pandas_udf("string")
-def normalize_url(s: pd.Series) -> pd.Series:
-    """Lower-case scheme and host, no trailing slash but the root's, sorted query, no fragment."""
+def _normal_series(s: pd.Series) -> pd.Series:
     return s.map(_normal)
 
 
-@F.pandas_udf("string")
-def url_join(base: pd.Series, href: pd.Series) -> pd.Series:
+def normalize_url(c: Column | str) -> Column:
+    """Lower-case scheme and host, no trailing slash but the root's, sorted query, no fragment."""
+    return F.pandas_udf(_normal_series, "string")(c)
+
+
+def _join_series(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base, href, strict=True)])
 
 
+def url_join(base: Column | str, href: Column | str) -> Column:
+    return F.pandas_udf(_join_series, "string")(base, href)
+
+
 def crawl_key(c: Column | str) -> Column:
     """Without query, fragment and trailing slashes."""
     return F.regexp_replace(F.regexp_replace(c if isinstance(c, Column) else F.col(c), "[?#].*$", ""), "/+$", "")
