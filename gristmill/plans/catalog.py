@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import telemetry, texts
+from . import stores, telemetry, texts
 
-_TOPICS = (telemetry, texts)
+_TOPICS = (telemetry, texts, stores)
 
 
 def queries() -> dict:
