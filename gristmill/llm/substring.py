@@ -30,7 +30,7 @@ from .common import in_chunks, small_batches, written
 
 WINDOW = 20
 GRAM = 5
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -101,13 +101,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = [words_of(t) for b in group for t in b.column(1).to_pylist()]
         h, doc, start, n = anchors([len(w) for w in split], np.concatenate([word_hashes(w) for w in split]))
         order = np.argsort(h, kind="stable")
-        h, doc, start, n = h[order], doc[order], start[order], n[order]
-        first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        last = np.concatenate((first[1:], [True])) if len(h) else first
-        kind = np.where(first, np.where(last, 1, 2), 0)
+        new = h[order][1:] != h[order][:-1]
+        first, last = np.append(True, new), np.append(new, True)
+        kind = np.zeros(len(h), np.int8)
+        kind[order] = np.where(first, np.where(last, 1, 2), 0)[: len(h)]
         key = h.view(np.int64).copy()
         key[kind == 0] = gram_hashes(h + start.astype(np.uint64) * _MIX + ids[doc].astype(np.uint64), 1).view(np.int64)[kind == 0]
-        yield from _slices(_table({"key": key, "kind": kind.astype(np.int8), "doc_id": ids[doc], "start": start.astype(np.int32), "n": n.astype(np.int32)}))
+        yield from _slices(_table({"key": key, "kind": kind, "doc_id": ids[doc], "start": start.astype(np.int32), "n": n.astype(np.int32)}))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -148,36 +148,33 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that can repeat. Kind 1: earliest in this chunk; kind 0: runs whose reference is in this chunk."""
     for group in in_chunks(batches, lambda b: b.nbytes // 7 + 1, CHUNK_WORDS):
         hs, docs, starts = [], [], []
-        for batch in group:
-            for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                mask = _spans_to_mask([s["start"] for s in spans], [s["n"] for s in spans], max(0, len(words) - WINDOW + 1))
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    hs.append(gram_hashes(word_hashes(words[a : b + WINDOW - 1]), WINDOW))
-                    docs.append(np.full(b - a, doc_id))
-                    starts.append(np.arange(a, b))
+        rows = sorted((row for b in group for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda row: row[0])
+        for doc_id, text, spans in rows:
+            words = words_of(text)
+            mask = _spans_to_mask([s["start"] for s in spans], [s["n"] for s in spans], max(0, len(words) - WINDOW + 1))
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                hs.append(gram_hashes(word_hashes(words[a : b + WINDOW - 1]), WINDOW))
+                docs.append(np.full(b - a, doc_id))
+                starts.append(np.arange(a, b))
         if not hs:
             continue
         h, doc, start = np.concatenate(hs), np.concatenate(docs), np.concatenate(starts)
-        order = np.lexsort((start, doc, h))
-        h, doc, start = h[order], doc[order], start[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        one = np.ones(int(first.sum()), np.int32)
-        zero = np.zeros(len(one), np.int64)
-        yield from _slices(_table({"key": h[first].view(np.int64), "kind": one.astype(np.int8), "doc_id": doc[first], "start": start[first].astype(np.int32), "n": one, "ref_id": zero, "ref_start": zero.astype(np.int32)}))
-        rest = ~first
-        yield from _slices(_runs(doc[rest], start[rest], doc[lead[rest]], start[lead[rest]], True))
-
-
-def _runs(doc: np.ndarray, start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, routed: bool, n: np.ndarray | None = None) -> pa.RecordBatch:
-    """Windows with references merged where both go on by one."""
-    order = np.lexsort((start, doc))
-    doc, start, ref, ref_start = doc[order], start[order], ref[order], ref_start[order]
-    n = np.ones(len(doc), np.int64) if n is None else n[order].astype(np.int64)
+        order = np.argsort(h, kind="stable")  # equal windows stay in order of id and start
+        first = np.append(True, h[order][1:] != h[order][:-1])
+        lead = np.empty(len(h), np.int64)
+        lead[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        own = lead == np.arange(len(h))
+        one, zero = np.ones(int(own.sum()), np.int32), np.zeros(int(own.sum()), np.int32)
+        yield from _slices(_table({"key": h[own].view(np.int64), "kind": one.astype(np.int8), "doc_id": doc[own], "start": start[own].astype(np.int32), "n": one, "ref_id": zero.astype(np.int64), "ref_start": zero}))
+        rest, lead = ~own, lead[~own]
+        yield from _slices(_runs(doc[rest], start[rest], doc[lead], start[lead], np.ones(len(lead), np.int64), True))
+
+
+def _runs(doc: np.ndarray, start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, n: np.ndarray, routed: bool) -> pa.RecordBatch:
+    """Rows in order of id and start merged where window and reference both go on by one."""
     on = (doc[1:] == doc[:-1]) & (ref[1:] == ref[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (ref_start[1:] == ref_start[:-1] + n[:-1])
-    new = np.flatnonzero(np.concatenate(([True], ~on))) if len(doc) else np.zeros(0, np.int64)
+    new = np.flatnonzero(np.append(True, ~on)) if len(doc) else np.zeros(0, np.int64)
     total = np.add.reduceat(n, new) if len(doc) else n
     own = {"doc_id": doc[new], "start": start[new].astype(np.int32), "n": total.astype(np.int32), "ref_id": ref[new], "ref_start": ref_start[new].astype(np.int32)}
     if not routed:
@@ -192,20 +189,20 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = {name: t[name].to_numpy() for name in t.column_names}
         settled = c["kind"] == 0
         yield _table({name: c[name][settled] for name in ("doc_id", "start", "n", "ref_id", "ref_start")})
-        key, doc, start = (c[name][~settled] for name in ("key", "doc_id", "start"))
-        order = np.lexsort((start, doc, key))
-        key, doc, start = key[order], doc[order], start[order]
+        key, doc, start, n = (c[name][~settled] for name in ("key", "doc_id", "start", "n"))
         if len(key):
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            later = (doc != doc[lead]) | (start != start[lead])
-            yield _runs(doc[later], start[later], doc[lead[later]], start[lead[later]], False)
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(new, len(key)))
+            ref = np.repeat(np.minimum.reduceat(doc, new), size)
+            ref_start = np.repeat(np.minimum.reduceat(np.where(doc == ref, start, np.iinfo(np.int32).max), new), size)
+            later = (doc != ref) | (start != ref_start)
+            yield _table({"doc_id": doc[later], "start": start[later], "n": n[later], "ref_id": ref[later], "ref_start": ref_start[later].astype(np.int32)})
 
 
 def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            yield _runs(*(b.column(i).to_numpy() for i in (0, 1, 3, 4)), False, b.column(2).to_numpy())
+            yield _runs(*(b.column(i).to_numpy().astype(np.int64) for i in (0, 1, 3, 4, 2)), False)
 
 
 _RUN = "doc_id bigint, start int, n int, ref_id bigint, ref_start int"
@@ -254,22 +251,24 @@ class SuffixAutomaton:
         last = 0
         for w in words:
             there = nxt[last].get(w)
-            if there is not None and length[there] == length[last] + 1:
-                last = there
-                continue
             if there is not None:
-                last = self._clone(last, w, there)
+                last = there if length[there] == length[last] + 1 else self._clone(last, w, there)
                 continue
             new = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
-            link.append(0)
             p = last
-            while p != -1 and w not in nxt[p]:
-                nxt[p][w] = new
+            while p >= 0:
+                out = nxt[p]
+                if w in out:
+                    break
+                out[w] = new
                 p = link[p]
-            if p != -1:
-                q = nxt[p][w]
+            if p < 0:
+                link.append(0)
+            else:
+                q = out[w]
+                link.append(0)
                 link[new] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
             last = new
 
