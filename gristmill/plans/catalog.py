@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import stores, telemetry, texts
+from . import retrieval, stores, telemetry, texts
 
-_TOPICS = (telemetry, texts, stores)
+_TOPICS = (telemetry, texts, stores, retrieval)
 
 
 def queries() -> dict:
