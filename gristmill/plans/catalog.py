@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, stores, telemetry, texts
+from . import chat, retrieval, stores, telemetry, texts
 
-_TOPICS = (telemetry, texts, stores, retrieval)
+_TOPICS = (telemetry, texts, stores, retrieval, chat)
 
 
 def queries() -> dict:
