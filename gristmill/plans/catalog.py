@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, retrieval, stores, telemetry, texts
+from . import chat, reminders, retrieval, stores, telemetry, texts
 
-_TOPICS = (telemetry, texts, stores, retrieval, chat)
+_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders)
 
 
 def queries() -> dict:
