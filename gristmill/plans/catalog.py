@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, reminders, retrieval, stores, telemetry, texts
+from . import chat, corpus, reminders, retrieval, stores, telemetry, texts
 
-_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders)
+_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus)
 
 
 def queries() -> dict:
