@@ -11,9 +11,11 @@ rows are encoded alike; columns other than the named ones are passed through or
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-PIECES_KEPT = 1_500_000
+PIECES_KEPT = 1_200_000
+AT_ONCE = 4096
 _CUT = re.compile(r" (?=[^\s\x85\xa0\x1c-\x1f])")
 _WIDE = re.compile(r" [\s\x85\xa0\x1c-\x1f]| $")
 
@@ -54,8 +57,49 @@ def tokenizer_from_ranks(ranks: dict[bytes, int]):
     return made
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The byte string of every id of a vocabulary file; empty for ids that it doesn't use."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        back = {c: b for b, c in enumerate(byte_characters())}
+        tokens = {i: bytes(back[c] for c in t) for t, i in whole["model"]["vocab"].items() if all(c in back for c in t)}
+        tokens |= {t["id"]: t["content"].encode() for t in whole.get("added_tokens", [])}
+    else:
+        tokens = {i: t for t, i in load_ranks(path).items()}
+    return [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+
+
+class Decoder:
+    """One vocabulary's byte strings in one worker process."""
+
+    _loaded: dict[str, Decoder] = {}
+
+    def __init__(self, path: str):
+        self.bytes_of = token_bytes(path)
+        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+
+    @classmethod
+    def load(cls, path: str) -> Decoder:
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """Bytes of an id sequence; characters that tokens split come together again."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+    def offsets(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each token in code points; a token that begins or ends inside a character covers the whole of it."""
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
+        leads = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        inside = np.concatenate(((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, [False]))
+        return leads[starts] - inside[starts], leads[ends]
+
+
 class Codec:
-    """One vocabulary in one worker process: encoder with its table of pieces, and the byte string of every id."""
+    """One vocabulary's encoder in one worker process, with its table of pieces."""
 
     _loaded: dict[str, Codec] = {}
 
@@ -63,20 +107,10 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if path.endswith(".json"):
-            self.tokenizer = Tokenizer.from_file(path)
-            back = {c: b for b, c in enumerate(byte_characters())}
-            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-            tokens = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
-        else:
-            ranks = load_ranks(path)
-            self.tokenizer = tokenizer_from_ranks(ranks)
-            tokens = {i: t for t, i in ranks.items()}
+        self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else tokenizer_from_ranks(load_ranks(path))
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.bytes_of = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
-        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
@@ -93,47 +127,38 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers.
 
-        A text's first piece has no space before it and is kept under a leading NUL; texts whose later pieces start with NUL
-        themselves bypass the table.
+        A text's first piece has no space before it and is kept under a leading NUL; texts that hold a NUL bypass the table.
         """
         table = self.pieces
-        if len(table) > PIECES_KEPT:
-            table.clear()
         split = []
         new: dict[str, None] = {}
         for text in texts:
             first, *rest = self.cut(text)
             first = "\0" + first
-            split.append((first, rest))
+            split.append((first, rest, "\0" in text))
             if first not in table:
                 new[first] = None
-            new.update(dict.fromkeys(p for p in rest if p not in table))
+            new.update(dict.fromkeys(set(rest).difference(table)))
+        if len(table) > PIECES_KEPT:  # start again from what these texts use
+            table = self.pieces = {p: table[p] for first, rest, _ in split for p in (first, *rest) if p in table}
         if new:
-            real = [p[1:] if p[:1] == "\0" else " " + p for p in new]
-            for key, e in zip(new, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
-                table[key] = np.array(e.ids, "<u4").tobytes()
+            keys = list(new)
+            for i in range(0, len(keys), AT_ONCE):
+                own = keys[i : i + AT_ONCE]
+                real = [p[1:] if p[:1] == "\0" else " " + p for p in own]
+                for key, e in zip(own, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
+                    ids = e.ids
+                    table[key] = pack(f"<{len(ids)}I", *ids)
         find = table.__getitem__
         return [
-            self._apart(first[1:], rest) if any(p[:1] == "\0" for p in rest) else find(first) + b"".join(map(find, rest))
-            for first, rest in split
+            self._apart(first[1:], rest) if odd else find(first) + b"".join(map(find, rest))
+            for first, rest, odd in split
         ]
 
     def _apart(self, first: str, rest: list[str]) -> bytes:
         parts = [first, *(" " + p for p in rest)]
         return b"".join(np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """Bytes of an id sequence; characters that tokens split come together again."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
-    def offsets(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each token in code points; a token that begins or ends inside a character covers the whole of it."""
-        ends = np.cumsum(self.lengths[ids])
-        starts = ends - self.lengths[ids]
-        leads = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-        inside = np.concatenate(((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, [False]))
-        return leads[starts] - inside[starts], leads[ends]
-
 
 def id_array(raw: list[bytes]) -> pa.Array:
     """Lists of ids from their bytes, without a copy into Python integers."""
@@ -163,7 +188,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
             raw = codec.encode(texts)
             columns = [id_array([r + tail for r in raw] if tail else raw)]
             if offsets:
-                spans = [codec.offsets(np.frombuffer(r, "<u4"), t.encode()) for r, t in zip(raw, texts, strict=True)]
+                spans = [Decoder.load(vocabulary).offsets(np.frombuffer(r, "<u4"), t.encode()) for r, t in zip(raw, texts, strict=True)]
                 columns += [pa.array([s[i] for s in spans], pa.list_(pa.int32())) for i in (0, 1)]
             if running:
                 ends = before + columns[0].offsets.to_numpy().astype(np.int64)
@@ -182,7 +207,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", keep: list[str]
     slim = tokens.select(*kept, tokens[ids].alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.load(vocabulary)
+        codec = Decoder.load(vocabulary)
         for batch in batches:
             lists = batch.column(len(kept))
             values = lists.values.to_numpy(zero_copy_only=False)
