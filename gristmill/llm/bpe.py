@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-PIECES_KEPT = 1_200_000
+PIECES_KEPT = 200_000
 AT_ONCE = 4096
 _CUT = re.compile(r" (?=[^\s\x85\xa0\x1c-\x1f])")
 _WIDE = re.compile(r" [\s\x85\xa0\x1c-\x1f]| $")
