@@ -103,7 +103,7 @@ class Codec:
 
     _loaded: dict[str, Codec] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces_kept: int = PIECES_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,11 +112,13 @@ class Codec:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.pieces: dict[str, bytes] = {}
+        self.pieces_kept = pieces_kept
 
     @classmethod
-    def load(cls, path: str) -> Codec:
+    def load(cls, path: str, pieces_kept: int = PIECES_KEPT) -> Codec:
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
+        cls._loaded[path].pieces_kept = pieces_kept
         return cls._loaded[path]
 
     @staticmethod
@@ -139,7 +141,7 @@ class Codec:
             if first not in table:
                 new[first] = None
             new.update(dict.fromkeys(set(rest).difference(table)))
-        if len(table) > PIECES_KEPT:  # start again from what these texts use
+        if len(table) > self.pieces_kept:  # start again from what these texts use
             table = self.pieces = {p: table[p] for first, rest, _ in split for p in (first, *rest) if p in table}
         if new:
             keys = list(new)
@@ -168,11 +170,12 @@ def id_array(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids", append: int | None = None, offsets: bool = False, running: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids", append: int | None = None, offsets: bool = False, running: str | None = None, pieces_kept: int = PIECES_KEPT) -> DataFrame:
     """``keep`` columns (all but the text by default) with the token ids of each text; ``append`` adds that id at the end.
 
     ``offsets`` adds ``<ids>_start`` and ``<ids>_end``, each token's code-point span in the text (not with ``append``).
     ``running`` adds the number of ids in the rows before this one in its partition.
+    ``pieces_kept`` bounds each worker's table of pieces: a larger one spares time and takes about 160 bytes a piece.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text] if keep is None else keep
@@ -182,7 +185,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     slim = docs.select(*kept, docs[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, before = Codec.load(vocabulary), 0
+        codec, before = Codec.load(vocabulary, pieces_kept), 0
         for batch in batches:
             texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
             raw = codec.encode(texts)

@@ -24,6 +24,7 @@ from .common import small_batches
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
+PIECES_KEPT = 1_200_000
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
@@ -32,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
     Columns: part (the file's number), doc_id, at (ids before it in its file), n_tokens, ids.
     """
     dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    encoded = bpe.encode(dealt, vocabulary, keep=["doc_id"], append=end_id, running="at")
+    encoded = bpe.encode(dealt, vocabulary, keep=["doc_id"], append=end_id, running="at", pieces_kept=PIECES_KEPT)
     rows = encoded.select(F.spark_partition_id().alias("part"), "doc_id", "at", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
     options = {
         "compression": "zstd",
