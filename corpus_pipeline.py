@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, decontaminate, pii, simhash, toxicity
+from gristmill.llm import bpe, decontaminate, near_copies, pii, toxicity
 from gristmill.llm.common import shared_dir, table
 
 TOXIC_FROM = 0.3
@@ -32,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
