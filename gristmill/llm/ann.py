@@ -9,7 +9,7 @@ scores all codes; the best ``DEPTH`` and whatever lies within twice the quantise
 vectors in double precision, and the tile's best k go to the final ranking.
 
 Defined cases: vectors that are null, of another length than most, all zero or hold a null or non-finite component take no
-part; ties go to the smaller id; of identical vectors the k + 1 smallest ids are kept as candidates, which no result can tell
+part; ties go to the smaller id; of identical vectors the k + 1 smallest different ids are kept as candidates, which no result can tell
 from keeping all; fewer candidates than k give fewer rows; repeated ids count as the query's own row; extra columns are not read.
 """
 
@@ -192,9 +192,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for every row of ``queries``, itself left out."""
     spark = vectors.sparkSession
     copies = Window.partitionBy("v").orderBy("vec_id")
-    rows = usable(vectors, vec_id, embedding).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
+    numbered = usable(vectors, vec_id, embedding).select("*", F.dense_rank().over(copies).alias("copy"), F.lag("vec_id").over(copies).alias("before"))
+    rows = numbered.filter((F.col("copy") <= k + 1) & ~F.col("vec_id").eqNullSafe(F.col("before"))).drop("copy", "before")
     rows = checkpointed(rows)
-    asked = usable(queries, vec_id, embedding)
+    asked = usable(queries, vec_id, embedding).dropDuplicates()
     total = rows.count()
     schema = "query_id bigint, vec_id bigint, score double"
     if not total:

@@ -58,3 +58,12 @@ def test_recall(spark, spread, monkeypatch):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = brute(rows, range(0, 3000, 50))
     assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def test_repeated_rows_do_not_displace_other_ids(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, f32(rng.normal(size=8))) for i in range(100)]
+    same = f32(rng.normal(size=8))
+    rows += [(150, same)] * 9 + [(200 + i, same) for i in range(1, 8)]
+    got, want = run(spark, tmp_path, rows), brute(rows, [0, 50, 150])
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
