@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A text is cut before every single space that a non-space follows: no match of the split pattern reaches across such a cut, so
-the pieces between cuts encode independently. Each task keeps a bounded table of the pieces it has met; the library encodes
-only pieces that are new, and a text's ids are the concatenation of its pieces' ids.
+the pieces between cuts encode independently. Each task keeps a bounded table of the pieces it met lately; the library encodes
+only pieces (or their runs of letters and marks) that are new, and a text's ids are the concatenation of its pieces' ids.
 
-Defined cases: null reads as empty text; an empty text has no tokens; lone surrogates can't occur in Spark strings; repeated
-rows are encoded alike; columns other than the named ones are passed through or not read.
+Decoding turns each id's characters back into bytes by the reversed table and joins them, so characters that tokens split come
+together again.
+
+Defined cases: null reads as empty text; an empty text has no tokens; an empty table gives an empty result; a text of any length
+is encoded whole; lone surrogates can't occur in Spark strings; repeated rows are encoded alike; of equally ranked merges the
+leftmost goes first; columns other than the named ones are passed through or not read.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import in_chunks, small_batches
 
-PIECES_KEPT = 200_000
+PIECES_KEPT = 150_000
 AT_ONCE = 4096
+TEXT_AT_ONCE = 1 << 21
 _CUT = re.compile(r" (?=[^\s\x85\xa0\x1c-\x1f])")
 _WIDE = re.compile(r" [\s\x85\xa0\x1c-\x1f]| $")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_RUN = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|\n")
 
 
 def byte_characters() -> list[str]:
@@ -37,6 +44,9 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+_SHOWN = dict(enumerate(byte_characters()))
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -46,8 +56,7 @@ def tokenizer_from_ranks(ranks: dict[bytes, int]):
     """A tokenizers model equal to merging by token rank: every split of a token into two tokens is a merge, ordered by the token's rank."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    shown = byte_characters()
-    name = {k: "".join(shown[b] for b in k) for k in ranks}
+    name = {k: shown_bytes(k) for k in ranks}
     merges = []
     for token in sorted(ranks, key=ranks.get):
         splits = [(max(ranks[a], ranks[b]), name[a], name[b]) for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
@@ -57,16 +66,24 @@ def tokenizer_from_ranks(ranks: dict[bytes, int]):
     return made
 
 
-def token_bytes(path: str) -> list[bytes]:
-    """The byte string of every id of a vocabulary file; empty for ids that it doesn't use."""
+def token_characters(path: str) -> dict[int, str]:
+    """The printable form of every id of a vocabulary file: one character for each byte."""
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
-        back = {c: b for b, c in enumerate(byte_characters())}
-        tokens = {i: bytes(back[c] for c in t) for t, i in whole["model"]["vocab"].items() if all(c in back for c in t)}
-        tokens |= {t["id"]: t["content"].encode() for t in whole.get("added_tokens", [])}
-    else:
-        tokens = {i: t for t, i in load_ranks(path).items()}
+        found = {i: t for t, i in whole["model"]["vocab"].items()}
+        return found | {t["id"]: shown_bytes(t["content"].encode()) for t in whole.get("added_tokens", [])}
+    return {i: shown_bytes(t) for t, i in load_ranks(path).items()}
+
+
+def shown_bytes(raw: bytes) -> str:
+    return raw.decode("latin-1").translate(_SHOWN)
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The byte string of every id, by the byte table reversed; empty for ids that the file doesn't use."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    tokens = {i: bytes(map(back.__getitem__, t)) for i, t in token_characters(path).items() if all(c in back for c in t)}
     return [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
 
 
@@ -99,7 +116,11 @@ class Decoder:
 
 
 class Codec:
-    """One vocabulary's encoder in one worker process, with its table of pieces."""
+    """One vocabulary's encoder in one worker process, with its table of pieces.
+
+    The table has two generations of at most ``pieces_kept`` pieces each: a piece that is met moves to the younger one, and when
+    that is full the older one, which holds what was not met since the last turn, is let go.
+    """
 
     _loaded: dict[str, Codec] = {}
 
@@ -111,7 +132,11 @@ class Codec:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces: dict[str, bytes] = {}
+        #: The model by itself, where nothing but the byte-level split stands before it.
+        plain = self.tokenizer.normalizer is None and "ByteLevel" in str(self.tokenizer.pre_tokenizer) and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenize = self.tokenizer.model.tokenize if plain else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pieces_kept = pieces_kept
 
     @classmethod
@@ -131,33 +156,70 @@ class Codec:
 
         A text's first piece has no space before it and is kept under a leading NUL; texts that hold a NUL bypass the table.
         """
-        table = self.pieces
-        split = []
-        new: dict[str, None] = {}
-        for text in texts:
-            first, *rest = self.cut(text)
-            first = "\0" + first
-            split.append((first, rest, "\0" in text))
-            if first not in table:
-                new[first] = None
-            new.update(dict.fromkeys(set(rest).difference(table)))
-        if len(table) > self.pieces_kept:  # start again from what these texts use
-            table = self.pieces = {p: table[p] for first, rest, _ in split for p in (first, *rest) if p in table}
-        if new:
-            keys = list(new)
-            for i in range(0, len(keys), AT_ONCE):
-                own = keys[i : i + AT_ONCE]
-                real = [p[1:] if p[:1] == "\0" else " " + p for p in own]
-                for key, e in zip(own, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    table[key] = pack(f"<{len(ids)}I", *ids)
-        find = table.__getitem__
-        return [
-            self._apart(first[1:], rest) if odd else find(first) + b"".join(map(find, rest))
-            for first, rest, odd in split
-        ]
-
-    def _apart(self, first: str, rest: list[str]) -> bytes:
+        out = []
+        for group in in_chunks(texts, len, TEXT_AT_ONCE):
+            split = []
+            met: set[str] = set()
+            for text in group:
+                if "\0" in text:
+                    split.append(None)
+                    continue
+                pieces = self.cut(text)
+                pieces[0] = "\0" + pieces[0]
+                split.append(pieces)
+                met.update(pieces)
+            self._provide(met)
+            find = self.young.__getitem__
+            out += [self._apart(text) if pieces is None else b"".join(map(find, pieces)) for text, pieces in zip(group, split, strict=True)]
+        return out
+
+    def _provide(self, met: set[str]) -> None:
+        """Put the ids of these pieces into the younger generation."""
+        if len(self.young) > self.pieces_kept:
+            self.old, self.young = self.young, {}
+        young, take = self.young, self.old.pop
+        whole: list[str] = []
+        for piece in met.difference(young):
+            ids = take(piece, None) or self._alone(piece)
+            if ids is None:
+                whole.append(piece)
+            else:
+                young[piece] = ids
+        for i in range(0, len(whole), AT_ONCE):
+            own = whole[i : i + AT_ONCE]
+            real = [p[1:] if p[:1] == "\0" else " " + p for p in own]
+            for key, e in zip(own, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
+                ids = e.ids
+                young[key] = pack(f"<{len(ids)}I", *ids)
+
+    def _alone(self, piece: str) -> bytes | None:
+        """Ids of a piece of plain letters, marks and single line breaks: the model is asked for each run. None for other pieces."""
+        if self.tokenize is None:
+            return None
+        lead, bare = ("", piece[1:]) if piece[:1] == "\0" else (_SHOWN[0x20], piece)
+        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
+            ids = [t.id for t in self.tokenize(lead + self._shown(bare))]
+            return pack(f"<{len(ids)}I", *ids)
+        runs = _RUN.findall(bare)
+        if sum(map(len, runs)) != len(bare) or "\n\n" in bare or bare[-1:] in ("", "\n"):
+            return None
+        out, known = [], self.young
+        for k, run in enumerate(runs):
+            key = run if lead and not k else "\0" + run
+            ids = known.get(key)
+            if ids is None:
+                found = [t.id for t in self.tokenize((lead if not k else "") + self._shown(run))]
+                ids = known[key] = pack(f"<{len(found)}I", *found)
+            out.append(ids)
+        return b"".join(out)
+
+    @staticmethod
+    def _shown(run: str) -> str:
+        """The characters that stand for the run's bytes."""
+        return run if run.isascii() and run != "\n" else shown_bytes(run.encode())
+
+    def _apart(self, text: str) -> bytes:
+        first, *rest = self.cut(text)
         parts = [first, *(" " + p for p in rest)]
         return b"".join(np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
 
@@ -192,7 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
             columns = [id_array([r + tail for r in raw] if tail else raw)]
             if offsets:
                 spans = [Decoder.load(vocabulary).offsets(np.frombuffer(r, "<u4"), t.encode()) for r, t in zip(raw, texts, strict=True)]
-                columns += [pa.array([s[i] for s in spans], pa.list_(pa.int32())) for i in (0, 1)]
+                columns += [id_array([s[i].astype("<i4").tobytes() for s in spans]) for i in (0, 1)]
             if running:
                 ends = before + columns[0].offsets.to_numpy().astype(np.int64)
                 columns.append(pa.array(ends[:-1]))

@@ -14,11 +14,12 @@ SQL = None
 
 def query(spark, sf_dir, vocabulary=None):
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"], offsets=True)
     decoded = bpe.decode(encoded, vocabulary)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         bpe.digest_of_ids().alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ids_end", F.lit(-1)), F.lit(0)).cast("bigint").alias("chars_covered"),
     )

@@ -54,6 +54,28 @@ def test_round_trip_and_offsets(multi):
         assert not len(ids) or (starts[0] == 0 and ends[-1] == len(text))
 
 
+@pytest.mark.parametrize("kept", [0, 7, 100])
+def test_small_tables_change_nothing(multi, kept):
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), kept)
+    texts = fuzz(300, 8) + ["One two.\nThree, four!\nfive", "naïve.\nÉté", "a\n\nb", "x.\n", "don't.\nstop", "ab12.cd"]
+    for i in range(0, len(texts), 10):
+        own = texts[i : i + 10] * 2
+        assert [np.frombuffer(r, "<u4").tolist() for r in codec.encode(own)] == [multi[1].encode_ordinary(t) for t in own]
+
+
+def test_operator_offsets_and_repeated_rows(spark):
+    texts = ["é–日本 👍🏽 one", "same text", "same text", "", None]
+    docs = spark.createDataFrame([(7, t, "clash") for t in texts], "doc_id long, text string, ids_start string")
+    rows = bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id", "text"], offsets=True).collect()
+    assert len(rows) == 5
+    decoder = bpe.Decoder(P.path("byte_bpe_multi_50k.tiktoken"))
+    for r in rows:
+        text = r["text"] or ""
+        assert decoder.decode_bytes(np.array(r["ids"], "<u4")) == text.encode()
+        assert len(r["ids"]) == len(r["ids_start"]) == len(r["ids_end"])
+        assert all(decoder.bytes_of[i] in text[a:b].encode() for i, a, b in zip(r["ids"], r["ids_start"], r["ids_end"]))
+
+
 def test_query_rows(spark, tmp_path, multi):
     texts = [None, *EDGES, "x" * 50_000, "ab " * 20_000]
     spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -62,6 +84,7 @@ def test_query_rows(spark, tmp_path, multi):
         ids = multi[1].encode_ordinary(t or "")
         assert rows[i]["n_tokens"] == len(ids)
         assert rows[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert rows[i]["chars_covered"] == len(t or "")
         assert rows[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 

@@ -48,3 +48,13 @@ def test_layout_and_selective_reads(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert query_token_files.query(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    rows = [(5, "one two"), (None, "first"), (5, "three"), (2, None), (None, "also first")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = query_token_files.query(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == [(False, 0), (False, 0), (True, 2), (True, 5), (True, 5)]
+    spans = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got)
+    assert [s for s, _, _ in spans] == [sum(n for _, n, _ in spans[:i]) for i in range(5)]
+    assert [i for _, _, i in spans] == [None, None, 2, 5, 5]
