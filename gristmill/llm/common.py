@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,16 +24,20 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """This application's folder in the place that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Steps, token files and pipeline stages lie here under the application's id, so one folder can go when the application ended.
+    Where nothing is named, a local session takes a temporary folder; a cluster must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,15 +65,7 @@ def in_chunks(rows: Iterable, weight, limit: int) -> Iterator[list]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a Parquet table in the shared folder, and let go of the shuffles behind it."""
-    import gc
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    """Cut the lineage through a Parquet table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

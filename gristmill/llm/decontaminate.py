@@ -2,12 +2,14 @@
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. A phrase is every window of ``window``
 consecutive words of a benchmark item, or the whole item if it is shorter. Each task groups its documents into shards of a
-bounded number of words, builds one FM-index per shard (wavelet matrix over the Burrows-Wheeler transform, sampled suffix
-positions), searches all phrases at once, locates the occurrences and merges them into removal spans. Words that no phrase
-holds can't be part of an occurrence, so a shard's index keeps only runs of phrase words, each closed by a separator.
+bounded number of words, builds one FM-index over all words of the shard (wavelet matrix over the Burrows-Wheeler transform,
+sampled suffix positions; every document is closed by a separator), searches all phrases at once, locates the occurrences and
+merges them into removal spans.
 
 Defined cases: null text or a text without words has no hits; a null item text or item id takes no part; repeated items and
-repeated documents are each reported; extra columns of either input are not read.
+repeated documents are each reported; items that share a phrase are all reported where it occurs; an empty benchmark finds
+nothing, an empty table gives an empty result; a text of any length is searched whole (one longer than a shard is a shard by
+itself); extra columns of either input are not read, and a kept column named like a found one comes back as ``<name>_kept``.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ class FmIndex:
         n = len(seq)
         order = self._suffix_order(seq)
         before = seq[order - 1]
-        self.bwt = before
+        self.bwt = before.astype(np.int32)
         counts = np.bincount(seq, minlength=alphabet)
         self.first = np.concatenate(([0], np.cumsum(counts)))
         self.n = n
@@ -76,27 +78,29 @@ class FmIndex:
             self.zeros.append(zeros)
             current = np.concatenate((current[bits == 0], current[bits == 1]))
         self.sampled = (order % sample == 0) | (before == 0)
-        self.position = np.where(self.sampled, order, -1)
+        self.position = np.where(self.sampled, order, -1).astype(np.int32)
 
     @staticmethod
     def _suffix_order(seq: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling; separators are distinct symbols below all words, in text order."""
+        """Suffix order by prefix doubling, in each round only of what is still tied; separators are distinct symbols below all words, in text order."""
         n = len(seq)
         ends = np.flatnonzero(seq == 0)
         key = seq + len(ends)
         key[ends] = np.arange(len(ends))
         order = np.argsort(key, kind="stable")
-        step = 1
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int64)  # of each suffix: the first place of those it is tied with
+        places, members, keys, step = np.arange(n), order, key[order], 1
         while True:
-            sorted_key = key[order]
-            rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-            if rank[order[-1]] == n - 1:
+            new = np.append(True, keys[1:] != keys[:-1])
+            rank[members] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            tied = ~(new & np.append(new[1:], True))
+            places, members = places[tied], members[tied]
+            if not len(places):
                 return order
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - step] = rank[step:] + 1
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
+            keys = rank[members] * n + rank[members + step]  # ties hold no separator, so something stands behind them
+            by = np.argsort(keys, kind="stable")
+            members, keys = members[by], keys[by]
+            order[places] = members
             step *= 2
 
     def rank(self, symbols: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -140,38 +144,26 @@ class FmIndex:
 
 def search_shard(texts: list[str], phrases: Phrases) -> list[tuple[int, int, list[tuple[int, int]], list[str]]]:
     """Per text: words, hit words, merged character spans of the hits, ids of the items found."""
-    get, pieces, starts, sizes, total = phrases.ids.get, [], [], [], 0
+    ids, pieces, starts, sizes, total = dict(phrases.ids), [], [], [], 0
     for text in texts:
         words = _split(text)
         sizes.append(len(words))
-        if words:
-            pieces.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
+        pieces.append(np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words), np.int64, len(words)))
+        pieces.append(np.zeros(1, np.int64))
         starts.append(total)
         total += len(words) + 1
-        pieces.append(np.zeros(1, np.int64))
     none = [(n, 0, [], []) for n in sizes]
     if not phrases.shortest or not total:
         return none
     whole = np.concatenate(pieces)
-    known = np.concatenate(([False], whole > 0, [False]))
-    edges = np.flatnonzero(known[1:] != known[:-1])
-    begin, end = edges[::2], edges[1::2]
-    long_enough = end - begin >= phrases.shortest
-    begin, end = begin[long_enough], end[long_enough]
-    if not len(begin):
-        return none
-    keep = np.zeros(len(whole) + 1, np.int8)
-    keep[begin] += 1
-    keep[end + 1] -= 1  # a run and the separator behind it
-    origin = np.flatnonzero(np.cumsum(keep)[:-1])
-    index = FmIndex(whole[origin], len(phrases.ids) + 1)
+    index = FmIndex(whole, len(ids) + 1)
     low, high = index.search(phrases.words, phrases.lengths)
     counts = high - low
     phrase = np.repeat(np.arange(len(counts)), counts)
     if not len(phrase):
         return none
     rows = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-    at = origin[index.locate(rows)]
+    at = index.locate(rows)
     cover = np.zeros(len(whole) + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + phrases.lengths[phrase], -1)
@@ -259,14 +251,15 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("id")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(*keep, *([text] if text not in keep else []))
-    names = out.columns
+    names = [*keep, *([text] if text not in keep else [])]
+    plain = [f"c{i}" for i in range(len(names))]
+    out = docs.select(*names).toDF(*plain)
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Phrases([(r["id"], r["text"]) for r in rows], window))
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*names).schema)
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.select(*plain).schema)
         out = out.mapInArrow(_scanner(shared, names.index(text), block == 0, shard_words), f"{ddl}, {_FOUND_DDL}")
-    return out
+    return out.toDF(*(f"{n}_kept" if n in _FOUND.names else n for n in names), *_FOUND.names)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -1,147 +1,209 @@
 """Language identification by string kernels: blended-spectrum presence kernels, Nystroem landmarks, ridge one-versus-rest.
 
-A text is lower-cased, everything but letters becomes one space, and its UTF-8 bytes give n-grams of ``SPECTRUM`` lengths.
+A text is lower-cased, everything but letters becomes one space, and its UTF-8 bytes give the n-grams of ``SPECTRUM`` lengths.
 For each length the presence kernel of two texts is the number of n-grams that both hold over the geometric mean of how many
 each holds; the blended kernel is the mean over lengths. Landmark texts span the Nystroem features, and kernel ridge regression
-on them gives one score per language. Because the kernel is linear in a text's presence vector, K(x, landmarks) @ W is computed
-as presence(x) @ (landmark presences' @ W): batched products with one small matrix.
+on them gives one score per language. The kernel is linear in a text's presence vector, so a batch is scored by one product of
+its sparse presence rows with the matrix (landmark presences' @ weights), whose rows are the landmarks' own n-grams.
 
-Training is bounded: ``LANDMARKS`` a language and ``TRAINING`` a language in hash order. Every whole text is scored.
+Training is bounded: ``LANDMARKS`` and ``TRAINING`` texts a language in hash order, fewer where many languages share
+``MOST_LANDMARKS`` and ``MOST_TRAINING``. The regression's normal equations are summed in the tasks. Every language that is not
+null is learnt, every whole text is scored.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be learnt; ties
-go to the language first in alphabetical order; repeated rows are scored alike; extra columns are not read.
+Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be learnt (no
+rows, no language); ties go to the language first in alphabetical order; repeated rows are scored alike; texts of any length are
+read whole; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .samples import hash_sample, texts_of_sample
+from .common import in_chunks, small_batches
+from .samples import texts_of_sample
 
-#: n-gram length and bits of its hash space.
-SPECTRUM = ((2, 13), (3, 15), (4, 16))
-LANDMARKS = 80
-TRAINING = 1200
+SPECTRUM = (1, 2, 3)
+LANDMARKS, MOST_LANDMARKS = 80, 640
+TRAINING, MOST_TRAINING = 1200, 12_000
+FIT_TASKS = 16
 RIDGE = 1e-2
 UNDETERMINED = "und"
+BATCH_BYTES = 1 << 19
 
-_LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+#: Symbols: 0 for whatever is no letter, 1 to 26 for a to z, then the bytes of other characters.
+SYMBOLS = 27 + 128
+_SYMBOL = bytes(b - 0x60 if 0x61 <= b <= 0x7A else b - 0x80 + 27 if b >= 0x80 else 0 for b in range(256))
+_SPACES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 def has_letter(text: str) -> bool:
     return text.isalpha() or any(map(str.isalpha, text))
 
 
-class Presence:
-    """Indices of the n-grams that a text holds, one array for each length, in a shared index space."""
-
-    def __init__(self):
-        self.width = sum(1 << bits for _, bits in SPECTRUM)
-        self._flags = [np.zeros(1 << bits, bool) for _, bits in SPECTRUM]
-
-    def __call__(self, text: str) -> list[np.ndarray]:
-        raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()) + b" "
-        codes = np.frombuffer(raw, np.uint8).astype(np.uint32)
-        out, base = [], 0
-        for (n, bits), flags in zip(SPECTRUM, self._flags, strict=True):
-            size = len(codes) - n + 1
-            if size > 0:
-                gram = codes[:size].copy()
-                for k in range(1, n):
-                    gram = gram << np.uint32(8) | codes[k : size + k]
-                gram = gram * np.uint32(2654435761) >> np.uint32(32 - bits)
-                flags[gram] = True
-                found = np.flatnonzero(flags)
-                flags[found] = False
-            else:
-                found = np.zeros(0, np.int64)
-            out.append(found + base)
-            base += 1 << bits
+def ngrams(text: str) -> list[np.ndarray]:
+    """Codes of the different n-grams of each length."""
+    raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split()) + b" "
+    symbols = np.frombuffer(raw.translate(_SYMBOL), np.uint8).astype(np.uint32)
+    out = []
+    for n in SPECTRUM:
+        size = max(0, len(symbols) - n + 1)
+        code = symbols[:size].copy()
+        for k in range(1, n):
+            code = code * np.uint32(SYMBOLS) + symbols[k : size + k]
+        code.sort()
+        out.append(code[np.append(True, code[1:] != code[:-1])] if size else code)
+    return out
+
+
+class Vocabulary:
+    """The n-grams of some texts, numbered."""
+
+    def __init__(self, known: list[np.ndarray]):
+        self.known = known
+        self.size = sum(map(len, known))
+        self._tables: list[np.ndarray] = []
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Vocabulary:
+        found = [ngrams(t) for t in texts]
+        return cls([np.unique(np.concatenate([f[k] for f in found])) for k in range(len(SPECTRUM))])
+
+    def __getstate__(self):
+        return {"known": self.known, "size": self.size, "_tables": []}
+
+    def tables(self) -> list[np.ndarray]:
+        if not self._tables:
+            base = 0
+            for n, known in zip(SPECTRUM, self.known, strict=True):
+                table = np.full(SYMBOLS**n, -1, np.int32)
+                table[known] = np.arange(base, base + len(known))
+                base += len(known)
+                self._tables.append(table)
+        return self._tables
+
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse rows whose inner products are the blended kernel: where each row ends, numbers of the known n-grams, values."""
+        ends, numbers, values = [], [], []
+        total = 0
+        for text in texts:
+            for table, code in zip(self.tables(), ngrams(text), strict=True):
+                own = table[code]
+                own = own[own >= 0]
+                numbers.append(own)
+                values.append(np.full(len(own), 1 / np.sqrt(max(1, len(code)) * len(SPECTRUM))))
+                total += len(own)
+            ends.append(total)
+        return np.array(ends, np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.int32), np.concatenate(values) if values else np.zeros(0)
+
+
+def sparse_product(rows: tuple[np.ndarray, np.ndarray, np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense matrix, a whole batch at once."""
+    ends, numbers, values = rows
+    sums = np.vstack((np.zeros((1, matrix.shape[1])), np.cumsum(matrix[numbers] * values[:, None], axis=0)))
+    return np.diff(sums[np.append(0, ends)], axis=0)
+
+
+class Postings:
+    """The landmarks' presences by n-gram: kernels with all landmarks without a matrix of n-grams x landmarks."""
+
+    def __init__(self, landmarks: list[str]):
+        self.vocabulary = Vocabulary.of(landmarks)
+        ends, numbers, values = self.vocabulary.presence(landmarks)
+        self.count = len(landmarks)
+        self.owner = np.repeat(np.arange(len(landmarks)), np.diff(np.append(0, ends)))
+        order = np.argsort(numbers, kind="stable")
+        self.owner, self.values = self.owner[order], values[order]
+        self.starts = np.searchsorted(numbers[order], np.arange(self.vocabulary.size + 1))
+        self.numbers = numbers[order]
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """text x landmark."""
+        ends, numbers, values = self.vocabulary.presence(texts)
+        out = np.zeros((len(texts), self.count))
+        for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+            own = numbers[a:b]
+            size = self.starts[own + 1] - self.starts[own]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[own], size)
+            out[i] = np.bincount(self.owner[at], self.values[at] * np.repeat(values[a:b], size), self.count)
         return out
 
-    def weighted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and the values that make inner products the blended kernel."""
-        parts = self(text)
-        values = [np.full(len(p), 1 / np.sqrt(max(1, len(p)) * len(SPECTRUM))) for p in parts]
-        return np.concatenate(parts), np.concatenate(values)
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """n-gram x language: the landmarks' presences times their weights."""
+        out = np.zeros((self.vocabulary.size, weights.shape[1]))
+        np.add.at(out, self.numbers, self.values[:, None] * weights[self.owner])
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: presence index x language; None without anything learnt.
-    matrix: np.ndarray | None
+    vocabulary: Vocabulary | None = None
+    #: n-gram x language; None without anything learnt.
+    matrix: np.ndarray | None = field(default=None, repr=False)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return sparse_product(self.vocabulary.presence(texts), self.matrix)
 
 
-def _kernel_rows(shared):
-    """Training texts in, their kernel values with all landmarks out."""
+def _sums(shared, roots, languages: list[str], weight: dict[str, float]):
+    """One row a task: the normal equations' two sums over its training texts, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        presence = Presence()
-        basis = np.zeros((presence.width, len(shared.value)), np.float32)
-        for j, text in enumerate(shared.value):
-            index, values = presence.weighted(text)
-            basis[index, j] = values
+        postings, root = shared.value, roots.value
+        number = {name: i for i, name in enumerate(languages)}
+        left, right = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(languages)))
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                index, values = presence.weighted(text or "")
-                rows.append(values.astype(np.float32) @ basis[index])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["lang", "k"])
+            for start in range(0, batch.num_rows, 100):
+                langs = batch.column(0)[start : start + 100].to_pylist()
+                z = postings.kernel([t or "" for t in batch.column(1)[start : start + 100].to_pylist()]) @ root
+                w = np.array([weight[g] for g in langs])
+                left += (z * w[:, None]).T @ z
+                np.add.at(right.T, [number[g] for g in langs], z * w[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["l", "r"])
 
     return run
 
 
-def _per_language(known: DataFrame, languages: list[str], limit: int, seed: int) -> DataFrame:
-    out = None
-    for lang in languages:
-        own = hash_sample(known.filter(F.col("lang") == lang), limit, seed)
-        out = own if out is None else out.unionByName(own)
-    return out
+def _per_language(known: DataFrame, each: int, most: int, seed: int) -> DataFrame:
+    """At most ``each`` rows a language and ``most`` in all, in hash order; ranks are limited before the shuffle."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    ranked = known.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
+    return ranked.orderBy("__n", F.xxhash64("lang", F.lit(seed)), "lang").limit(most).select("doc_id", "lang")
 
 
-def fit(docs: DataFrame, known: DataFrame, max_languages: int = 200) -> Model:
-    """``known``: doc_id and lang of the rows that may be learnt from; the ``max_languages`` most frequent languages are."""
+def fit(docs: DataFrame, known: DataFrame) -> Model:
+    """``known``: doc_id and lang of the rows that may be learnt from."""
     spark = docs.sparkSession
     small_batches(spark)
     known = known.filter("doc_id is not null and lang is not null").select("doc_id", "lang")
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in counted)
-    if not languages:
-        return Model([], None)
-    chosen = texts_of_sample(docs, _per_language(known, languages, LANDMARKS, 5)).orderBy("lang", "doc_id", "text").collect()
-    landmarks = [r["text"] or "" for r in chosen]
-    sample = texts_of_sample(docs, _per_language(known, languages, TRAINING, 6)).select("lang", "text")
-    rows = sample.mapInArrow(_kernel_rows(spark.sparkContext.broadcast(landmarks)), "lang string, k array<double>").collect()
-    rows.sort(key=lambda r: (r["lang"], r["k"]))
-    k_nm = np.array([r["k"] for r in rows])
-    presence = Presence()
-    weighted = [presence.weighted(t) for t in landmarks]
-    k_mm = np.zeros((len(landmarks), len(landmarks)))
-    dense = np.zeros(presence.width)
-    for j, (index, values) in enumerate(weighted):
-        dense[index] = values
-        k_mm[j] = [float(dense[i] @ v) for i, v in weighted]
-        dense[index] = 0
+    count = known.agg(F.countDistinct("lang").alias("n")).first()["n"]
+    if not count:
+        return Model([])
+    landmarks_each, training_each = (max(1, min(each, most // count)) for each, most in ((LANDMARKS, MOST_LANDMARKS), (TRAINING, MOST_TRAINING)))
+    chosen = texts_of_sample(docs, _per_language(known, landmarks_each, MOST_LANDMARKS, 5)).select("lang", "doc_id", "text").collect()
+    if not chosen:
+        return Model([])
+    chosen.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"] or ""))
+    postings = Postings([r["text"] or "" for r in chosen[: 2 * MOST_LANDMARKS]])
+    k_mm = postings.kernel([r["text"] or "" for r in chosen[: 2 * MOST_LANDMARKS]])
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
-    inverse_root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))
-    z = k_nm @ inverse_root
-    target = np.array([[r["lang"] == lang for lang in languages] for r in rows], float)
-    balance = 1 / np.maximum(1, target.sum(0))[target.argmax(1)]
-    balance *= len(rows) / balance.sum()
-    left = (z * balance[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
-    weights = inverse_root @ np.linalg.solve(left, (z * balance[:, None]).T @ target)
-    matrix = np.zeros((presence.width, len(languages)))
-    for (index, own), w in zip(weighted, weights, strict=True):
-        matrix[index] += own[:, None] * w
-    return Model(languages, matrix)
+    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))
+    picked = _per_language(known, training_each, max(MOST_TRAINING, count), 6)
+    counts = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    languages = sorted(counts)
+    weight = {g: sum(counts.values()) / len(counts) / n for g, n in counts.items()}
+    sample = texts_of_sample(docs, picked).select("lang", "text").repartition(FIT_TASKS)
+    parts = sample.mapInArrow(_sums(spark.sparkContext.broadcast(postings), spark.sparkContext.broadcast(root), languages, weight), "l binary, r binary").collect()
+    m = root.shape[1]
+    left = sum(np.frombuffer(p["l"]).reshape(m, m) for p in parts) + RIDGE * np.eye(m)
+    right = sum(np.frombuffer(p["r"]).reshape(m, len(languages)) for p in parts)
+    return Model(languages, postings.vocabulary, postings.spread(root @ np.linalg.solve(left, right)))
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,19 +214,22 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, presence = shared.value, Presence()
+        m = shared.value
         for batch in batches:
             names, found = [], []
-            for text in batch.column(1).to_pylist():
-                if not text or m.matrix is None or not has_letter(text):
-                    names.append(UNDETERMINED)
-                    found.append(0.0)
-                    continue
-                index, values = presence.weighted(text)
-                own = values @ m.matrix[index]
-                best = int(own.argmax())
-                names.append(m.languages[best])
-                found.append(float(min(1, max(0, own[best]))))
+            for texts in in_chunks(batch.column(1).to_pylist(), lambda t: len(t or ""), BATCH_BYTES):
+                named = [bool(t) and m.matrix is not None and has_letter(t) for t in texts]
+                scores = m.scores([t for t, ok in zip(texts, named, strict=True) if ok]) if any(named) else None
+                at = 0
+                for ok in named:
+                    if not ok:
+                        names.append(UNDETERMINED)
+                        found.append(0.0)
+                        continue
+                    best = int(scores[at].argmax())
+                    names.append(m.languages[best])
+                    found.append(float(min(1, max(0, scores[at, best]))))
+                    at += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(found, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

@@ -1,14 +1,17 @@
 """Quality by compression: two zstandard dictionaries, one from good and one from bad labelled text.
 
 A text is cut into blocks of ``BLOCK`` bytes (so that the dictionary, not the text's own past, decides), every block is
-compressed with either dictionary, and the normalised differences of the summed sizes go through a logistic calibration.
+compressed with either dictionary, and the difference of the summed sizes, normalised by their sum and by the text's length,
+goes through a logistic calibration.
 
-Training is bounded by ``DICTIONARY_DOCS`` documents a class for the dictionaries and ``CALIBRATION_DOCS`` other labelled
-documents for the calibration, both in hash order. Scoring covers every whole text.
+Training is bounded: the dictionaries see whole documents in hash order, ``DICTIONARY_DOCS`` a class or as many as begin within
+the first ``DICTIONARY_TEXT`` bytes; the calibration ``CALIBRATION_DOCS`` other labelled documents, whole as well. Scoring covers
+every whole text.
 
 Defined cases: null and empty texts are one empty block and get that block's score; where a class has no labelled rows, every
-score is the share of label 1 (one half without any labels); repeated rows are scored alike; repeated labels of a document
-count once each; extra columns are not read.
+score is the share of label 1 (one half without any labels); an empty table gives an empty result; repeated rows are scored
+alike; repeated labels of a document count once each, contradicting ones too; equal texts get equal scores; texts of any length
+are read whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -29,8 +32,8 @@ LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 DICTIONARY_DOCS = 1500
 CALIBRATION_DOCS = 6000
+DICTIONARY_TEXT = 24 << 20
 PIECE = 2048
-PIECES_A_DOC = 4
 
 
 @dataclass
@@ -71,16 +74,15 @@ def build_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
         return b"".join(pieces)[-size:]
 
 
-def size_features(text: str, good, bad) -> tuple[float, float, float]:
-    """(bad - good) / (bad + good), (bad - good) / bytes and bad / bytes of the summed compressed sizes."""
+def size_features(text: str, good, bad) -> tuple[float, float]:
+    """(bad - good) / (bad + good) and (bad - good) / bytes of the summed compressed sizes."""
     raw = text.encode("utf-8", "surrogatepass")
     g = b = 0
     for i in range(0, max(1, len(raw)), BLOCK):
         block = raw[i : i + BLOCK]
         g += len(good.compress(block))
         b += len(bad.compress(block))
-    n = max(1, len(raw))
-    return (b - g) / (b + g), (b - g) / n, b / n
+    return (b - g) / (b + g), (b - g) / max(1, len(raw))
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -109,29 +111,36 @@ def scores(model: Model, features: np.ndarray) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Evenly spaced pieces of each training text."""
+    """The training texts cut into pieces."""
     for batch in batches:
         labels, pieces = [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            starts = range(0, len(raw), PIECE)
-            for i in starts[:: max(1, -(-len(starts) // PIECES_A_DOC))]:
-                labels.append(label)
-                pieces.append(raw[i : i + PIECE])
+            cut = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+            labels += [label] * len(cut)
+            pieces += cut
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(pieces, pa.binary())], names=["label", "piece"])
 
 
-def _measure(shared, columns: int):
+def _measure(shared):
+    """The first column with the size features of the text in the second."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = shared.value.compressors()
         for batch in batches:
-            found = np.array([size_features(x or "", good, bad) for x in batch.column(columns).to_pylist()]).reshape(-1, 3)
-            extra = [pa.array(found[:, i]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *extra], names=[*batch.schema.names[:columns], "d", "e", "r"])
+            found = np.array([size_features(x or "", good, bad) for x in batch.column(1).to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(2))], names=[batch.schema.names[0], "d", "e"])
 
     return run
 
 
+def _within(sample: DataFrame, size: int) -> DataFrame:
+    """The rows of a bounded sample that begin within the first ``size`` bytes of their class, in hash order."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(order), F.lit(0))
+    return sample.withColumn("__before", before).filter(F.col("__before") < size).select("label", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """``labels``: doc_id and label (1 good, 0 bad), training rows only."""
     spark = docs.sparkSession
@@ -143,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(b"", b"", [], [], [], prior)
     chosen = [hash_sample(labels.filter(F.col("label") == c), DICTIONARY_DOCS, 1) for c in (0, 1)]
     taken = chosen[0].unionByName(chosen[1])
-    rows = texts_of_sample(docs, taken).select("label", "text").mapInArrow(_pieces, "label int, piece binary").collect()
+    rows = _within(texts_of_sample(docs, taken), DICTIONARY_TEXT).mapInArrow(_pieces, "label int, piece binary").collect()
     pieces = {c: sorted(bytes(r["piece"]) for r in rows if r["label"] == c) for c in (0, 1)}
     if not pieces[0] or not pieces[1]:
         return Model(b"", b"", [], [], [], prior)
@@ -153,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if calibration.agg(F.countDistinct("label")).first()[0] < 2:  # few labelled rows: calibrate on those of the dictionaries
         calibration = taken
     slim = texts_of_sample(docs, calibration).select("label", "text")
-    measured = slim.mapInArrow(_measure(spark.sparkContext.broadcast(model), 1), "label int, d double, e double, r double").orderBy("label", "d", "e", "r").toPandas()
-    x, y = measured[["d", "e", "r"]].to_numpy(float), measured["label"].to_numpy(float)
+    measured = slim.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label int, d double, e double").toPandas().sort_values(["label", "d", "e"])
+    x, y = measured[["d", "e"]].to_numpy(float), measured["label"].to_numpy(float)
     model.mean, model.scale = x.mean(0).tolist(), np.maximum(x.std(0), 1e-9).tolist()
     model.weights = fit_logistic(expand(np.clip((x - model.mean) / model.scale, -8, 8)), y).tolist()
     return model
@@ -165,12 +174,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    measure = _measure(shared, 1)
+    measure = _measure(shared)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in measure(batches):
-            features = np.column_stack([batch.column(i).to_numpy() for i in (1, 2, 3)])
+            features = np.column_stack([batch.column(i).to_numpy() for i in (1, 2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, features))], names=["doc_id", out])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {out} double")

@@ -1,36 +1,46 @@
-"""Substring deduplication: suffix automata of reference passages, documents streamed through them for matching statistics.
+"""Substring deduplication: suffix automata of reference shards, documents' passages streamed through for matching statistics.
 
 A window is ``WINDOW`` consecutive words; a word goes if a window over it also starts earlier (smaller id, or the same document
-further up). One automaton of the whole corpus can't be broadcast (it grows with the corpus, and every document would stream
-through every shard), so each document meets just the reference shards that it repeats:
-
-1. Anchors. The least-hashed ``GRAM``-word gram of every window is its anchor; equal windows have equal anchors, and about one
-   word in eight is one. Anchors are grouped by hash; those met twice mark the windows that can repeat.
-2. References. Those windows are grouped by hash; each but the earliest of a group points to an earlier place. A task first
-   settles what repeats within its own documents, so that a group holds at most one row for each task, however common the
-   passage. Consecutive windows with consecutive references become runs.
-3. Automata. The referenced passages travel to the documents that repeat them. Each document builds the suffix automaton of its
-   reference passages and streams its runs through it; a window goes where the matching statistic reaches ``WINDOW`` words.
-
-Defined cases: null and empty texts have no words; texts shorter than a window stay whole; a null id takes no part in matching;
-rows that share an id and text don't remove each other; repeated texts under different ids leave the smallest id's; extra columns are not read.
+further up). Automata of the whole corpus can't be broadcast: they grow with it, and every document would stream through every
+shard. So shards are routed, and a passage meets just the shard that can hold its windows:
+
+1. Routes. The least-hashed ``GRAM``-word gram of every window is its anchor; equal windows have equal anchors, and about one
+   word in eight is one. Anchors are grouped by hash; what was met once can't repeat and is left out.
+2. Passages. The windows around one place of a repeated anchor form a passage of at most ``2 * WINDOW`` words. Passages travel to
+   their anchor's shard; equal passages of a task are combined before, only the earliest travels. Anchors that are met very often
+   (``hot_limit``) are split: there every window travels by itself, by its own hash, so that what meets is equal and
+   combines as well.
+3. Automata. A shard holds whole anchors, about ``SHARD_WORDS`` words. Its suffix automaton keeps for every state the earliest
+   window that ends there; all passages stream through it, and where the matching statistic reaches ``WINDOW`` words, a window
+   goes if the automaton knows an earlier start.
+
+Texts move once: they are written bucketed by id, and passages and removals are joined to the buckets.
+
+Defined cases: null and empty texts have no words; texts shorter than a window stay whole; texts of any length are read whole; a
+null id takes no part in matching; rows that share an id and text don't remove each other, nor do windows at the same place of
+different texts under one id; repeated texts under different ids leave the smallest id's; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_chunks, small_batches, written
+from .common import in_chunks, shared_dir, small_batches, written
 
 WINDOW = 20
 GRAM = 5
 CHUNK_WORDS = 1 << 21
+SHARD_WORDS = 1 << 16
+#: An anchor is hot from so many places on, or from a place in so many bytes of text on: at most some hundred thousand anchors are.
+HOT_PLACES, HOT_BYTES = 4096, 50_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -94,24 +104,31 @@ def _slices(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatc
         yield batch.slice(i, rows)
 
 
+def _scattered(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys that deal rows evenly."""
+    return gram_hashes(doc.astype(np.uint64) * _MIX + start.astype(np.uint64), 1).view(np.int64)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 1: an anchor met once in this chunk; 2: the first of several; 0: another of several, known to repeat already."""
+    """met: how often this chunk holds the anchor, on its first row; 0: a further row, known to repeat, with its anchor in ``hash``."""
     for group in in_chunks(batches, lambda b: b.nbytes // 7 + 1, CHUNK_WORDS):
         ids = np.concatenate([b.column(0).to_numpy() for b in group])
-        split = [words_of(t) for b in group for t in b.column(1).to_pylist()]
+        rows = np.concatenate([b.column(1).to_numpy() for b in group])
+        split = [words_of(t) for b in group for t in b.column(2).to_pylist()]
         h, doc, start, n = anchors([len(w) for w in split], np.concatenate([word_hashes(w) for w in split]))
+        if not len(h):
+            continue
         order = np.argsort(h, kind="stable")
-        new = h[order][1:] != h[order][:-1]
-        first, last = np.append(True, new), np.append(new, True)
-        kind = np.zeros(len(h), np.int8)
-        kind[order] = np.where(first, np.where(last, 1, 2), 0)[: len(h)]
+        first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        met = np.zeros(len(h), np.int32)
+        met[order[first]] = np.diff(np.append(first, len(h)))
         key = h.view(np.int64).copy()
-        key[kind == 0] = gram_hashes(h + start.astype(np.uint64) * _MIX + ids[doc].astype(np.uint64), 1).view(np.int64)[kind == 0]
-        yield from _slices(_table({"key": key, "kind": kind, "doc_id": ids[doc], "start": start.astype(np.int32), "n": n.astype(np.int32)}))
+        key[met == 0] = _scattered(ids[doc], start)[met == 0]
+        yield from _slices(_table({"key": key, "met": met, "hash": h.view(np.int64), "doc_id": ids[doc], "row": rows[doc], "start": start.astype(np.int32), "n": n.astype(np.int32)}))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by key, regrouped so that no key is split between tables; a key has at most a row for each task."""
+    """Rows sorted by key, regrouped so that no key is split between tables; a key has at most a row for each chunk of words."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -128,131 +145,102 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _whole_groups(batches):
-        key, kind = t["key"].to_numpy(), t["kind"].to_numpy()
-        new = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-        weight = np.repeat(np.add.reduceat(kind.astype(np.int64), new), np.diff(np.append(new, len(key))))
-        keep = (kind == 0) | (weight > 1)
-        yield _table({c: t[c].to_numpy()[keep] for c in ("doc_id", "start", "n")})
+def _repeated_anchors(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of repeated anchors; a row with n = 0 names an anchor met more than ``limit`` times."""
+        for t in _whole_groups(batches):
+            c = {name: t[name].to_numpy() for name in t.column_names}
+            new = np.concatenate(([0], np.flatnonzero(c["key"][1:] != c["key"][:-1]) + 1))
+            total = np.add.reduceat(c["met"].astype(np.int64), new)
+            keep = (c["met"] == 0) | (np.repeat(total, np.diff(np.append(new, len(c["key"])))) > 1)
+            yield _table({k: c[k][keep] for k in ("doc_id", "row", "start", "n", "hash")})
+            hot = c["hash"][new[total > limit]]
+            if len(hot):
+                none = np.zeros(len(hot), np.int32)
+                yield _table({"doc_id": hot * 0, "row": none, "start": none, "n": none, "hash": hot})
 
+    return run
 
-def _spans_to_mask(starts: list[int], sizes: list[int], length: int) -> np.ndarray:
-    mask = np.zeros(length + 1, np.int64)
-    np.add.at(mask, starts, 1)
-    np.add.at(mask, np.minimum(np.array(starts) + np.array(sizes), length), -1)
-    return np.cumsum(mask)[:-1] > 0
 
+class _Earliest:
+    """Equal passages combined: the earliest place of each is held, windows of later places go."""
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that can repeat. Kind 1: earliest in this chunk; kind 0: runs whose reference is in this chunk."""
-    for group in in_chunks(batches, lambda b: b.nbytes // 7 + 1, CHUNK_WORDS):
-        hs, docs, starts = [], [], []
-        rows = sorted((row for b in group for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda row: row[0])
-        for doc_id, text, spans in rows:
-            words = words_of(text)
-            mask = _spans_to_mask([s["start"] for s in spans], [s["n"] for s in spans], max(0, len(words) - WINDOW + 1))
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                hs.append(gram_hashes(word_hashes(words[a : b + WINDOW - 1]), WINDOW))
-                docs.append(np.full(b - a, doc_id))
-                starts.append(np.arange(a, b))
-        if not hs:
-            continue
-        h, doc, start = np.concatenate(hs), np.concatenate(docs), np.concatenate(starts)
-        order = np.argsort(h, kind="stable")  # equal windows stay in order of id and start
-        first = np.append(True, h[order][1:] != h[order][:-1])
-        lead = np.empty(len(h), np.int64)
-        lead[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        own = lead == np.arange(len(h))
-        one, zero = np.ones(int(own.sum()), np.int32), np.zeros(int(own.sum()), np.int32)
-        yield from _slices(_table({"key": h[own].view(np.int64), "kind": one.astype(np.int8), "doc_id": doc[own], "start": start[own].astype(np.int32), "n": one, "ref_id": zero.astype(np.int64), "ref_start": zero}))
-        rest, lead = ~own, lead[~own]
-        yield from _slices(_runs(doc[rest], start[rest], doc[lead], start[lead], np.ones(len(lead), np.int64), True))
-
-
-def _runs(doc: np.ndarray, start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, n: np.ndarray, routed: bool) -> pa.RecordBatch:
-    """Rows in order of id and start merged where window and reference both go on by one."""
-    on = (doc[1:] == doc[:-1]) & (ref[1:] == ref[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (ref_start[1:] == ref_start[:-1] + n[:-1])
-    new = np.flatnonzero(np.append(True, ~on)) if len(doc) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n, new) if len(doc) else n
-    own = {"doc_id": doc[new], "start": start[new].astype(np.int32), "n": total.astype(np.int32), "ref_id": ref[new], "ref_start": ref_start[new].astype(np.int32)}
-    if not routed:
-        return _table(own)
-    key = gram_hashes(doc[new].astype(np.uint64) * _MIX + start[new].astype(np.uint64), 1).view(np.int64)
-    return _table({"key": key, "kind": np.zeros(len(new), np.int8), **own})
-
-
-def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window but the earliest of its group gets the earliest as its reference; runs pass through."""
-    for t in _whole_groups(batches):
-        c = {name: t[name].to_numpy() for name in t.column_names}
-        settled = c["kind"] == 0
-        yield _table({name: c[name][settled] for name in ("doc_id", "start", "n", "ref_id", "ref_start")})
-        key, doc, start, n = (c[name][~settled] for name in ("key", "doc_id", "start", "n"))
-        if len(key):
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(new, len(key)))
-            ref = np.repeat(np.minimum.reduceat(doc, new), size)
-            ref_start = np.repeat(np.minimum.reduceat(np.where(doc == ref, start, np.iinfo(np.int32).max), new), size)
-            later = (doc != ref) | (start != ref_start)
-            yield _table({"doc_id": doc[later], "start": start[later], "n": n[later], "ref_id": ref[later], "ref_start": ref_start[later].astype(np.int32)})
-
-
-def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield _runs(*(b.column(i).to_numpy().astype(np.int64) for i in (0, 1, 3, 4, 2)), False)
-
-
-_RUN = "doc_id bigint, start int, n int, ref_id bigint, ref_start int"
-
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Runs of windows (doc_id, start, n windows) that repeat text at an earlier place (ref_id, ref_start)."""
-    slim = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    found = slim.mapInArrow(_anchor_rows, "key bigint, kind tinyint, doc_id bigint, start int, n int")
-    spots = found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_anchors, "doc_id bigint, start int, n int")
-    spots = written(spots)
-    by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spots"))
-    joined = slim.join(by_doc, "doc_id").select("doc_id", "text", "spots")
-    rows = joined.mapInArrow(_window_rows, f"key bigint, kind tinyint, {_RUN}")
-    pointed = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_references, _RUN))
-    return written(pointed.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_merged_runs, _RUN))
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of every requested stretch of a document."""
-    for batch in batches:
-        out: dict[str, list] = {"ref_id": [], "ref_start": [], "n": [], "passage": []}
-        for doc_id, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
-            for a in asked:
-                out["ref_id"].append(doc_id)
-                out["ref_start"].append(a["ref_start"])
-                out["n"].append(a["n"])
-                out["passage"].append(b" ".join(words[a["ref_start"] : a["ref_start"] + a["n"] + WINDOW - 1]).decode("utf-8", "surrogatepass"))
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+    def __init__(self):
+        self.held: dict[bytes, list[tuple[int, int, int, int]]] = {}
+        self.gone: list[tuple[int, int, int, int]] = []
+
+    def meet(self, passage: bytes, doc: int, row: int, start: int, n: int) -> None:
+        own = (doc, row, start, n)
+        held = self.held.get(passage)
+        if held is None:
+            self.held[passage] = [own]
+            return
+        first = held[0]
+        if (doc, start) > (first[0], first[2]):
+            self.gone.append(own)
+        elif (doc, start) < (first[0], first[2]):
+            self.gone += held
+            self.held[passage] = [own]
+        elif own not in held:  # another text under the same id
+            held.append(own)
+
+
+_PASSAGE = "key bigint, doc_id bigint, row int, start int, n int, passage binary"
+_RUN = "doc_id bigint, row int, start int, n int"
+
+
+def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "row", "start", "n", "passage"])
+
+
+def _passages(shared):
+    """Documents with their places in, passages out. No passage: a place whose windows all go, settled within the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for group in in_chunks(batches, lambda b: b.nbytes // 7 + 1, CHUNK_WORDS):
+            found, keys = _Earliest(), {}
+            for batch in group:
+                for i in range(batch.num_rows):
+                    doc, own, spots = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].values
+                    words = words_of(batch.column(2)[i].as_py())
+                    row, start, n, hashes = (spots.field(k).to_numpy() for k in range(4))
+                    is_hot = np.isin(hashes, hot)
+                    for r, s, k, h, split in zip(row.tolist(), start.tolist(), n.tolist(), hashes.tolist(), is_hot.tolist(), strict=True):
+                        if r != own:
+                            continue
+                        for a, m in [(s, k)] if not split else [(j, 1) for j in range(s, s + k)]:
+                            passage = b" ".join(words[a : a + m + WINDOW - 1])
+                            found.meet(passage, doc, r, a, m)
+                            if passage not in keys:
+                                keys[passage] = h if not split else xxhash.xxh3_64_intdigest(passage) - (1 << 63)
+            rows = [(keys[p], *place, p) for p, places in found.held.items() for place in places]
+            rows += [(hash(place[:3]), *place, None) for place in found.gone]
+            for i in range(0, len(rows), 20_000):
+                yield _passage_batch(rows[i : i + 20_000])
+
+    return run
 
 
 class SuffixAutomaton:
-    """Suffix automaton over word sequences; ``None`` separates passages."""
+    """Suffix automaton over word sequences."""
 
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.last = 0
 
-    def add(self, words: list) -> None:
-        """Extend by one passage, kept apart from the others."""
+    def add(self, words: list) -> list[int]:
+        """Extend by one passage, kept apart from the others; the state reached after each word."""
         nxt, link, length = self.next, self.link, self.length
-        last = 0
+        last, states = 0, []
         for w in words:
             there = nxt[last].get(w)
             if there is not None:
                 last = there if length[there] == length[last] + 1 else self._clone(last, w, there)
+                states.append(last)
                 continue
             new = len(nxt)
             nxt.append({})
@@ -271,6 +259,8 @@ class SuffixAutomaton:
                 link.append(0)
                 link[new] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
             last = new
+            states.append(last)
+        return states
 
     def _clone(self, p: int, w, q: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -284,12 +274,11 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def matching(self, words: list) -> np.ndarray:
-        """At each word, the length of the longest passage substring that ends there."""
+    def stream(self, words: list) -> Iterator[tuple[int, int]]:
+        """At each word, the state and the length of the longest passage substring that ends there."""
         nxt, link, length = self.next, self.link, self.length
         state = size = 0
-        out = np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
+        for w in words:
             while state and w not in nxt[state]:
                 state = link[state]
                 size = length[state]
@@ -298,36 +287,124 @@ class SuffixAutomaton:
                 size += 1
             else:
                 size = 0
-            out[i] = size
-        return out
+            yield state, size
+
+    def matching(self, words: list) -> np.ndarray:
+        """The matching statistic at each word."""
+        return np.array([size for _, size in self.stream(words)], np.int64)
 
 
-def removed_mask(words: list[bytes], spans: list[tuple[int, int]], passages: list[str]) -> np.ndarray:
-    """Words to remove: those under windows of the spans whose matching statistic against the passages reaches the window."""
-    gone = np.zeros(len(words) + 1, np.int64)
+def earlier_windows(passages: list[list[bytes]], places: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Per passage, its windows that some passage holds at an earlier place; ``places``: id and start of each passage."""
     automaton = SuffixAutomaton()
-    for passage in sorted(set(passages)):
-        automaton.add(words_of(passage))
-    wanted = _spans_to_mask([s for s, _ in spans], [n for _, n in spans], max(0, len(words) - WINDOW + 1))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], wanted.astype(np.int8), [0]))))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        ends = np.flatnonzero(automaton.matching(words[a : b + WINDOW - 1])[WINDOW - 1 :] >= WINDOW) + a
-        gone[ends] += 1
-        gone[ends + WINDOW] -= 1
-    return np.cumsum(gone)[:-1] > 0
+    number = {doc: i for i, doc in enumerate(sorted({doc for doc, _ in places}))}
+    codes = [(number[doc] << 32) + start - WINDOW + 1 for doc, start in places]
+    first: dict[int, int] = {}
+    for words, code in zip(passages, codes, strict=True):
+        for end, state in enumerate(automaton.add(words)):
+            if end >= WINDOW - 1 and first.get(state, code + end) >= code + end:
+                first[state] = code + end
+    link, length = automaton.link, automaton.length
+    whole = sorted((s for s in range(len(length)) if length[s] >= WINDOW), key=length.__getitem__, reverse=True)
+    home = {}
+    for s in whole:  # what ends at a state ends at those its suffix links lead to as well
+        up = link[s]
+        if length[up] >= WINDOW and first.get(up, first[s]) >= first[s]:
+            first[up] = first[s]
+    for s in reversed(whole):  # the state of the last WINDOW words alone
+        home[s] = home.get(link[s], s)
+    out = []
+    for words, code in zip(passages, codes, strict=True):
+        gone = [size >= WINDOW and first[home[state]] < code + end for end, (state, size) in enumerate(automaton.stream(words))]
+        out.append(np.array(gone[WINDOW - 1 :], bool))
+    return out
+
+
+def _stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and size of the runs of marked places."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+    return [(a, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
+
+def _shard_runs(shard: dict[bytes, list[tuple[int, int, int, int]]]) -> list[tuple[int, int, int, int]]:
+    """Runs of windows that go: (doc_id, row, start, n)."""
+    gone = earlier_windows([p.split(b" ") for p in shard], [(places[0][0], places[0][2]) for places in shard.values()])
+    return [(doc, row, start + a, n) for mask, places in zip(gone, shard.values(), strict=True) if mask.any() for a, n in _stretches(mask) for doc, row, start, _ in places]
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key in, runs of windows that go out; at most a shard and one anchor's passages are held."""
+    shard: dict[bytes, list[tuple[int, int, int, int]]] = {}
+    weight, key, found = 0, None, _Earliest()
+
+    def emit(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "row", "start", "n"])
+
+    for batch in batches:
+        for k, doc, row, start, n, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if passage is None:
+                found.gone.append((doc, row, start, n))
+                continue
+            if k != key:
+                if len(found.held) > 1:
+                    shard |= found.held
+                    weight += sum(p[0][3] + WINDOW for p in found.held.values())
+                    if weight >= SHARD_WORDS:
+                        yield emit(_shard_runs(shard))
+                        shard, weight = {}, 0
+                key, found.held = k, {}
+            found.meet(passage, doc, row, start, n)
+        if len(found.gone) > 50_000:
+            yield emit(found.gone)
+            found.gone = []
+    if len(found.held) > 1:
+        shard |= found.held
+    yield emit(_shard_runs(shard))
+    yield emit(found.gone)
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (0 unless different texts share an id) and text, written as a table bucketed by id."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = docs.repartition(buckets, "doc_id").withColumn("row", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1).cast("int"))
+    name = f"substring_{uuid.uuid4().hex}"
+    options = {"compression": "zstd", "path": f"{shared_dir(spark)}/{name}"}
+    numbered.select("doc_id", "row", "text").write.format("parquet").options(**options).bucketBy(buckets, "doc_id").saveAsTable(name)
+    return spark.table(name)
+
+
+def repeated_runs(base: DataFrame) -> DataFrame:
+    """Runs of windows (doc_id, row, start, n windows) that stand at an earlier place as well; base: of ``bucketed``."""
+    spark = base.sparkSession
+    found = base.select("doc_id", "row", "text").mapInArrow(_anchor_rows, "key bigint, met int, hash bigint, doc_id bigint, row int, start int, n int")
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    limit = max(HOT_PLACES, size // HOT_BYTES)
+    spots = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_anchors(limit), "doc_id bigint, row int, start int, n int, hash bigint"))
+    hot = spark.sparkContext.broadcast(np.array(sorted(r["hash"] for r in spots.filter("n = 0").select("hash").collect()), np.int64))
+    by_doc = spots.filter("n > 0").groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n", "hash")).alias("spots"))
+    joined = base.join(by_doc, "doc_id").select("doc_id", "row", "text", "spots")
+    routed = joined.mapInArrow(_passages(hot), _PASSAGE).repartition("key").sortWithinPartitions("key")
+    return written(routed.mapInArrow(_decide, _RUN))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, removed, kept = [], [], []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for own, text, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             words = words_of(text)
             total.append(len(words))
-            if not found:
+            runs = [(r["start"], r["n"]) for r in found or () if r["row"] == own]
+            if not runs:
                 removed.append(0)
                 kept.append(b" ".join(words))
                 continue
-            gone = removed_mask(words, [(f["start"], f["n"]) for f in found], [f["passage"] for f in found])
+            change = np.zeros(len(words) + 1, np.int64)
+            start, n = np.array(runs).T
+            np.add.at(change, start, 1)
+            np.add.at(change, start + n + WINDOW - 1, -1)
+            gone = np.cumsum(change)[:-1] > 0
             removed.append(int(gone.sum()))
             kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
         columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())]
@@ -338,9 +415,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_words, n_removed and kept (the kept words joined by single spaces) of every document."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    runs = repeated_runs(slim)
-    asked = runs.select("ref_id", "ref_start", "n").distinct().groupBy("ref_id").agg(F.collect_list(F.struct("ref_start", "n")).alias("asked"))
-    sources = slim.join(asked, F.col("doc_id") == F.col("ref_id")).select("doc_id", "text", "asked")
-    passages = written(sources.mapInArrow(_passages, "ref_id bigint, ref_start int, n int, passage string"))
-    found = runs.join(passages.distinct(), ["ref_id", "ref_start", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "passage")).alias("found"))
-    return slim.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    base = bucketed(slim.filter("doc_id is not null"))
+    runs = repeated_runs(base).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n")).alias("runs"))
+    known = base.join(runs, "doc_id", "left").select("doc_id", "row", "text", "runs")
+    none = slim.filter("doc_id is null").select("doc_id", F.lit(0).alias("row"), "text", F.lit(None).cast("array<struct<row:int,start:int,n:int>>").alias("runs"))
+    return known.union(none).mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features of a text are the presence of its words and of their first letters (so that inflected forms share evidence). Training
-uses confirmed toxic documents and unlabelled texts only: a linear numpy classifier minimises the class-prior-corrected risk
+Features of a text are the presence of its words and of their first letters (so that inflected forms share evidence), and of pairs
+of characters where a script writes no spaces; long words count whole, under a hash. Training uses confirmed toxic documents and unlabelled texts only: a linear numpy classifier minimises the class-prior-corrected risk
 
     prior * R_positive(+1) + max(0, R_unlabelled(-1) - prior * R_positive(-1))
 
@@ -13,7 +13,9 @@ Training is bounded: ``POSITIVES`` toxic documents and ``UNLABELLED`` texts in h
 far their share among the positives exceeds that among the unlabelled, beyond what chance would give (``LEAST_Z``). Scoring covers every whole text.
 
 Defined cases: null and empty texts have no features and get the score of none; without toxic training rows every score is
-the prior; repeated rows are scored alike; extra columns are not read.
+the prior; an empty table gives an empty result; repeated rows are scored alike, repeated labels of a document count once; equally
+good features are taken in alphabetical order; texts of any length are read whole; extra columns are not read, and a kept column
+named like the score comes back as ``<name>_kept``.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ LEAST_Z = 5.0
 PRIOR_FEATURES = 20
 PREFIXES = (3, 4, 5, 6)
 WORDS_KEPT = 500_000
+#: Scripts from here on may write no spaces between words.
+_UNSPACED = "\u0e00"
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -51,11 +56,15 @@ class Model:
 
 
 def word_features(word: str) -> list[str]:
-    """The word without punctuation at its ends and its first letters, as feature names."""
-    word = word.strip(_EDGE)[:64]
-    if len(word) < 2:
+    """The word without marks at its ends and its first letters, as feature names; where scripts write no spaces, pairs of characters too."""
+    word = word.strip(_EDGE)
+    if not word:
         return []
-    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
+    whole = word if len(word) <= 64 else f"{len(word)}:{xxhash.xxh3_128_hexdigest(word.encode('utf-8', 'surrogatepass'))}"
+    out = ["=" + whole, *(word[:n] for n in PREFIXES if len(word) >= n)]
+    if not word.isascii() and max(word) >= _UNSPACED:
+        out += {"~" + word[i : i + 2] for i in range(len(word) - 1)}
+    return out
 
 
 class Reader:
@@ -182,7 +191,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.float64())], names=[*batch.schema.names[:n], "s"])
 
     ddl = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(slim.schema.fields[:n])]
-    return slim.mapInArrow(run, ", ".join([*ddl, "s double"])).toDF(*kept, out)
+    return slim.mapInArrow(run, ", ".join([*ddl, "s double"])).toDF(*(f"{c}_kept" if c == out else c for c in kept), out)
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, training) -> Model:

@@ -22,9 +22,12 @@ def brute(docs):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 200])
-def test_query_equals_brute_force(spark, tmp_path, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "shard", "hot"), [(1 << 20, 1 << 16, 4096), (200, 100, 4096), (200, 1 << 16, 2)])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, chunk, shard, hot):
+    """Also with tiny chunks and shards, and with nearly every anchor hot."""
     monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substring, "HOT_PLACES", hot)
     rnd = random.Random(6)
     vocab = ["w%d" % i for i in range(60)]
     passages = [[rnd.choice(vocab) for _ in range(rnd.randint(15, 70))] for _ in range(12)]
@@ -60,6 +63,24 @@ def test_automaton_matching_statistics():
         assert automaton.matching(text).tolist() == want
 
 
+def test_earlier_windows_against_naive_search():
+    rnd = random.Random(4)
+    for _ in range(60):
+        passages = list({tuple(rnd.choice("ab") if rnd.random() < 0.2 else "cdefghijklmnopqrstuvwxyzcdefgh"[j % 30] for j in range(o, o + rnd.randint(20, 35))) for o in (rnd.randint(0, 9) for _ in range(rnd.randint(1, 8)))})
+        places = [(rnd.randint(0, 5), rnd.randint(0, 60)) for _ in passages]
+        windows = [(p[i : i + 20], (doc, start + i)) for p, (doc, start) in zip(passages, places) for i in range(len(p) - 19)]
+        for p, (doc, start), gone in zip(passages, places, substring.earlier_windows([list(p) for p in passages], places)):
+            assert gone.tolist() == [any(w == p[i : i + 20] and at < (doc, start + i) for w, at in windows) for i in range(len(p) - 19)]
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (5, two), (5, one + " tail"), (5, two), (9, "x " + two), (None, one), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in query_substring.query(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 0), (0, 30, 0), (1, 30, 0), (5, 30, 0), (5, 30, 0), (5, 31, 30), (9, 31, 30)]
+
+
 def test_equal_windows_share_their_anchor():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 50, 400).astype(np.uint64)
