@@ -105,8 +105,12 @@ class Vocabulary:
 def sparse_product(rows: tuple[np.ndarray, np.ndarray, np.ndarray], matrix: np.ndarray) -> np.ndarray:
     """Sparse rows times a dense matrix, a whole batch at once."""
     ends, numbers, values = rows
-    sums = np.vstack((np.zeros((1, matrix.shape[1])), np.cumsum(matrix[numbers] * values[:, None], axis=0)))
-    return np.diff(sums[np.append(0, ends)], axis=0)
+    starts = np.append(0, ends[:-1])
+    out = np.zeros((len(ends), matrix.shape[1]))
+    filled = np.flatnonzero(ends > starts)
+    if len(filled):
+        out[filled] = np.add.reduceat(matrix[numbers] * values[:, None], starts[filled], axis=0)
+    return out
 
 
 class Postings:

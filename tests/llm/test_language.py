@@ -26,15 +26,63 @@ def test_held_out_and_und(spark, tmp_path):
     assert rows[304]["lang_pred"] in SYLLABLES
 
 
-def test_kernel_is_presence_overlap():
-    p = language.Presence()
-    a, b = p("the river"), p("the stone, the the")
-    ia, va = p.weighted("the river")
-    dense = np.zeros(p.width)
-    dense[ia] = va
-    ib, vb = p.weighted("the stone, the the")
-    plain = np.mean([len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y)) for x, y in zip(a, b, strict=True)])
-    assert abs(dense[ib] @ vb - plain) < 1e-12
+def naive_kernel(a, b):
+    """From the definition: sets of byte strings."""
+    total = 0
+    for n in language.SPECTRUM:
+        sets = []
+        for text in (a, b):
+            raw = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in text.lower().encode())
+            raw = b" " + b" ".join(raw.split()) + b" "
+            sets.append({raw[i : i + n] for i in range(len(raw) - n + 1)})
+        total += len(sets[0] & sets[1]) / np.sqrt(max(1, len(sets[0])) * max(1, len(sets[1])))
+    return total / len(language.SPECTRUM)
+
+
+TEXTS = ["the river", "the stone, the the", "die Tür und", "año 12 niño", "x", "日本 語", "the river", "der river the stone niño"]
+
+
+def test_kernel_equals_its_definition():
+    postings = language.Postings(TEXTS[:5])
+    found = postings.kernel(TEXTS)
+    assert np.allclose(found, [[naive_kernel(a, b) for b in TEXTS[:5]] for a in TEXTS])
+
+
+def test_batched_product_equals_single_texts_and_dense_form():
+    rng = np.random.default_rng(0)
+    postings = language.Postings(TEXTS[:6])
+    weights = rng.normal(size=(6, 3))
+    model = language.Model(["a", "b", "c"], postings.vocabulary, postings.spread(weights))
+    assert np.allclose(model.scores(TEXTS), postings.kernel(TEXTS) @ weights)
+    assert np.allclose(np.concatenate([model.scores([t]) for t in TEXTS]), model.scores(TEXTS))
+
+
+def test_regression_equals_one_solved_in_one_place(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choices(SYLLABLES[g].split(), k=9)), g) for i, g in enumerate(rnd.choices(list(SYLLABLES), k=60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language.fit(docs, docs.select("doc_id", "lang"))
+    ordered = sorted(rows, key=lambda r: (r[2], r[0]))
+    postings = language.Postings([t for _, t, _ in ordered])
+    k = postings.kernel([t for _, t, _ in ordered])
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    y = np.array([[g == name for name in sorted(SYLLABLES)] for _, _, g in ordered], float)
+    w = (len(rows) / 3 / y.sum(0))[y.argmax(1)][:, None]
+    z = k @ root
+    want = k @ root @ np.linalg.solve((z * w).T @ z + language.RIDGE * np.eye(len(rows)), (z * w).T @ y)
+    assert model.languages == sorted(SYLLABLES)
+    assert np.allclose(model.scores([t for _, t, _ in ordered]), want, atol=1e-6)
+
+
+def test_many_languages_ties_and_repeated_rows(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, f"l{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, "same text", "tie_b"), (901, "same text", "tie_a"), (902, "same text", None), (902, "same text", None)], "doc_id long, text string, lang string")
+    model = language.fit(docs, docs.select("doc_id", "lang"))
+    assert len(model.languages) == 302
+    found = [tuple(r) for r in language.predict(docs.filter("doc_id >= 900"), model).collect()]
+    assert len({r[1:] for r in found}) == 1 and found[0][1] == "tie_a"
+    assert language.predict(docs.limit(0), model).count() == 0
 
 
 def test_nothing_to_learn(spark):

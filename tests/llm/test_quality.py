@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from gristmill.llm import query_quality
+import numpy as np
+
+from gristmill.llm import quality, query_quality
 
 
 def make(spark, tmp_path, n=400, labels=True):
@@ -32,3 +34,40 @@ def test_held_out_accuracy(spark, tmp_path):
 def test_without_labels(spark, tmp_path):
     make(spark, tmp_path, 20, labels=False)
     assert {r["score"] for r in query_quality.query(spark, str(tmp_path)).collect()} == {0.5}
+
+
+def test_sizes_equal_plain_compression():
+    import zstandard
+
+    rnd = random.Random(3)
+    pieces = [[(" ".join(rnd.choices(words, k=60))).encode() for _ in range(200)] for words in (["alpha", "stone", "river"], ["BUY!!", "NOW$$", "free"])]
+    made = [quality.build_dictionary(p, 4096) for p in pieces]
+    for text in ("", "alpha river", "é" * 3000, "BUY!! NOW$$ " * 400):
+        raw, sizes = text.encode(), []
+        for d in made:
+            blocks = [raw[i : i + quality.BLOCK] for i in range(0, max(1, len(raw)), quality.BLOCK)]
+            plain = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(plain.compress(b)) for b in blocks))
+        d, e = quality.size_features(text, *(quality.compressor(m) for m in made))
+        assert abs(d - (sizes[1] - sizes[0]) / sum(sizes)) < 1e-12 and abs(e - (sizes[1] - sizes[0]) / max(1, len(raw))) < 1e-12
+
+
+def test_logistic_calibration_is_a_minimum():
+    rng = np.random.default_rng(1)
+    x = quality.expand(rng.normal(size=(200, 2)))
+    y = (rng.random(200) < 0.3).astype(float)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ x @ w + 0.5 * 1e-2 * (w[1:] ** 2).sum() + 0.5e-9 * w[0] ** 2
+    w = quality.fit_logistic(x, y)
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(scale=1e-3, size=(50, x.shape[1])))
+
+
+def test_repeated_rows_labels_ties_and_empty_table(spark, tmp_path):
+    truth = make(spark, tmp_path, 120)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, q) for i, q in truth.items()] * 2 + [(0, 1), (0, 0), (5, None), (None, 1), (99_999, 1)], "doc_id long, label int")
+    model = quality.fit(docs.union(docs.filter("doc_id < 9")), labels)
+    found = {}
+    for r in quality.score(docs.union(docs), model).collect():
+        found.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in found.values()) and len(found) == 123
+    assert quality.score(docs.limit(0), model).count() == 0

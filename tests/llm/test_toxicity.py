@@ -45,3 +45,50 @@ def test_risk_steps_separate():
     positive = np.arange(900) < 100
     weights, bias = toxicity.train_nnpu(x, positive, 0.1)
     assert bias + weights[0] > 0 > bias + weights[1]
+
+
+def test_words_whole_and_unspaced_scripts():
+    assert toxicity.word_features("(Nasty!)".lower()) == ["=nasty", "nas", "nast", "nasty"]
+    long, other = "a" * 200, "a" * 199 + "b"
+    assert toxicity.word_features(long)[0] != toxicity.word_features(other)[0]
+    assert "~悪い" in toxicity.word_features("とても悪い人") and toxicity.word_features("a") == ["=a"] and toxicity.word_features("--") == []
+
+
+def test_learns_from_unspaced_text(spark):
+    rnd = random.Random(6)
+    plain = "山川花木空海風雨雪月"
+    rows = []
+    for i in range(400):
+        body = "".join(rnd.choices(plain, k=60))
+        rows.append((i, body[:30] + "悪罵" * (i % 8 == 0) + body[30:]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400) if i % 3], "doc_id long, toxic int")
+    model = toxicity.fit_from_labels(docs, labels, lambda i: i.isNotNull())
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert min(s for i, s in found.items() if i % 8 == 0) > max(s for i, s in found.items() if i % 8)
+
+
+def test_risk_gradient_by_differences():
+    """One step from zero moments moves every weight against the sign of the numerical gradient of the corrected risk."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((60, 4)) < 0.4).astype(float)
+    positive, prior = np.arange(60) < 25, 0.2
+
+    def risk(w):
+        z = np.column_stack((x, np.ones(60))) @ w
+        p, u = z[positive], z[~positive]
+        return prior * np.logaddexp(0, -p).mean() + max(0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
+
+    start = np.append(np.zeros(4), np.log(prior / (1 - prior)))
+    weights, bias = toxicity.train_nnpu(x, positive, prior, rounds=1, rate=1e-6, ridge=0.0)
+    moved = np.append(weights, bias) - start
+    slope = np.array([(risk(start + d) - risk(start - d)) / 2e-5 for d in np.eye(5) * 1e-5])
+    assert (np.sign(moved) == -np.sign(slope)).all()
+
+
+def test_empty_table_clashing_names_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", 7.0), (1, "a b", 7.0)], "doc_id long, text string, score double")
+    model = toxicity.fit_from_labels(docs, spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, toxic int"), lambda i: i.isNotNull())
+    scored = toxicity.score(docs, model)
+    assert scored.columns == ["doc_id", "text", "score_kept", "score"] and len(set(scored.collect())) == 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
