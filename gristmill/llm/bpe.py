@@ -18,8 +18,9 @@ import base64
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from struct import pack
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from .common import in_chunks, small_batches
 
 PIECES_KEPT = 150_000
 AT_ONCE = 4096
-TEXT_AT_ONCE = 1 << 21
+TEXT_AT_ONCE = 1 << 18
 _CUT = re.compile(r" (?=[^\s\x85\xa0\x1c-\x1f])")
 _WIDE = re.compile(r" [\s\x85\xa0\x1c-\x1f]| $")
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ID = attrgetter("id")
 _RUN = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|\n")
 
 
@@ -168,50 +171,60 @@ class Codec:
                 pieces[0] = "\0" + pieces[0]
                 split.append(pieces)
                 met.update(pieces)
-            self._provide(met)
-            find = self.young.__getitem__
+            find = self._ids_of(met).__getitem__
             out += [self._apart(text) if pieces is None else b"".join(map(find, pieces)) for text, pieces in zip(group, split, strict=True)]
         return out
 
-    def _provide(self, met: set[str]) -> None:
-        """Put the ids of these pieces into the younger generation."""
+    def _ids_of(self, met: set[str]) -> dict[str, bytes]:
+        """The ids of these pieces: a small table of their own, quick to look up; the large one is asked once for each."""
         if len(self.young) > self.pieces_kept:
             self.old, self.young = self.young, {}
         young, take = self.young, self.old.pop
+        pieces = list(met)
+        own = dict(zip(pieces, map(young.get, pieces), strict=True))
         whole: list[str] = []
-        for piece in met.difference(young):
-            ids = take(piece, None) or self._alone(piece)
+        tokenize, space = self.tokenize, _SHOWN[0x20]
+        for piece in [p for p, ids in own.items() if ids is None]:
+            ids = take(piece, None)
             if ids is None:
-                whole.append(piece)
-            else:
-                young[piece] = ids
+                if tokenize is None:
+                    whole.append(piece)
+                    continue
+                if piece.isalpha() and piece.isascii():
+                    ids = array("I", map(_ID, tokenize(space + piece))).tobytes()
+                else:
+                    ids = self._alone(piece)
+                    if ids is None:
+                        whole.append(piece)
+                        continue
+            own[piece] = young[piece] = ids
         for i in range(0, len(whole), AT_ONCE):
-            own = whole[i : i + AT_ONCE]
-            real = [p[1:] if p[:1] == "\0" else " " + p for p in own]
-            for key, e in zip(own, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
-                ids = e.ids
-                young[key] = pack(f"<{len(ids)}I", *ids)
+            part = whole[i : i + AT_ONCE]
+            real = [p[1:] if p[:1] == "\0" else " " + p for p in part]
+            for key, e in zip(part, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
+                own[key] = young[key] = array("I", e.ids).tobytes()
+        return own
 
     def _alone(self, piece: str) -> bytes | None:
         """Ids of a piece of plain letters, marks and single line breaks: the model is asked for each run. None for other pieces."""
-        if self.tokenize is None:
-            return None
-        lead, bare = ("", piece[1:]) if piece[:1] == "\0" else (_SHOWN[0x20], piece)
-        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
-            ids = [t.id for t in self.tokenize(lead + self._shown(bare))]
-            return pack(f"<{len(ids)}I", *ids)
+        lead, bare = ("\0", piece[1:]) if piece[:1] == "\0" else ("", piece)
+        word = bare.rstrip(_TAIL)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self._run(lead + word) + (self._run("\0" + bare[len(word) :]) if len(word) < len(bare) else b"")
         runs = _RUN.findall(bare)
         if sum(map(len, runs)) != len(bare) or "\n\n" in bare or bare[-1:] in ("", "\n"):
             return None
-        out, known = [], self.young
-        for k, run in enumerate(runs):
-            key = run if lead and not k else "\0" + run
-            ids = known.get(key)
-            if ids is None:
-                found = [t.id for t in self.tokenize((lead if not k else "") + self._shown(run))]
-                ids = known[key] = pack(f"<{len(found)}I", *found)
-            out.append(ids)
-        return b"".join(out)
+        return self._run(lead + runs[0]) + b"".join([self._run("\0" + run) for run in runs[1:]])
+
+    def _run(self, key: str) -> bytes:
+        """Ids of one run, kept like a piece."""
+        ids = self.young.get(key)
+        if ids is None and (ids := self.old.pop(key, None)) is not None:
+            self.young[key] = ids
+        if ids is None:
+            shown = self._shown(key[1:]) if key[0] == "\0" else _SHOWN[0x20] + self._shown(key)
+            ids = self.young[key] = array("I", map(_ID, self.tokenize(shown))).tobytes()
+        return ids
 
     @staticmethod
     def _shown(run: str) -> str:
