@@ -73,33 +73,66 @@ def router_result(first: Column, second: Column) -> Column:
     return F.when(valid_sources(first), first).when(valid_sources(second), second).otherwise(F.array(F.lit("qdrant")))
 
 
-def _json_part(text: Column) -> Column:
-    """Where in a model's reply its object should be: thinking removed, a fence opened, else first to last brace."""
-    t = tx.strip(text)
-    t = F.when(t.contains("<think>"), F.regexp_replace(t, "(?s)<think>.*?</think>", "")).otherwise(t)
-    t = tx.strip(F.when(t.contains("<think>"), F.substring_index(t, "<think>", 1)).otherwise(t))
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    return F.struct(t.alias("plain"), F.when(fenced != "", fenced).otherwise(t).alias("candidate"), F.regexp_extract(t, r"(?s)\{.*\}", 0).alias("braces"))
-
-
-def parse_response(raw: Column) -> Column:
-    """answer, entities, actions and how they were found: whole, braces or text."""
-    parts = _json_part(raw)
-
-    def read(t: Column) -> Column:
-        whole = F.try_parse_json(t).isNotNull() & t.rlike(r"(?s)^\s*\{")
-        return F.when(whole, F.from_json(t, ANSWER_SCHEMA, {"mode": "PERMISSIVE"}))
-
-    whole, braces = read(parts["candidate"]), read(parts["braces"])
-    ok_whole, ok_braces = whole["answer"].isNotNull(), braces["answer"].isNotNull()
-    found = F.when(ok_whole, whole).when(ok_braces, braces)
-    none_e = F.from_json(F.lit('{"answer":"","entities":[],"actions":[]}'), ANSWER_SCHEMA)
-    return F.struct(
-        F.coalesce(found["answer"], parts["plain"]).alias("answer"),
-        F.coalesce(found["entities"], none_e["entities"]).alias("entities"),
-        F.coalesce(found["actions"], none_e["actions"]).alias("actions"),
-        F.when(ok_whole, "whole").when(ok_braces, "braces").otherwise("text").alias("form"),
+def parse_responses(rows: DataFrame, raw: str, out: str = "parsed") -> DataFrame:
+    """A struct column: answer, entities, actions of a model's reply and where they were found (whole, braces or text).
+
+    Thinking goes first (all of it from an unclosed mark on), then a fenced object takes the reply's place. An object counts if it
+    has an answer, even a null one; without any, what is left of the reply is the answer. Missing lists read as empty.
+    The steps are columns of their own, so each is evaluated once.
+    """
+    t, closed = F.col("__t"), "(?s)<think>.*?</think>"
+    rows = rows.withColumn("__t", tx.strip(raw))
+    rows = rows.withColumn("__t", F.when(t.contains("<think>"), tx.strip(F.substring_index(tx.strip(F.regexp_replace(t, closed, "")), "<think>", 1))).otherwise(t))
+    rows = rows.withColumn("__f", F.when(t.contains("```"), tx.strip(F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1))))
+    rows = rows.withColumn("__t", F.coalesce(tx.blank_to_null("__f"), t)).withColumn("__b", tx.blank_to_null(F.regexp_extract(t, r"(?s)\{.*\}", 0)))
+    for name, source in (("__w", t), ("__i", F.col("__b"))):
+        alone = F.json_array_length(F.concat(F.lit("["), source, F.lit("]"))) == 1  # valid, and nothing behind it
+        keys = F.when(alone & source.startswith("{"), F.json_object_keys(source))
+        rows = rows.withColumn(name, F.array_contains(keys, "answer"))
+        if name == "__w":
+            rows = rows.withColumn("__w", F.coalesce("__w", F.lit(False)))
+    inside = ~F.col("__w") & F.coalesce("__i", F.lit(False))
+    rows = rows.withColumn("__j", F.when(F.col("__w"), t).when(inside, F.col("__b"))).withColumn("__p", F.from_json("__j", ANSWER_SCHEMA)).withColumn("__k", F.json_object_keys("__j"))
+    empty = F.from_json(F.lit('{"answer":"","entities":[],"actions":[]}'), ANSWER_SCHEMA)
+    lists = [F.when(F.coalesce(F.array_contains("__k", c), F.lit(False)), F.col("__p")[c]).otherwise(empty[c]).alias(c) for c in ("entities", "actions")]
+    parsed = F.struct(
+        F.when(F.col("__j").isNull(), t).otherwise(F.col("__p.answer")).alias("answer"), *lists, F.when(F.col("__w"), "whole").when(inside, "braces").otherwise("text").alias("form")
     )
+    return rows.withColumn(out, parsed).drop("__t", "__f", "__b", "__w", "__i", "__j", "__p", "__k")
+
+
+def unwrap_answer(answer: Column) -> Column:
+    """The inner answer where a model put a JSON object with one into its answer."""
+    inner = F.get_json_object(answer, "$.answer")
+    return F.coalesce(F.when(tx.strip(answer).startswith("{"), inner), answer)
+
+
+# Names of languages and what they stand for.
+LANGUAGE_ALIASES = {"english": "en", "tamil": "ta", "hindi": "hi", "telugu": "te", "kannada": "kn", "malayalam": "ml"}
+
+
+def language_code(name: Column, text: Column, default: str = "en") -> Column:
+    """A two-letter code from a model's language name or code; the script of the text overrides it, unknown ones are the default."""
+    given = F.lower(tx.strip(name))
+    alias = F.create_map(*(F.lit(x) for pair in LANGUAGE_ALIASES.items() for x in pair))
+    known = F.when(given.isin(*LANGUAGE_ALIASES.values()), given).otherwise(F.try_element_at(alias, given))
+    script = tx.script_language(text)
+    return F.when(script != "en", script).otherwise(F.coalesce(known, F.lit(default)))
+
+
+def normal_sources(sources: Column) -> Column:
+    """Trimmed, lower-cased, without blanks."""
+    return F.filter(F.transform(sources, lambda s: F.lower(tx.strip(s))), lambda s: s != "")
+
+
+def dump_ids(ids: Column) -> Column:
+    """An id list as JSON text."""
+    return F.to_json(F.coalesce(ids, F.array().cast("array<string>")))
+
+
+def load_ids(text: Column) -> Column:
+    """JSON text as an id list; whatever is no list reads as empty."""
+    return F.coalesce(F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
 def entity_key(name: Column) -> Column:

@@ -24,12 +24,12 @@ def chunk_id(url: Column, index: Column, text: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("::", url, F.concat(F.lit("chunk_"), index.cast("string")), F.substring(F.sha2(text, 256), 1, 16)), 256), 1, 32)
 
 
-def adaptive_chunks(pages: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
+def adaptive_chunks(pages: DataFrame, titles: dict[str, str] | None = None, event_categories: list[str] = EVENT_CATEGORIES) -> DataFrame:
     """Chunks of pages (url, content, source, category, title): size by category, title in front, index before blanks go.
 
-    ``titles`` gives a source's title line with ``{}`` for the title.
+    ``titles`` gives a source's title line with ``{}`` for the title; a site adds its own names to ``event_categories``.
     """
-    event = F.col("category").isin(EVENT_CATEGORIES)
+    event = F.col("category").isin(event_categories)
     size, overlap = (F.when(event, a).otherwise(b) for a, b in zip(EVENT_SIZE, OTHER_SIZE, strict=True))
     line = F.col("title")
     for source, form in (titles or {}).items():

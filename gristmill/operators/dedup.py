@@ -28,9 +28,9 @@ def removed_by_source(rows: DataFrame, text: str, order: str, source: str, limit
 
 
 def filter_breadcrumbs(rows: DataFrame, text: str, source: str, least_words: int = 20) -> DataFrame:
-    """Drop breadcrumb rows, but give them back to sources that would keep nothing and whose labels say enough."""
-    marked = rows.withColumn("__crumb", tx.is_breadcrumb(text)).withColumn("__words", F.when(F.col("__crumb"), tx.breadcrumb_words(text)).otherwise(0))
-    by_source = marked.groupBy(source).agg((F.count_if(~F.col("__crumb")) > 0).alias("__survives"), F.sum("__words").alias("__total"))
-    judged = marked.join(by_source, source)
-    kept = ~F.col("__crumb") | (~F.col("__survives") & (F.col("__total") >= least_words))
-    return judged.filter(kept).withColumn("restored", F.col("__crumb")).drop("__crumb", "__words", "__survives", "__total")
+    """Drop breadcrumb rows; a source that would keep nothing gets back those whose own labels have enough words."""
+    marked = rows.withColumn("__crumb", tx.is_breadcrumb(text)).withColumn("__says", F.col("__crumb") & (tx.breadcrumb_words(text) >= least_words))
+    survives = marked.filter(~F.col("__crumb")).select(source).distinct().withColumn("__survives", F.lit(True))
+    judged = marked.join(survives, source, "left")
+    kept = ~F.col("__crumb") | (F.col("__survives").isNull() & F.col("__says"))
+    return judged.filter(kept).withColumn("restored", F.col("__crumb")).drop("__crumb", "__says", "__survives")

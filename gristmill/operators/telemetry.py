@@ -92,9 +92,18 @@ def without_nan(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def batch_means(rows: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
-    """Mean of each score column without NaN, summed in ascending order so that the result doesn't depend on partitioning."""
-    lists = without_nan(rows, columns).agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in columns))
-    return lists.select(*(F.bround(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c), digits).alias(c) for c in columns))
+    """Mean of each score column without NaN; sums are decimals, so that the result doesn't depend on partitioning."""
+    exact = [F.sum(F.col(c).cast("decimal(28,15)")).cast("double") for c in columns]
+    return without_nan(rows, columns).agg(*(F.bround(total / F.count(c), digits).alias(c) for total, c in zip(exact, columns, strict=True)))
+
+
+def silent(samples: Column, least: float = 200.0) -> Column:
+    """Mean absolute amplitude below ``least``; nothing is silent."""
+    return F.coalesce(F.aggregate(samples, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))) / F.nullif(F.size(samples), F.lit(0)) < least, F.lit(True))
+
+
+def root_mean_square(samples: Column) -> Column:
+    return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.nullif(F.size(samples), F.lit(0)))
 
 
 def sample_detail(evals: DataFrame, metrics: DataFrame) -> DataFrame:

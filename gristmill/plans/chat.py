@@ -19,7 +19,7 @@ def router_history(spark, sf_dir):
 
 
 def meta_intents(spark, sf_dir):
-    asked = F.concat(F.element_at(F.array(*map(F.lit, ["Which Languages do you speak?", "HELP me", "Who are you", "what can i ask", "the fee"])), (F.col("seq") % 5 + 1).cast("int")), F.lit(" "), F.substring("content", 1, 20))
+    asked = F.concat(F.element_at(F.array(*map(F.lit, ["Which Languages do you speak?", "HELP me", "Who are you", "what can i ask", "the fee"])), (F.col("seq") % 5 + 1).cast("int")), F.lit(" "), F.col("content"))
     return messages(spark, sf_dir).select("chat_id", "seq", chat.meta_intent(asked).alias("intent"))
 
 
@@ -38,12 +38,12 @@ def llm_response_parse(spark, sf_dir):
     m = messages(spark, sf_dir)
     body = F.to_json(F.struct(F.col("content").alias("answer")))
     raw = F.when(F.col("seq") % 4 == 0, body).when(F.col("seq") % 4 == 1, F.concat(F.lit("<think>x {</think>```json\n"), body, F.lit("\n```"))).when(F.col("seq") % 4 == 2, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise(F.col("content"))
-    parsed = m.select("chat_id", "seq", chat.parse_response(raw).alias("p"))
+    parsed = chat.parse_responses(m.withColumn("raw", raw), "raw", "p")
     return parsed.select("chat_id", "seq", F.md5("p.answer").alias("answer_md5"), "p.form")
 
 
 def entity_action_match(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     name = F.concat(F.lit("Event-"), (F.col("o_orderkey") % 11).cast("string"))
     rows = o.select(
         "o_orderkey",
@@ -55,7 +55,7 @@ def entity_action_match(spark, sf_dir):
 
 
 def translate_memo(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("chat_id", "seq", F.substring("content", 1, 3).alias("piece"), F.lit("en").alias("target"))
+    rows = messages(spark, sf_dir).select("chat_id", "seq", F.col("content").alias("piece"), F.lit("en").alias("target"))
     return chat.with_memo(rows, ["piece", "target"], "translated", F.concat_ws(":", "target", F.reverse("piece")))
 
 
@@ -74,7 +74,7 @@ WITH {MESSAGES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORD
 h AS (SELECT chat_id, right(string_agg(upper(role) || ': ' || content, chr(10) ORDER BY seq), 3000) AS h FROM n WHERE n <= 6 GROUP BY chat_id)
 SELECT chat_id, md5(h) AS history_md5, CAST(length(h) AS INTEGER) AS n FROM h""",
     "meta_intents": f"""
-WITH {MESSAGES_SQL}, q AS (SELECT chat_id, seq, lower(['Which Languages do you speak?', 'HELP me', 'Who are you', 'what can i ask', 'the fee'][seq % 5 + 1] || ' ' || substr(content, 1, 20)) AS q FROM messages)
+WITH {MESSAGES_SQL}, q AS (SELECT chat_id, seq, lower(['Which Languages do you speak?', 'HELP me', 'Who are you', 'what can i ask', 'the fee'][seq % 5 + 1] || ' ' || content) AS q FROM messages)
 SELECT chat_id, seq, CASE WHEN regexp_matches(q, 'language|speak|talk|understand') THEN 'language' WHEN regexp_matches(q, 'what can you do|help|capabilities') THEN 'help'
   WHEN regexp_matches(q, 'who are you|what are you|about you') THEN 'identity' WHEN regexp_matches(q, 'what questions can i ask|what can i ask|domains') THEN 'domains' ELSE 'general' END AS intent FROM q""",
     "routing_decision": f"""
@@ -88,6 +88,6 @@ WITH {MESSAGES_SQL} SELECT chat_id, seq, md5(CASE WHEN seq % 4 = 3 THEN regexp_r
   CASE seq % 4 WHEN 2 THEN 'braces' WHEN 3 THEN 'text' ELSE 'whole' END AS form FROM messages""",
     "entity_action_match": """
 SELECT o_orderkey, 'Event-' || (o_orderkey % 11) AS name, 'exam' AS type, strftime(o_orderdate, '%Y-%m-%d') AS event_at FROM orders
-WHERE o_orderkey % 3 = 0 AND o_orderdate > TIMESTAMP '1996-01-01 00:00:00' AND o_orderkey % 11 = 3""",
-    "translate_memo": f"WITH {MESSAGES_SQL} SELECT chat_id, seq, substr(content, 1, 3) AS piece, 'en' AS target, 'en:' || reverse(substr(content, 1, 3)) AS translated FROM messages",
+WHERE o_orderdate > TIMESTAMP '1996-01-01 00:00:00' AND o_orderkey % 11 = 3""",
+    "translate_memo": f"WITH {MESSAGES_SQL} SELECT chat_id, seq, content AS piece, 'en' AS target, 'en:' || reverse(content) AS translated FROM messages",
 }

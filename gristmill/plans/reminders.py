@@ -77,7 +77,7 @@ def upcoming_days_remaining(spark, sf_dir):
 
 
 def email_resolution(spark, sf_dir):
-    preferences = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("user_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail.example"))).otherwise("").alias("email"))
+    preferences = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail.example"))).otherwise("").alias("email"))
     return rm.recipient(_reminders(spark, sf_dir).select("reminder_id", "user_id"), preferences).select("reminder_id", "email")
 
 
@@ -132,7 +132,7 @@ SELECT reminder_id, CASE WHEN late THEN 'completed' WHEN due AND again THEN 'pen
 FROM r WHERE status = 'pending' ORDER BY event_date, reminder_id LIMIT 100""",
     "email_resolution": f"""
 WITH {_R} SELECT reminder_id, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'c' || c_custkey || '@mail.example' END, CASE WHEN contains(user_id, '@') THEN user_id END) AS email
-FROM r LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON r.user_id = CAST(c_custkey AS VARCHAR)""",
+FROM r LEFT JOIN customer c ON r.user_id = CAST(c_custkey AS VARCHAR)""",
     "reminder_display": f"""
 WITH {_R}, s AS (SELECT *, CAST(epoch({_NOW}) - epoch(event_date) AS BIGINT) AS s FROM r)
 SELECT reminder_id, strftime(event_date + INTERVAL 330 MINUTE, '%d %b %Y, %I:%M %p') || ' IST' AS shown,

@@ -25,28 +25,27 @@ def _text_queries(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir, k):
-    return rt.sparse_top_k(rt.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), _text_queries(spark, sf_dir), k, "doc_id")
+    return rt.sparse_top_k(table(spark, sf_dir, "documents"), _text_queries(spark, sf_dir), k, "doc_id")
 
 
 def sparse_bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, K).select("query_id", "doc_id", "rank", "score")
 
 
-def _by_length(spark, sf_dir, k):
-    """A second ranking to fuse with: documents of the query's length first."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").filter("doc_id % 5 = 0")
-    q = _text_queries(spark, sf_dir).select("query_id", F.length("text").alias("n"))
-    scored = d.join(F.broadcast(q), F.col("n_chars") >= F.col("n")).select("query_id", "doc_id", (-(F.col("n_chars") - F.col("n"))).alias("score"))
-    return rt.top_k(scored, "query_id", "doc_id", "score", k)
+def _dense_of_items(spark, sf_dir, k):
+    """Dense neighbours of every benchmark item that has a vector: documents and vectors share their ids."""
+    vectors = table(spark, sf_dir, "embeddings")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    asked = vectors.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vector"))
+    return rt.dense_top_k(vectors, asked, k).withColumnRenamed("vec_id", "doc_id")
 
 
 def hybrid_rrf(spark, sf_dir):
-    return rt.fuse(_by_length(spark, sf_dir, 20), _sparse(spark, sf_dir, 20), K, "doc_id").select("query_id", "doc_id", "rank", "score")
+    return rt.fuse(_dense_of_items(spark, sf_dir, 20), _sparse(spark, sf_dir, 20), K, "doc_id").select("query_id", "doc_id", "rank", "score")
 
 
 def candidate_widening(spark, sf_dir):
-    ranked = _sparse(spark, sf_dir, 220).filter((F.col("query_id") % 3 != 1) | (F.col("rank") > 100))
-    return rt.widen(ranked).groupBy("query_id", "attempts").agg(F.count(F.lit(1)).alias("n"))
+    return rt.widen(_sparse(spark, sf_dir, 220)).groupBy("query_id", "attempts").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rerank_filter(spark, sf_dir):
@@ -60,8 +59,9 @@ def rerank_plain(spark, sf_dir):
 
 
 def parent_context(spark, sf_dir):
-    hits = _sparse(spark, sf_dir, K).withColumn("parent_id", F.when(F.col("doc_id") % 6 != 0, F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string"))))
-    parents = spark.range(0, 40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("parent_id"), F.concat(F.lit("content "), F.col("id").cast("string")).alias("content"))
+    docs = table(spark, sf_dir, "documents").withColumn("parent_id", F.concat_ws("/", "source", "lang"))
+    parents = docs.groupBy("parent_id").agg(F.concat(F.lit("documents: "), F.count(F.lit(1)).cast("string")).alias("content"))
+    hits = _sparse(spark, sf_dir, K).join(docs.select("doc_id", "parent_id"), "doc_id")
     return rt.parent_context(hits, parents).select("query_id", "doc_id", "rank", "parent_id", "parent_content")
 
 
@@ -79,7 +79,7 @@ def no_info_answer(spark, sf_dir):
 
 
 def contact_text_search(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.substring("text", 1, 700).alias("name"), F.col("source").alias("_source"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.col("text").alias("name"), F.col("source").alias("_source"))
     return rt.text_search(rows, "The erat and of", ["category", "name"], "doc_id")
 
 
@@ -100,9 +100,10 @@ qt AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchm
 ss AS (SELECT query_id, doc_id, round(CAST(sum(CAST(round(tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / 256)), 9) AS DECIMAL(18, 9))) AS DOUBLE), 6) AS score
   FROM post JOIN qt USING (term) GROUP BY ALL),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ss)"""
-_LENGTH = """
-bl AS (SELECT item_id AS query_id, doc_id, -(n_chars - length(b.text)) AS score FROM documents d JOIN benchmark b ON n_chars >= length(b.text) WHERE doc_id % 5 = 0),
-lengths AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bl)"""
+_ITEMS = """
+iq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+isc AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM iq, embeddings),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM isc)"""
 _KEY = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
 _FILTER = f"""
 WITH {_DENSE}, d AS (SELECT * FROM dense WHERE rank <= 12),
@@ -113,28 +114,29 @@ ORACLE = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, rank, score FROM dense WHERE rank <= {K}",
     "sparse_bm25_topk": f"WITH {_SPARSE} SELECT query_id, doc_id, rank, score FROM sparse WHERE rank <= {K}",
     "hybrid_rrf": f"""
-WITH {_SPARSE}, {_LENGTH}, s AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS s FROM sparse WHERE rank <= 20),
-d AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS d FROM lengths WHERE rank <= 20),
+WITH {_SPARSE}, {_ITEMS}, s AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS s FROM sparse WHERE rank <= 20),
+d AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS d FROM near WHERE rank <= 20),
 f AS (SELECT query_id, doc_id, round(coalesce(d, 0) + coalesce(s, 0), 9) AS score FROM d FULL JOIN s USING (query_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
 SELECT query_id, doc_id, rank, score FROM r WHERE rank <= {K}""",
     "candidate_widening": f"""
-WITH {_SPARSE}, c AS (SELECT * FROM sparse WHERE rank <= 220 AND (query_id % 3 <> 1 OR rank > 100)),
+WITH {_SPARSE}, c AS (SELECT * FROM sparse WHERE rank <= 220),
 f AS (SELECT *, min(rank) OVER (PARTITION BY query_id) AS first FROM c),
 a AS (SELECT *, CASE WHEN first <= 80 THEN 1 WHEN first <= 140 THEN 2 WHEN first <= 220 THEN 3 END AS attempts FROM f)
 SELECT query_id, CAST(attempts AS INTEGER) AS attempts, count(*) AS n FROM a WHERE rank <= [80, 140, 220][attempts] GROUP BY ALL""",
     "rerank_filter": f"{_FILTER} SELECT query_id, vec_id, position, top_score, count(*) OVER (PARTITION BY query_id) AS docs_kept FROM a WHERE position <= least(8, greatest(above, 3))",
     "rerank_plain": f"{_FILTER} SELECT query_id, vec_id, position FROM a WHERE position <= 8",
     "parent_context": f"""
-WITH {_SPARSE}, h AS (SELECT query_id, doc_id, rank, CASE WHEN doc_id % 6 <> 0 THEN 'p' || (doc_id % 50) END AS parent_id FROM sparse WHERE rank <= {K}),
+WITH {_SPARSE}, h AS (SELECT query_id, doc_id, rank, source || '/' || lang AS parent_id FROM sparse JOIN documents USING (doc_id) WHERE rank <= {K}),
+c AS (SELECT source || '/' || lang AS parent_id, 'documents: ' || count(*) AS content FROM documents GROUP BY 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM h)
-SELECT query_id, doc_id, rank, parent_id, CASE WHEN n = 1 AND parent_id IS NOT NULL AND CAST(substr(parent_id, 2) AS INTEGER) < 40 THEN 'content ' || substr(parent_id, 2) END AS parent_content FROM n""",
+SELECT query_id, doc_id, rank, parent_id, CASE WHEN n = 1 THEN content END AS parent_content FROM n LEFT JOIN c USING (parent_id)""",
     "candidate_dedup": f"""
 WITH {_SPARSE}, h AS (SELECT query_id, doc_id, rank, {_KEY} AS k FROM sparse JOIN documents USING (doc_id) WHERE rank <= 20)
 SELECT query_id, doc_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY rank) = 1""",
     "no_info_answer": """SELECT doc_id, CASE lang WHEN 'de' THEN 'Keine Angaben gefunden.' WHEN 'fr' THEN 'Aucune information.' ELSE 'No information was found.' END AS answer FROM documents""",
     "contact_text_search": rf"""
-WITH r AS (SELECT doc_id, lang, substr(text, 1, 700) AS name FROM documents),
+WITH r AS (SELECT doc_id, lang, text AS name FROM documents),
 s AS (SELECT *, CAST(len(list_filter(regexp_split_to_array(lower(lang || ' ' || name), '[^\p{{L}}\p{{N}}]+'), lambda w: w IN ('the', 'erat', 'and', 'of'))) AS INTEGER) AS score FROM r)
 SELECT doc_id, score, 'category: ' || lang || ' | name: ' || CASE WHEN length(name) > 500 THEN substr(name, 1, 500) || '…' ELSE name END AS rendered
 FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5""",

@@ -35,7 +35,7 @@ def pdf_text_clean(spark, sf_dir):
 
 
 def wording_rewrite(spark, sf_dir):
-    said = F.concat(F.lit("Your event is scheduled for noon. I HAVE NOTED this down; reminder set, added to Calendar. "), F.substring("text", 1, 200))
+    said = F.concat(F.lit("Your event is scheduled for noon. I HAVE NOTED this down; reminder set, added to Calendar. "), F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", tx.rewrite_wording(said).alias("said"))
 
 
@@ -107,7 +107,7 @@ QUERIES = {
 
 _KEY = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_REWRITE = "concat('Your event is scheduled for noon. I HAVE NOTED this down; reminder set, added to Calendar. ', substr(text, 1, 200))"
+_REWRITE = "concat('Your event is scheduled for noon. I HAVE NOTED this down; reminder set, added to Calendar. ', text)"
 for _old, _new in tx.WORDING:
     _REWRITE = rf"regexp_replace({_REWRITE}, '\b{_old}\b', '{_new}', 'gi')"
 _NAV = r"""nav AS (
@@ -115,8 +115,8 @@ _NAV = r"""nav AS (
     lambda h: concat(regexp_replace(h, '^/', ''), ' (https://x.example', h, ')')), ' | ') AS content FROM pages
   UNION ALL SELECT page_id, 'site' || (page_id % 7), regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages WHERE page_id % 7 <> 3),
 parts AS (SELECT *, list_filter(list_transform(string_split(content, '|'), lambda p: trim(p)), lambda p: p <> '') AS p FROM nav),
-crumbs AS (SELECT *, len(p) >= 2 AND len(list_filter(p, lambda x: regexp_matches(x, '\s*\(https?://[^)]*\)\s*$'))) >= len(p) * 0.6
-  AND list_sum(list_transform(p, lambda x: length(regexp_replace(x, '\s*\(https?://[^)]*\)\s*$', '')))) <= len(p) * 30 AS crumb FROM parts)"""
+crumbs AS (SELECT *, len(p) >= 2 AND len(list_filter(p, lambda x: regexp_matches(x, '\(https?://\S+\)\s*$'))) >= len(p) * 0.6
+  AND list_sum(list_transform(p, lambda x: length(trim(regexp_replace(x, '\(https?://\S+\)\s*$', ''))))) <= len(p) * 30 AS crumb FROM parts)"""
 
 ORACLE = {
     "script_language_detect": r"""
@@ -152,9 +152,9 @@ WHERE lower(trim(content)) NOT IN ('upcoming event past event', 'read more', 'vi
 CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents""",
     "breadcrumb_filter": f"WITH {_NAV} SELECT source, count(*) FILTER (crumb) AS breadcrumbs, count(*) AS items FROM crumbs GROUP BY source",
     "breadcrumb_restore": rf"""
-WITH {_NAV}, w AS (SELECT *, CASE WHEN crumb THEN len(list_filter(regexp_split_to_array(replace(regexp_replace(content, '\(https?://[^)]*\)', '', 'g'), '|', ' '), '\s+'), lambda w: w <> '')) ELSE 0 END AS words FROM crumbs),
-s AS (SELECT source, count(*) FILTER (NOT crumb) > 0 AS survives, sum(words) AS total FROM w GROUP BY source)
-SELECT source, count(*) AS kept, count(*) FILTER (crumb) AS restored FROM w JOIN s USING (source) WHERE NOT crumb OR (NOT survives AND total >= 20) GROUP BY source""",
+WITH {_NAV}, w AS (SELECT *, crumb AND list_sum(list_transform(p, lambda x: len(list_filter(regexp_split_to_array(regexp_replace(x, '\(https?://\S+\)\s*$', ''), '\s+'), lambda v: v <> '')))) >= 20 AS says FROM crumbs),
+s AS (SELECT source, count(*) FILTER (NOT crumb) > 0 AS survives FROM w GROUP BY source)
+SELECT source, count(*) AS kept, count(*) FILTER (crumb) AS restored FROM w JOIN s USING (source) WHERE NOT crumb OR (NOT survives AND says) GROUP BY source""",
     "crawl_normalize": r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS web FROM pages",
     "url_title": r"""
 WITH s AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/]*', ''), '[?#].*$', ''), '/+$', ''), '/')[-1] AS s FROM pages),

@@ -107,7 +107,8 @@ def test_responses(spark):
         ("plain words", "plain words", "text"),
         ('{"other": 1}', '{"other": 1}', "text"),
     ]
-    got = of(spark, [(r[0],) for r in rows], "t string", chat.parse_response(F.col("t"))["answer"], chat.parse_response(F.col("t"))["form"])
+    frame = chat.parse_responses(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string"), "t", "p")
+    got = [(r["p"]["answer"], r["p"]["form"]) for r in frame.orderBy("i").collect()]
     assert got == [(r[1], r[2]) for r in rows]
 
 
@@ -173,3 +174,42 @@ def test_html(spark):
     faq = '<div class="q-content">orphan</div><div class="q-title">Q1</div><div class="q-content">A1</div><div class="q-content">A1b</div><div class="q-title">Q2</div>'
     blocks = pages.page_blocks(spark.createDataFrame([(1, "u", faq)], "page_id int, url string, html string"))
     assert [(r["question"], r["answer"]) for r in pages.faq_pairs(blocks).collect()] == [("Q1", "A1")]
+
+
+def test_response_rules(spark):
+    rows = [
+        ('```json\n{"note": "no reply here"}\n```', '{"note": "no reply here"}', "text"), ('{"answer": null}', None, "whole"), ('text {"answer": null} more', None, "braces"),
+        ('{"a": {"answer": "in"}}', '{"a": {"answer": "in"}}', "text"), ('[{"answer": "listed"}]', "listed", "braces"), ('<think>never closed {"answer": "x"}', "", "text"), ("", "", "text"),
+        ('{"answer": "a", "entities": [{"name": "n", "type": "t", "date": "d"}]}', "a", "whole"), ('{"answer": "a"} trailing {"answer": "b"}', '{"answer": "a"} trailing {"answer": "b"}', "text"),
+    ]
+    frame = chat.parse_responses(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string"), "t", "p")
+    got = frame.orderBy("i").collect()
+    assert [(r["p"]["answer"], r["p"]["form"]) for r in got] == [r[1:] for r in rows]
+    assert got[7]["p"]["entities"][0]["name"] == "n" and got[7]["p"]["actions"] == [] and got[0]["p"]["entities"] == []
+    assert len(frame._jdf.queryExecution().toString()) < 60_000
+
+
+def test_breadcrumb_rules(spark):
+    long = " | ".join(f"one two three four {i} (https://x.y/{i})" for i in range(4))
+    rows = [("a", f"w1 w2 w3 w4 w5 w{i} (https://x.y/p) | Home (https://x.y/h)") for i in range(5)]
+    rows += [("b", "Home (https://x.y/a_(b)) | About (https://x.y/c)"), ("b", "real text here"), ("c", long), ("c", "Home (https://x.y/) | Up (https://x.y/u)"), ("d", "one | two")]
+    frame = spark.createDataFrame(rows, "source string, content string")
+    assert [r[0] for r in frame.filter("source = 'b'").select(tx.is_breadcrumb("content")).collect()] == [True, False]
+    kept = sorted((r["source"], r["content"], r["restored"]) for r in dedup.filter_breadcrumbs(frame, "content", "source").collect())
+    assert kept == [("b", "real text here", False), ("c", long, True), ("d", "one | two", False)]
+
+
+def test_heading_rules(spark):
+    rows = ["Plain heading", "a b c,:", "a b c ;", "one two three four five six seven.", "six words end with stop .", "Title:", "::", " ", " ".join(["w"] * 21)]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").orderBy("i")
+    assert [r[0] for r in frame.select(tx.plausible_heading("t")).collect()] == [True, False, False, False, True, True, False, False, False]
+    assert frame.select(tx.clean_heading("t")).collect()[4][0] == "six words end with stop."
+
+
+def test_small_column_functions(spark):
+    row = spark.createDataFrame([("Tamil", "hello", " {\"answer\": \"in\"}", [3, -4], "[\"a\",\"b\"]", "\ufb01n")], "l string, t string, a string, s array<int>, ids string, k string").select(
+        chat.language_code(F.col("l"), F.col("t")).alias("code"), chat.language_code(F.col("l"), F.lit("\u0905")).alias("script"), chat.language_code(F.lit("xx"), F.col("t")).alias("unknown"),
+        chat.unwrap_answer(F.col("a")).alias("inner"), telemetry.silent(F.col("s")).alias("silent"), telemetry.root_mean_square(F.col("s")).alias("rms"), telemetry.silent(F.array().cast("array<int>")).alias("nothing"),
+        chat.load_ids(F.col("ids")).alias("ids"), chat.load_ids(F.lit("oops")).alias("bad"), chat.dump_ids(chat.load_ids(F.col("ids"))).alias("dumped"), tx.nfkc("k").alias("k"), tx.percent_text(F.lit(0.1234)).alias("p"),
+    ).first()
+    assert tuple(row) == ("ta", "hi", "en", "in", True, 12.5**0.5, True, ["a", "b"], [], '["a","b"]', "fin", "12.3%")
