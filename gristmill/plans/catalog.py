@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, corpus, reminders, retrieval, stores, telemetry, texts
+from . import chat, corpus, ingest, reminders, retrieval, stores, telemetry, texts
 
-_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus)
+_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus, ingest)
 
 
 def queries() -> dict:
