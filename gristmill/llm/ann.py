@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine: inverted lists of coarse centroids, product-quantised residuals, exact reranking.
 
-The index is fitted on a bounded sample in hash order (``FIT_ROWS``): spherical k-means gives the coarse centroids, k-means in
-each of ``PARTS`` slices of the residuals gives the codes. Every row is then indexed. The number of lists to probe is the least
+The index is fitted on a bounded sample in hash order (``FIT_ROWS``, more where many lists need it, up to ``MOST_FIT_ROWS``):
+spherical k-means gives the coarse centroids, a list for about ``ROWS_A_LIST`` rows up to ``MOST_LISTS``; k-means in each of ``PARTS`` slices of the residuals gives the codes. Every row is then indexed. The number of lists to probe is the least
 that holds ``PROBE_SHARE`` of the true neighbours among the sample, so it follows how clustered the vectors are; a query probes
 further lists while those chosen hold too few rows. Lists are dealt in tiles of a bounded number of rows by a bounded number
 of queries, so neither a crowded list nor many queries meet in one task. In a tile every query's asymmetric distance table
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .samples import hash_sample
 
-FIT_ROWS = 20_000
+FIT_ROWS, MOST_FIT_ROWS, SAMPLE_A_LIST = 20_000, 100_000, 25
 ROWS_A_LIST = 400
-MOST_LISTS = 1024
+MOST_LISTS = 4096
 PARTS = 16
 CODES = 256
 PROBE_SHARE = 0.985
@@ -53,7 +53,7 @@ class Index:
         return np.pad(x, ((0, 0), (0, extra))) if extra else x
 
     def assign(self, unit: np.ndarray) -> np.ndarray:
-        return (unit @ self.centroids.T).argmax(1)
+        return nearest_center(unit, self.centroids)
 
     def encode(self, residual: np.ndarray) -> np.ndarray:
         parts, codes, width = self.codebooks.shape
@@ -75,10 +75,20 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest_center(x: np.ndarray, centers: np.ndarray, spherical: bool = True) -> np.ndarray:
+    """The nearest center of every row, a bounded block of rows at a time."""
+    less = 0 if spherical else 0.5 * (centers * centers).sum(1)
+    return np.concatenate([(x[i : i + 4096] @ centers.T - less).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
+def list_count(rows: int) -> int:
+    return int(min(MOST_LISTS, max(1, rows // ROWS_A_LIST)))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
     centers = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = (x @ centers.T - (0 if spherical else 0.5 * (centers * centers).sum(1))).argmax(1)
+        own = nearest_center(x, centers, spherical)
         counts = np.bincount(own, minlength=k)
         sums = np.stack([np.bincount(own, x[:, d], k) for d in range(x.shape[1])], 1)
         filled = counts > 0
@@ -93,9 +103,9 @@ def fit(sample: np.ndarray, rows: int, k: int) -> Index:
     """Index parameters from a sample of the vectors; ``rows``: how many there are in all."""
     rng = np.random.default_rng(7)
     x = unit_rows(sample.astype(np.float64))
-    lists = int(min(MOST_LISTS, len(x), max(1, rows // ROWS_A_LIST)))
+    lists = min(len(x), list_count(rows))
     centroids = kmeans(x, lists, 12, rng, True)
-    own = (x @ centroids.T).argmax(1)
+    own = nearest_center(x, centroids)
     parts = min(PARTS, x.shape[1])
     index = Index(centroids, np.zeros((parts, 1, -(-x.shape[1] // parts))), x.shape[1], 1, 0.0)
     residual = index.padded(x - centroids[own]).reshape(len(x), parts, -1)
@@ -121,8 +131,9 @@ def fit(sample: np.ndarray, rows: int, k: int) -> Index:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and v of the rows that take part."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    """vec_id and v of the rows that take part; single-precision vectors stay single until they are computed with."""
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & whole)
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
@@ -130,7 +141,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def _indexer(shared):
@@ -194,21 +205,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     copies = Window.partitionBy("v").orderBy("vec_id")
     numbered = usable(vectors, vec_id, embedding).select("*", F.dense_rank().over(copies).alias("copy"), F.lag("vec_id").over(copies).alias("before"))
     rows = numbered.filter((F.col("copy") <= k + 1) & ~F.col("vec_id").eqNullSafe(F.col("before"))).drop("copy", "before")
-    rows = checkpointed(rows)
     asked = usable(queries, vec_id, embedding).dropDuplicates()
-    total = rows.count()
+    kind = asked.schema["v"].dataType.simpleString()
+    total = usable(vectors, vec_id, embedding).count()
     schema = "query_id bigint, vec_id bigint, score double"
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = hash_sample(rows.select(F.col("vec_id").alias("doc_id"), "v"), FIT_ROWS, 11).toPandas()
-    index = fit(np.array(sample.sort_values("doc_id")["v"].tolist()), total, k)
+    fit_rows = min(MOST_FIT_ROWS, max(FIT_ROWS, SAMPLE_A_LIST * list_count(total)))
+    sample = hash_sample(usable(vectors, vec_id, embedding).select(F.col("vec_id").alias("doc_id"), "v"), fit_rows, 11).toPandas()
+    index = fit(np.unique(np.array(sample["v"].tolist(), np.float64), axis=0), total, k)  # copies would pass for neighbours
     shared = spark.sparkContext.broadcast(index)
     asked = asked.filter(F.size("v") == index.width)
-    indexed = checkpointed(rows.mapInArrow(_indexer(shared), "vec_id bigint, list int, codes binary, v array<double>"))
+    indexed = checkpointed(rows.mapInArrow(_indexer(shared), f"vec_id bigint, list int, codes binary, v {rows.schema['v'].dataType.simpleString()}"))
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in indexed.groupBy("list").count().collect():  # a row for each centroid
         sizes[r["list"]] = r["count"]
-    probes = asked.mapInArrow(_prober(shared, sizes, k), "query_id bigint, lists array<int>, q array<double>")
+    probes = asked.mapInArrow(_prober(shared, sizes, k), f"query_id bigint, lists array<int>, q {kind}")
     probes = checkpointed(probes)
     asked_lists = probes.select(F.explode("lists").alias("list")).groupBy("list").count()
     blocks = np.maximum(1, -(-sizes // TILE_ROWS))
@@ -228,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
         if not len(asking) or not len(own):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), -1)
-        found = search_tile(shared.value, key[0], asking["query_id"].to_numpy(), np.stack(asking["q"].to_list()), own["vec_id"].to_numpy(), codes, np.stack(own["v"].to_list()), k)
+        found = search_tile(shared.value, key[0], asking["query_id"].to_numpy(), np.stack(asking["q"].to_list()).astype(np.float64), own["vec_id"].to_numpy(), codes, np.stack(own["v"].to_list()).astype(np.float64), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     keys = ["list", "block", "chunk"]

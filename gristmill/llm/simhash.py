@@ -143,9 +143,9 @@ def canonical_links(side: int, variant: int, fps: np.ndarray, radius: int = RADI
 
     if len(fps) <= PAIRWISE:
         blocks(np.arange(len(fps)))
-    else:  # linked pairs agree on at least one of four 16-bit words
-        for shift in (0, 16, 32, 48):
-            word = (fps >> np.uint64(shift)) & np.uint64(0xFFFF)
+    else:  # members share nearly all kept bits; linked pairs agree on at least one of four parts of the block left out
+        for k in range(4):
+            word = fps & np.uint64(sum(1 << b for b in GROUPS[side][k::4]))
             order = np.argsort(word, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(word[order])) + 1):
                 if len(part) > 1:
@@ -190,7 +190,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(fps: DataFrame) -> DataFrame:
     """Links a, b between different fingerprints; together they connect all that are within the radius of each other."""
     key = ["side", "variant"]
-    spread = variants(fps.select("fp").distinct())
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = variants(fps.select("fp").distinct().repartition(tasks, "fp"))  # each row becomes 131
     return spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links, "a bigint, b bigint").distinct()
 
 

@@ -67,3 +67,33 @@ def test_repeated_rows_do_not_displace_other_ids(spark, tmp_path):
     rows += [(150, same)] * 9 + [(200 + i, same) for i in range(1, 8)]
     got, want = run(spark, tmp_path, rows), brute(rows, [0, 50, 150])
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("clusters", [1, 40])
+def test_recall_in_64_dimensions(spark, clusters):
+    rng = np.random.default_rng(6)
+    x = (3 * rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 4000)] * (clusters > 1) + rng.normal(size=(4000, 64))).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(frame, frame.filter(F.col("vec_id") % 50 == 0)).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-cos)[:5].tolist()))
+        assert all(abs(s - cos[i]) < 1e-12 for i, s in got[q])
+    assert hits / 400 >= 0.9
+
+
+def test_double_vectors_and_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 5)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(c) for c in rng.normal(size=8)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, range(0, 400, 50))
+    got = {}
+    for r in ann.nearest(frame, frame.filter(F.col("vec_id") % 50 == 0)).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sum(len(set(got[q]) & {i for i, _ in v}) for q, v in want.items()) / 40 >= 0.9

@@ -90,3 +90,17 @@ def test_keep_one_and_empty(spark):
     docs = spark.createDataFrame([(2, "a b c d", "x"), (1, "a b c d", "y"), (3, "q r s t u", "z"), (4, None, "n"), (5, "", "n")], "doc_id long, text string, source string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 4]
     assert simhash.components(docs.filter(F.lit(False))).count() == 0
+
+
+def test_long_texts_ties_and_repeated_ids(spark):
+    long = "stone river " * 60_000
+    rows = [(9, long), (4, long), (4, "a b c d"), (7, "a b c d"), (None, "q r s t u"), (8, "q r s t u"), (2, " \n "), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"] or -1), r["fp"], r["component_id"]) for r in simhash.components(docs).collect())
+    assert len(found) == len(rows)
+    by_fp = {}
+    for _, fp, component in found:
+        by_fp.setdefault(fp, set()).add(component)
+    assert all(len(v) == 1 for v in by_fp.values())
+    assert by_fp[simhash._signed(simhash.fingerprint(long))] == {4} and by_fp[0] == {2}
+    assert by_fp[simhash._signed(simhash.fingerprint("q r s t u"))] == {8}
