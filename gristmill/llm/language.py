@@ -174,10 +174,17 @@ def _sums(shared, roots, languages: list[str], weight: dict[str, float]):
     return run
 
 
-def _per_language(known: DataFrame, each: int, most: int, seed: int) -> DataFrame:
-    """At most ``each`` rows a language and ``most`` in all, in hash order; ranks are limited before the shuffle."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ranked = known.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
+def _per_language(known: DataFrame, counts: DataFrame, each: int, most: int, seed: int) -> DataFrame:
+    """At most ``each`` rows a language and ``most`` in all, in hash order.
+
+    Rows beyond the share of the hash range in which ``each`` are as good as certain to lie go before the shuffle, so a frequent
+    language's rows never meet in one task.
+    """
+    hashed = known.join(F.broadcast(counts), "lang").withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
+    share = (each + 10 * each**0.5 + 50) / F.col("count")
+    near = hashed.filter((F.col("__h").cast("double") / 2.0**64 + 0.5) < share)
+    order = Window.partitionBy("lang").orderBy("__h", "doc_id")
+    ranked = near.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
     return ranked.orderBy("__n", F.xxhash64("lang", F.lit(seed)), "lang").limit(most).select("doc_id", "lang")
 
 
@@ -186,11 +193,12 @@ def fit(docs: DataFrame, known: DataFrame) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     known = known.filter("doc_id is not null and lang is not null").select("doc_id", "lang")
-    count = known.agg(F.countDistinct("lang").alias("n")).first()["n"]
+    counts = known.groupBy("lang").count()  # a row for each language
+    count = counts.count()
     if not count:
         return Model([])
     landmarks_each, training_each = (max(1, min(each, most // count)) for each, most in ((LANDMARKS, MOST_LANDMARKS), (TRAINING, MOST_TRAINING)))
-    chosen = texts_of_sample(docs, _per_language(known, landmarks_each, MOST_LANDMARKS, 5)).select("lang", "doc_id", "text").collect()
+    chosen = texts_of_sample(docs, _per_language(known, counts, landmarks_each, MOST_LANDMARKS, 5)).select("lang", "doc_id", "text").collect()
     if not chosen:
         return Model([])
     chosen.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"] or ""))
@@ -198,10 +206,10 @@ def fit(docs: DataFrame, known: DataFrame) -> Model:
     k_mm = postings.kernel([r["text"] or "" for r in chosen[: 2 * MOST_LANDMARKS]])
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))
-    picked = _per_language(known, training_each, max(MOST_TRAINING, count), 6)
-    counts = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
-    languages = sorted(counts)
-    weight = {g: sum(counts.values()) / len(counts) / n for g, n in counts.items()}
+    picked = _per_language(known, counts, training_each, max(MOST_TRAINING, count), 6)
+    drawn = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    languages = sorted(drawn)
+    weight = {g: sum(drawn.values()) / len(drawn) / n for g, n in drawn.items()}
     sample = texts_of_sample(docs, picked).select("lang", "text").repartition(FIT_TASKS)
     parts = sample.mapInArrow(_sums(spark.sparkContext.broadcast(postings), spark.sparkContext.broadcast(root), languages, weight), "l binary, r binary").collect()
     m = root.shape[1]
