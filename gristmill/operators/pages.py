@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.html import HEADINGS, html_blocks
+from ..functions.urls import crawl_key
+from ..session import reliable
 
 BLOCKED_HEADINGS = ["quick links", "follow us", "contact us", "related links"]
 LEAST_BLOCK = 8
@@ -62,12 +64,22 @@ def cards(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
 def crawl(edges: DataFrame, start: DataFrame, depth: int = 3, pages: int = 2500) -> DataFrame:
     """url and least depth of what a breadth-first crawl visits: every round joins the frontier with the edges and leaves out the visited.
 
-    At most ``pages`` urls, shallow ones first, then by name.
+    At most ``pages`` urls, shallow ones first, then by name. Every frontier is written to reliable storage, so a round reads the
+    edges once and its plan doesn't grow with the depth.
     """
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = frontier = reliable(start.select("url").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        found = frontier.select(F.col("url").alias("source")).join(edges, "source").select(F.col("target").alias("url")).distinct()
-        frontier = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        found = edges.join(frontier.select(F.col("url").alias("source")), "source", "left_semi").select(F.col("target").alias("url")).distinct()
+        frontier = reliable(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
         seen = seen.union(frontier)
     return seen.orderBy("depth", "url").limit(pages)
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """source and target of every page's links, as crawl keys; links that lead to no web page are left out."""
+    root = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*", 0)
+    links = pages.select(F.col("url").alias("page"), root.alias("root"), F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), 1)).alias("href"))
+    target = F.when(F.col("href").startswith("/") & ~F.col("href").startswith("//"), F.concat("root", "href")).when(F.col("href").rlike("^https?://"), F.col("href"))
+    return links.select(crawl_key("page").alias("source"), crawl_key(target).alias("target")).filter("target is not null").distinct()

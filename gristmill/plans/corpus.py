@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.urls import crawl_key
 from ..operators import chunking, pages as pg
 from ..sources.tables import table
 
@@ -64,15 +65,10 @@ def html_sections(spark, sf_dir):
     return pg.sections(table(spark, sf_dir, "pages")).select("page_id", "heading", "pos", F.size("items").alias("items"))
 
 
-def _edges(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    n = F.col("page_id")
-    return p.select(F.concat(F.lit("u"), n.cast("string")).alias("source"), F.explode(F.array(n * 3 % 251, n * 7 % 241, (n + 11) % 239)).alias("t")).select("source", F.concat(F.lit("u"), F.col("t").cast("string")).alias("target"))
-
-
 def crawl_frontier(spark, sf_dir):
-    start = spark.createDataFrame([("u1",)], "url string")
-    return pg.crawl(_edges(spark, sf_dir), start)
+    """From every page along its links."""
+    p = table(spark, sf_dir, "pages")
+    return pg.crawl(pg.link_edges(p), p.select(crawl_key("url").alias("url")), pages=1_000_000)
 
 
 def card_list(spark, sf_dir):
@@ -92,15 +88,35 @@ c AS (SELECT 'd' || doc_id AS parent_id, i - 1 AS pos, 'h' || (i - 1) AS heading
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s) WHERE (i - 1) % 4 <> 3)"""
 
 ORACLE = {
+    "greedy_pack": r"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+w AS (SELECT doc_id, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held, 0 AS n FROM s
+  UNION ALL SELECT doc_id, l, i + 1,
+    CASE WHEN length(l[i]) > 500 THEN list_concat(CASE WHEN held IS NULL THEN done ELSE list_append(done, held) END, list_transform(range(CAST((length(l[i]) - 1) // 500 + 1 AS BIGINT)), lambda k: substr(l[i], k * 500 + 1, 500)))
+      WHEN held IS NOT NULL AND n + length(l[i]) + 1 > 500 THEN list_append(done, held) ELSE done END,
+    CASE WHEN length(l[i]) > 500 THEN NULL WHEN held IS NOT NULL AND n + length(l[i]) + 1 > 500 THEN l[i] WHEN held IS NULL THEN l[i] ELSE held || ' ' || l[i] END,
+    CASE WHEN length(l[i]) > 500 THEN 0 WHEN held IS NOT NULL AND n + length(l[i]) + 1 > 500 THEN length(l[i]) + 1 ELSE n + length(l[i]) + 1 END
+  FROM w WHERE i <= len(l)),
+f AS (SELECT doc_id, CASE WHEN held IS NOT NULL THEN list_append(done, held) WHEN len(done) = 0 THEN [''] ELSE done END AS p FROM w WHERE i = len(l) + 1)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS pieces, CAST(list_max(list_transform(p, lambda x: length(x))) AS INTEGER) AS longest, md5(array_to_string(p, chr(30))) AS packed_md5 FROM f""",
+    "merge_tiny": r"""
+WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held FROM s
+  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN tiny THEN done ELSE list_append(done, body) END, CASE WHEN tiny THEN body END
+  FROM (SELECT *, i < len(l) AND len(list_filter(regexp_split_to_array(body, '\s+'), lambda v: v <> '')) < 40 AS tiny
+    FROM (SELECT *, CASE WHEN held IS NULL THEN l[i] ELSE held || chr(10) || chr(10) || l[i] END AS body FROM w WHERE i <= len(l))))
+SELECT doc_id, CAST(len(done) AS INTEGER) AS bodies, md5(array_to_string(done, chr(30))) AS merged_md5 FROM w WHERE i = len(l) + 1""",
     "chunk_ids": "SELECT doc_id, substr(sha256('https://x.example/d/' || doc_id || '::chunk_' || (doc_id % 5) || '::' || substr(sha256(text), 1, 16)), 1, 32) AS chunk_id FROM documents",
     "hierarchy_children": f"WITH {_CHILD} SELECT parent_id || '::' || heading AS child_id, parent_id, md5(content) AS content_md5 FROM c",
     "hierarchy_parents": f"""WITH {_CHILD} SELECT parent_id, md5(string_agg('Heading:' || chr(10) || heading || chr(10) || chr(10) || 'Content:' || chr(10) || content, chr(10) || chr(10) ORDER BY pos)) AS content_md5,
 count(*) AS child_count FROM c GROUP BY parent_id""",
     "html_title": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
-    "crawl_frontier": """
-WITH RECURSIVE e AS (SELECT 'u' || page_id AS source, 'u' || unnest([page_id * 3 % 251, page_id * 7 % 241, (page_id + 11) % 239]) AS target FROM pages),
-w AS (SELECT 'u1' AS url, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN e ON w.url = e.source WHERE depth < 3)
-SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY url ORDER BY depth, url LIMIT 2500""",
+    "crawl_frontier": r"""
+WITH RECURSIVE l AS (SELECT url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS root, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+t AS (SELECT url, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN root || href WHEN regexp_matches(href, '^https?://') THEN href END AS target FROM l),
+e AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS source, regexp_replace(regexp_replace(target, '[?#].*$', ''), '/+$', '') AS target FROM t WHERE target IS NOT NULL),
+w AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, 0 AS depth FROM pages UNION SELECT target, depth + 1 FROM w JOIN e ON w.url = e.source WHERE depth < 3)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY url""",
     "card_list": r"""
 WITH p AS (SELECT source AS k, doc_id, trim(CASE WHEN contains(text, chr(10)) THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END) AS name,
   regexp_replace(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '^\s+|\s+$', '', 'g') AS d FROM documents),

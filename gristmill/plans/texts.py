@@ -156,6 +156,11 @@ WITH {_NAV}, w AS (SELECT *, crumb AND list_sum(list_transform(p, lambda x: len(
 s AS (SELECT source, count(*) FILTER (NOT crumb) > 0 AS survives FROM w GROUP BY source)
 SELECT source, count(*) AS kept, count(*) FILTER (crumb) AS restored FROM w JOIN s USING (source) WHERE NOT crumb OR (NOT survives AND says) GROUP BY source""",
     "crawl_normalize": r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS web FROM pages",
+    "url_normalize": r"""
+WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages),
+q AS (SELECT *, list_sort(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)) AS pairs FROM u)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END AS url FROM q""",
     "url_title": r"""
 WITH s AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/]*', ''), '[?#].*$', ''), '/+$', ''), '/')[-1] AS s FROM pages),
 t AS (SELECT page_id, array_to_string(list_transform(list_filter(regexp_split_to_array(s, '[-_]'), lambda w: w <> ''), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS t FROM s)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gristmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,14 @@ def build_session(app: str = "gristmill", master: str | None = None, **conf: str
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder that ``spark.checkpoint.dir`` names; only a local session may do without one."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="gristmill-"))
+    return df.checkpoint()
