@@ -48,7 +48,7 @@ def entity_leaves(spark, sf_dir):
 
 def entity_embedding_text(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    names = F.array_join(F.transform(F.slice(F.split("text", " "), 1, 4), F.initcap), ",")
+    names = F.array_join(F.transform(F.slice(F.split("text", " "), 1, 4), lambda w: F.concat(F.lit("N"), w)), ",")
     content = F.when(F.col("doc_id") % 2 == 0, names).otherwise(F.col("text"))
     made = ingest.entity_embedding_text(F.col("lang"), F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).otherwise(F.col("source")), F.when(F.col("doc_id") % 5 == 0, "sub").otherwise(""), F.when(F.col("doc_id") % 2 == 0, "list").otherwise("section"), content)
     return d.select("doc_id", F.md5(made).alias("text_md5"))
@@ -249,7 +249,7 @@ ent AS (SELECT source, title, 'Lines' AS heading, 'section' AS type, NULL AS sub
   UNION ALL SELECT source, title, 'Frequently Asked Questions', 'faq', NULL, unnest(l) FROM d WHERE doc_id % 4 = 3)"""
 _EMB = r"""
 e AS (SELECT doc_id, lang AS title, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE source END AS heading, CASE WHEN doc_id % 5 = 0 THEN 'sub' END AS sub, doc_id % 2 = 0 AS list,
-  CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_transform(string_split(text, ' ')[1:4], lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ',') ELSE text END AS content FROM documents),
+  CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_transform(string_split(text, ' ')[1:4], lambda w: 'N' || w), ',') ELSE text END AS content FROM documents),
 n AS (SELECT *, list_filter(list_transform(string_split(content, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS i FROM e),
 m AS (SELECT *, list AND len(i) >= 3 AND len(list_filter(i, lambda x: regexp_matches(x, '^\p{Lu}'))) >= len(i) * 0.7
   AND len(list_filter(i, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) <= 6)) >= len(i) * 0.8 AS names FROM n)"""
