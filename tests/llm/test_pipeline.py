@@ -68,5 +68,28 @@ def test_run_equals_stages(spark, sf_dir):
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, docs.collect()))
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, folder, docs, labels=(), items=()):
+    for name, rows, schema in (("documents", docs, SCHEMA), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(list(rows), schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    out = corpus_pipeline.run(spark, tables(spark, tmp_path, []))
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+
+
+def test_repeated_and_null_ids_without_labels_or_items(spark, tmp_path):
+    long = "stone river " * 30_000
+    rows = [(7, "one two three four five six", "en", "s", 1), (7, "quite another text that stands here", None, None, None), (3, "one two three four five six", "en", "s", 1)]
+    rows += [(None, "a text without any id at all", "en", "s", 1), (9, None, "en", "s", 0), (8, "", "en", "s", 0), (5, long, "en", "s", 0), (6, long, "en", "s", 0)]
+    out = corpus_pipeline.run(spark, tables(spark, tmp_path, rows)).collect()
+    # the copy of 3 under id 7 goes, the other row of id 7 is no copy of anything and its id stays
+    assert {r["doc_id"] for r in out} == {3, 5, 7, 8, None} and all(r["round_trip"] for r in out)
+
+
 def test_redaction_names_overlaps_once():
     assert pii.redact_text("ab 1.2.3.4 z", [(3, 10, 1), (3, 8, 3), (9, 12, 0)]) == "ab [IP]"
