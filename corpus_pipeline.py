@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes each stage's rows as
 Parquet to the shared folder and reads them again as the next one's ``docs``.
+
+Defined cases: null and empty texts pass every filter as texts without words, count as copies of each other and get no tokens; a
+null text stays null until it is encoded. Rows that share an id stand or fall together as near copies, otherwise each for itself;
+null ids are one id. Of equally good rows the smallest id stays. Texts of any length are read whole. Without toxic labels nothing
+is toxic, without benchmark items nothing is cut; an empty table stays empty through all stages. Columns beyond those of
+``documents`` are carried to the last stage but one.
 """
 
 from __future__ import annotations
