@@ -52,18 +52,13 @@ def reminder_actions(commands: DataFrame, delay: str = "1 minute") -> DataFrame:
 
 
 def dispatch_once(outbox: str):
-    """A foreachBatch function that appends only actions that the outbox doesn't hold yet, so a repeated batch sends nothing twice."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["reminder_id", "action"])
-        try:
-            sent = spark.read.parquet(outbox).select("reminder_id", "action").distinct()
-            fresh = fresh.join(sent, ["reminder_id", "action"], "left_anti")
-        except Exception as e:  # the first batch finds no outbox
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(outbox)
+    """A foreachBatch function that writes every micro-batch's actions under its number: a repeated or broken-off batch replaces its own rows.
+
+    Across batches the state machine emits an action once, so nothing that is in the outbox has to be read again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(["reminder_id", "action", "at"]).write.mode("overwrite").parquet(f"{outbox}/batch={number}")
 
     return write
 
