@@ -88,6 +88,17 @@ def transition(reminders: DataFrame, events: DataFrame, now: Column) -> DataFram
     )
 
 
+def claim(rows: DataFrame, claims: DataFrame, key: str = "reminder_id") -> DataFrame:
+    """Compare and set: of each pending row's claims (key, worker, at) the earliest wins, ties by worker; other rows keep their state.
+
+    A second run finds the row claimed and gives it to nobody else.
+    """
+    first = claims.groupBy(key).agg(F.min(F.struct("at", "worker")).alias("__c"))
+    won = (F.col("status") == "pending") & F.col("__c").isNotNull()
+    joined = rows.join(first, key, "left").withColumn("claimed_by", F.when(won, F.col("__c.worker")))
+    return joined.withColumn("status", F.when(won, "processing").otherwise(F.col("status"))).drop("__c")
+
+
 def deliver(reminders: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """Stamp each enabled channel that succeeded and wasn't stamped; sent once all enabled channels are, else partial.
 

@@ -72,6 +72,12 @@ def reminder_retry(spark, sf_dir):
     return rm.process_with_retry(r, _outcomes(r), now()).select("reminder_id", "status", _day("notify_at"), "retry_count", "missed")
 
 
+def claim_pending(spark, sf_dir):
+    """Every order line is a worker that claims the order's reminder."""
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reminder_id"), F.col("l_linenumber").alias("worker"), F.col("l_shipdate").alias("at"))
+    return rm.claim(_reminders(spark, sf_dir).select("reminder_id", "status"), claims).select("reminder_id", "status", "claimed_by")
+
+
 def upcoming_days_remaining(spark, sf_dir):
     return rm.upcoming(_reminders(spark, sf_dir), now()).select("reminder_id", "days_remaining")
 
@@ -86,7 +92,7 @@ def reminder_display(spark, sf_dir):
     return r.select("reminder_id", rm.display_time(F.col("event_date")).alias("shown"), rm.relative_time(F.col("event_date"), now()).alias("ago"))
 
 
-QUERIES = {f.__name__: f for f in (reminder_create, due_dispatch, reminder_transitions, reminder_channels, reminder_retry, upcoming_days_remaining, email_resolution, reminder_display)}
+QUERIES = {f.__name__: f for f in (reminder_create, due_dispatch, reminder_transitions, reminder_channels, reminder_retry, claim_pending, upcoming_days_remaining, email_resolution, reminder_display)}
 
 _NOW = f"TIMESTAMP '{NOW_TEXT}'"
 _DAY = "strftime({0}, '%Y-%m-%d %H:%M') AS {0}"
@@ -128,6 +134,9 @@ y AS (SELECT *, result <> 'sent' AND retry_count < 3 AS again FROM x)
 SELECT reminder_id, CASE WHEN late THEN 'completed' WHEN due AND again THEN 'pending' WHEN due THEN result ELSE status END AS status,
   strftime(CASE WHEN due AND NOT late AND again THEN {_NOW} + INTERVAL 15 MINUTE ELSE y.notify_at END, '%Y-%m-%d %H:%M') AS notify_at,
   retry_count + CAST(due AND NOT late AND again AS INTEGER) AS retry_count, late AS missed FROM y""",
+    "claim_pending": f"""
+WITH {_R}, c AS (SELECT l_orderkey AS reminder_id, l_linenumber AS worker FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) = 1)
+SELECT reminder_id, CASE WHEN status = 'pending' AND worker IS NOT NULL THEN 'processing' ELSE status END AS status, CASE WHEN status = 'pending' THEN worker END AS claimed_by FROM r LEFT JOIN c USING (reminder_id)""",
     "upcoming_days_remaining": f"""WITH {_R} SELECT reminder_id, CAST(date_diff('day', DATE '1996-06-15', CAST(event_date AS DATE)) AS INTEGER) AS days_remaining
 FROM r WHERE status = 'pending' ORDER BY event_date, reminder_id LIMIT 100""",
     "email_resolution": f"""

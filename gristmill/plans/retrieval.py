@@ -32,6 +32,14 @@ def sparse_bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, K).select("query_id", "doc_id", "rank", "score")
 
 
+STOP_WORDS = ("the", "of", "and", "in", "to")
+
+
+def sparse_idf_topk(spark, sf_dir):
+    found = rt.sparse_top_k(table(spark, sf_dir, "documents"), _text_queries(spark, sf_dir), K, "doc_id", stop_words=STOP_WORDS, use_idf=True)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
 def _dense_of_items(spark, sf_dir, k):
     """Dense neighbours of every benchmark item that has a vector: documents and vectors share their ids."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -85,7 +93,7 @@ def contact_text_search(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, sparse_bm25_topk, hybrid_rrf, candidate_widening, rerank_filter, rerank_plain, parent_context, candidate_dedup, no_info_answer, contact_text_search)
+    for f in (dense_topk, sparse_bm25_topk, sparse_idf_topk, hybrid_rrf, candidate_widening, rerank_filter, rerank_plain, parent_context, candidate_dedup, no_info_answer, contact_text_search)
 }
 
 _DENSE = """
@@ -113,6 +121,11 @@ a AS (SELECT *, count(*) FILTER (score >= greatest(CAST(0.2 AS DOUBLE), top_scor
 ORACLE = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, rank, score FROM dense WHERE rank <= {K}",
     "sparse_bm25_topk": f"WITH {_SPARSE} SELECT query_id, doc_id, rank, score FROM sparse WHERE rank <= {K}",
+    "sparse_idf_topk": f"""
+WITH {_SPARSE}, qs AS (SELECT * FROM qt WHERE term NOT IN {STOP_WORDS}), df AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / CAST(count(*) + 0.5 AS DOUBLE)) AS idf FROM post GROUP BY term),
+si AS (SELECT query_id, doc_id, round(CAST(sum(CAST(round(idf * (tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / 256))), 9) AS DECIMAL(18, 9))) AS DOUBLE), 6) AS score
+  FROM post JOIN qs USING (term) JOIN df USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM si)
+SELECT query_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= {K}""",
     "hybrid_rrf": f"""
 WITH {_SPARSE}, {_ITEMS}, s AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS s FROM sparse WHERE rank <= 20),
 d AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS d FROM near WHERE rank <= 20),
