@@ -87,18 +87,26 @@ s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 c AS (SELECT 'd' || doc_id AS parent_id, i - 1 AS pos, 'h' || (i - 1) AS heading, array_to_string(string_split(l[i], '. '), ' ') AS content
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s) WHERE (i - 1) % 4 <> 3)"""
 
-ORACLE = {
-    "greedy_pack": r"""
-WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
-w AS (SELECT doc_id, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held, 0 AS n FROM s
-  UNION ALL SELECT doc_id, l, i + 1,
-    CASE WHEN length(l[i]) > 500 THEN list_concat(CASE WHEN held IS NULL THEN done ELSE list_append(done, held) END, list_transform(range(CAST((length(l[i]) - 1) // 500 + 1 AS BIGINT)), lambda k: substr(l[i], k * 500 + 1, 500)))
+_CLEAN = r"list_filter(list_transform({}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+# s(k, l): keyed item lists; f(k, p): their packed pieces.
+_PACK = """
+w AS (SELECT k, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held, 0 AS n FROM s
+  UNION ALL SELECT k, l, i + 1,
+    CASE WHEN length(l[i]) > 500 THEN list_concat(CASE WHEN held IS NULL THEN done ELSE list_append(done, held) END, list_transform(range(CAST((length(l[i]) - 1) // 500 + 1 AS BIGINT)), lambda j: substr(l[i], j * 500 + 1, 500)))
       WHEN held IS NOT NULL AND n + length(l[i]) + 1 > 500 THEN list_append(done, held) ELSE done END,
     CASE WHEN length(l[i]) > 500 THEN NULL WHEN held IS NOT NULL AND n + length(l[i]) + 1 > 500 THEN l[i] WHEN held IS NULL THEN l[i] ELSE held || ' ' || l[i] END,
     CASE WHEN length(l[i]) > 500 THEN 0 WHEN held IS NOT NULL AND n + length(l[i]) + 1 > 500 THEN length(l[i]) + 1 ELSE n + length(l[i]) + 1 END
   FROM w WHERE i <= len(l)),
-f AS (SELECT doc_id, CASE WHEN held IS NOT NULL THEN list_append(done, held) WHEN len(done) = 0 THEN [''] ELSE done END AS p FROM w WHERE i = len(l) + 1)
-SELECT doc_id, CAST(len(p) AS INTEGER) AS pieces, CAST(list_max(list_transform(p, lambda x: length(x))) AS INTEGER) AS longest, md5(array_to_string(p, chr(30))) AS packed_md5 FROM f""",
+f AS (SELECT k, CASE WHEN held IS NOT NULL THEN list_append(done, held) WHEN len(done) = 0 THEN [''] ELSE done END AS p FROM w WHERE i = len(l) + 1)"""
+
+ORACLE = {
+    "greedy_pack": f"""
+WITH RECURSIVE s AS (SELECT doc_id AS k, {_CLEAN.format("string_split(text, chr(10))")} AS l FROM documents), {_PACK}
+SELECT k AS doc_id, CAST(len(p) AS INTEGER) AS pieces, CAST(list_max(list_transform(p, lambda x: length(x))) AS INTEGER) AS longest, md5(array_to_string(p, chr(30))) AS packed_md5 FROM f""",
+    "hierarchy_leaves": f"""
+WITH RECURSIVE x AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS (SELECT struct_pack(d := doc_id, p := pos) AS k, {_CLEAN.format("string_split(line, '. ')")} AS l FROM x WHERE pos % 4 <> 3), {_PACK}
+SELECT 'd' || k.d AS parent_id, CAST(sum(len(p)) AS BIGINT) AS leaves, CAST(sum(len(p)) AS BIGINT) AS ids FROM f GROUP BY 1""",
     "merge_tiny": r"""
 WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held FROM s

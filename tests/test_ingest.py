@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions.splitting import split_text
-from gristmill.operators import hooks, ingest, pages
+from gristmill.operators import chunking, hooks, ingest, pages
 from gristmill.sources import files
 from gristmill.streaming import evaluation
 
@@ -138,3 +138,29 @@ def test_zip_robots_and_blocklists(spark):
     urls = spark.createDataFrame([(1, "https://A.example/x/1"), (2, "https://a.example/y"), (3, "https://b.example/x"), (4, "https://a.example")], "i int, url string")
     rules = spark.createDataFrame([("a.example", ["/x", ""])], "host string, disallow array<string>")
     assert {r["i"]: r["allowed"] for r in ingest.robots_allowed(urls, rules).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_adaptive_chunks_of_literal_pages(spark):
+    body = " ".join(f"Sentence number {i} stands here." for i in range(120))
+    rows = [("u1", body, "s1", "events", "T"), ("u2", body, "s2", "law", None), ("u3", "too short", "s1", "law", "T"), ("u4", body, "s1", "own_kind", "T")]
+    frame = spark.createDataFrame(rows, "url string, content string, source string, category string, title string")
+    got = {}
+    for r in chunking.adaptive_chunks(frame, {"s1": "First - {}"}, [*chunking.EVENT_CATEGORIES, "own_kind"]).orderBy("url", "chunk_index").collect():
+        got.setdefault(r["url"], []).append(r)
+    want = {"u1": split_text("First - T\n\n" + body, 500, 75), "u2": split_text(body, 1000, 150), "u4": split_text("First - T\n\n" + body, 500, 75)}
+    assert {u: [r["content"] for r in v] for u, v in got.items()} == {u: [c.strip() for c in v if c.strip()] for u, v in want.items()}
+    assert all(r["total_chunks"] == len(want[u]) for u, v in got.items() for r in v)
+    assert len({r["chunk_id"] for v in got.values() for r in v}) == sum(map(len, got.values()))
+
+
+def test_page_text_and_sections_of_literal_pages(spark):
+    html = """<html><head><title>x</title><script>var a = "<p>no</p>";</script></head><body><nav><ul><li>Menu entry here</li></ul></nav>
+<p>Words before any heading.</p><h2>First part</h2><p>A paragraph of the first part.</p><p>tiny</p><h2>Quick Links</h2><p>Not to be kept anywhere.</p>
+<h2>First part</h2><p>More of it with <a href="/more">a link</a>.</p></body></html>"""
+    page = spark.createDataFrame([(1, "https://x.example/a/topic", html)], "page_id int, url string, html string")
+    text = pages.page_text(page).first()["text"].split("\n")
+    assert "A paragraph of the first part." in text and "Words before any heading." in text and not any("var a" in t for t in text)
+    got = {r["heading"]: r["items"] for r in pages.sections(page).collect()}
+    assert got["topic - Introduction"] == ["Words before any heading."]
+    assert got["First part"][0] == "A paragraph of the first part." and got["First part"][1].startswith("More of it with a link") and "(https://x.example/more)" in got["First part"][1]
+    assert "Quick Links" not in got
