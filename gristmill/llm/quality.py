@@ -1,8 +1,9 @@
 """Quality by compression: two zstandard dictionaries, one from good and one from bad labelled text.
 
 A text is cut into blocks of ``BLOCK`` bytes (so that the dictionary, not the text's own past, decides), every block is
-compressed with either dictionary, and the difference of the summed sizes, normalised by their sum and by the text's length,
-goes through a logistic calibration.
+compressed with either dictionary and with none, and the differences of the summed sizes, each normalised by its two sizes' sum,
+go through a logistic calibration: bad against good, and what either dictionary spares against none (a text that repeats itself
+needs neither).
 
 Training is bounded: the dictionaries see whole documents in hash order, ``DICTIONARY_DOCS`` a class or as many as begin within
 the first ``DICTIONARY_TEXT`` bytes; the calibration ``CALIBRATION_DOCS`` other labelled documents, whole as well. Scoring covers
@@ -51,7 +52,7 @@ class Model:
 
     def compressors(self):
         if not self._made:
-            self._made += [compressor(self.good), compressor(self.bad)]
+            self._made += [compressor(self.good), compressor(self.bad), compressor(b"")]
         return self._made
 
 
@@ -74,15 +75,16 @@ def build_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
         return b"".join(pieces)[-size:]
 
 
-def size_features(text: str, good, bad) -> tuple[float, float]:
-    """(bad - good) / (bad + good) and (bad - good) / bytes of the summed compressed sizes."""
+def size_features(text: str, good, bad, none) -> tuple[float, float, float]:
+    """(x - y) / (x + y) of the summed compressed sizes: bad and good, none and good, none and bad."""
     raw = text.encode("utf-8", "surrogatepass")
-    g = b = 0
+    g = b = n = 0
     for i in range(0, max(1, len(raw)), BLOCK):
         block = raw[i : i + BLOCK]
         g += len(good.compress(block))
         b += len(bad.compress(block))
-    return (b - g) / (b + g), (b - g) / max(1, len(raw))
+        n += len(none.compress(block))
+    return (b - g) / (b + g), (n - g) / (n + g), (n - b) / (n + b)
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -90,15 +92,27 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+    """Ridge logistic regression by Newton steps, halved while they don't lower the loss."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-9
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * v @ penalty @ v)
+
+    best = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > best:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        best = loss(w)
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
@@ -126,10 +140,10 @@ def _measure(shared):
     """The first column with the size features of the text in the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = shared.value.compressors()
+        made = shared.value.compressors()
         for batch in batches:
-            found = np.array([size_features(x or "", good, bad) for x in batch.column(1).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(2))], names=[batch.schema.names[0], "d", "e"])
+            found = np.array([size_features(x or "", *made) for x in batch.column(1).to_pylist()]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(3))], names=[batch.schema.names[0], "d", "e", "f"])
 
     return run
 
@@ -162,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if calibration.agg(F.countDistinct("label")).first()[0] < 2:  # few labelled rows: calibrate on those of the dictionaries
         calibration = taken
     slim = texts_of_sample(docs, calibration).select("label", "text")
-    measured = slim.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label int, d double, e double").toPandas().sort_values(["label", "d", "e"])
-    x, y = measured[["d", "e"]].to_numpy(float), measured["label"].to_numpy(float)
+    measured = slim.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label int, d double, e double, f double").toPandas().sort_values(["label", "d", "e", "f"])
+    x, y = measured[["d", "e", "f"]].to_numpy(float), measured["label"].to_numpy(float)
     model.mean, model.scale = x.mean(0).tolist(), np.maximum(x.std(0), 1e-9).tolist()
     model.weights = fit_logistic(expand(np.clip((x - model.mean) / model.scale, -8, 8)), y).tolist()
     return model
@@ -179,7 +193,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in measure(batches):
-            features = np.column_stack([batch.column(i).to_numpy() for i in (1, 2)])
+            features = np.column_stack([batch.column(i).to_numpy() for i in (1, 2, 3)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, features))], names=["doc_id", out])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {out} double")

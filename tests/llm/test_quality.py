@@ -44,12 +44,13 @@ def test_sizes_equal_plain_compression():
     made = [quality.build_dictionary(p, 4096) for p in pieces]
     for text in ("", "alpha river", "é" * 3000, "BUY!! NOW$$ " * 400):
         raw, sizes = text.encode(), []
-        for d in made:
+        for d in [*made, None]:
             blocks = [raw[i : i + quality.BLOCK] for i in range(0, max(1, len(raw)), quality.BLOCK)]
-            plain = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            plain = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False)
             sizes.append(sum(len(plain.compress(b)) for b in blocks))
-        d, e = quality.size_features(text, *(quality.compressor(m) for m in made))
-        assert abs(d - (sizes[1] - sizes[0]) / sum(sizes)) < 1e-12 and abs(e - (sizes[1] - sizes[0]) / max(1, len(raw))) < 1e-12
+        found = quality.size_features(text, *(quality.compressor(m) for m in [*made, b""]))
+        want = [(sizes[x] - sizes[y]) / (sizes[x] + sizes[y]) for x, y in ((1, 0), (2, 0), (2, 1))]
+        assert np.allclose(found, want, atol=1e-12)
 
 
 def test_logistic_calibration_is_a_minimum():
