@@ -8,10 +8,13 @@ only thin out the pairs that collide:
 2. A set of n shingles emits its ``KEYS`` smallest hashes, fewer if n - ceil(0.8 n) + 1 are fewer: no similar pair's first
    common hash lies behind that many. In a similar pair at least 0.8 of the union is common, so the chance that none of the
    union's ``KEYS`` smallest hashes is common is at most 0.2 ** KEYS (7e-12); shorter sets are met with certainty.
-3. Pairs that share a hash stay if sizes allow the similarity, if the hash can be among the union's ``KEYS`` smallest, and if
-   256-bit SimHash fingerprints differ in at most ``RADIUS`` bits. A similar pair differs in 39 on average and in more than 80
-   with a chance of 3e-10; sets under ``FEW`` shingles pass without this test.
-4. What is left is verified on the whole shingle sets.
+3. Pairs that share a hash are candidates if sizes allow the similarity, if the hash can be among the union's ``KEYS`` smallest,
+   and if 256-bit SimHash fingerprints differ in at most ``RADIUS`` bits. A similar pair differs in 39 on average with a deviation
+   of 6, and in more than 64 with a chance of 5e-6; sets under ``FEW`` shingles pass up to ``WIDE`` bits, under ``TINY`` all.
+   A bucket passes on a spanning forest of its candidates, never all pairs; their components hold every similar pair.
+4. Whole shingle sets travel once, to their component. Within it all pairs are verified exactly by matrix products over the
+   shingles that sets share, and again only a forest of the links is passed on. A component of more than ``TILE`` sets is dealt in
+   tiles, each of two blocks, so none is held in one place.
 
 Texts under five words are one shingle; null and word-less texts have the empty set and count as copies of each other. Copies
 of copies belong to one group.
@@ -32,8 +35,10 @@ from .simhash import SEED, shingle_hashes, star_components
 
 SIZE = 5
 KEYS = 16
-RADIUS = 80
-FEW = 64
+RADIUS, WIDE = 64, 80
+FEW, TINY = 64, 24
+TILE = 1024
+COLUMNS = 4096
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -86,17 +91,20 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, set bigint, n bigint, fp binary, keys array<bigint>")
 
 
-def bucket_pairs(sets: np.ndarray, n: np.ndarray, pos: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of one hash's sets (sorted by n) that sizes, positions and fingerprints let through."""
+def bucket_forest(sets: np.ndarray, n: np.ndarray, pos: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """A spanning forest of the candidate pairs of one hash's sets (sorted by n): sizes, positions and fingerprints let them through."""
     ends = np.searchsorted(n, 5 * n // 4, side="right")
+    label, out = np.arange(len(sets)), []
     for i, end in enumerate(ends.tolist()):
-        for start in range(i + 1, end, 1 << 16):
-            j = np.arange(start, min(end, start + (1 << 16)))
-            j = j[pos[i] + pos[j] < KEYS]
-            if n[i] >= FEW:
-                j = j[np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= RADIUS]
-            if len(j):
-                yield np.stack([np.minimum(sets[i], sets[j]), np.maximum(sets[i], sets[j])], axis=1)
+        j = np.arange(i + 1, end)
+        j = j[(pos[i] + pos[j] < KEYS) & (label[j] != label[i])]
+        if n[i] >= TINY:
+            j = j[np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= (RADIUS if n[i] >= FEW else WIDE)]
+        if len(j):
+            others, at = np.unique(label[j], return_index=True)
+            out += [(sets[i], sets[k]) for k in j[at].tolist()]
+            label[np.isin(label, others)] = label[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +112,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, held = None, []
 
     def close() -> Iterator[pa.RecordBatch]:
-        out, waiting = [], 0
         if sum(len(h[0]) for h in held) > 1:
-            for found in bucket_pairs(*(np.concatenate(x) for x in zip(*held, strict=True))):
-                out.append(found)
-                waiting += len(found)
-                if waiting > 100_000:
-                    yield emit(out)
-                    out, waiting = [], 0
-        if out:
-            yield emit(out)
+            found = bucket_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for i in range(0, len(found), 100_000):
+                yield emit([found[i : i + 100_000]])
 
     def emit(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(found)
@@ -136,7 +138,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs a < b of different sets that may be similar."""
+    """Pairs a, b of different sets that may be similar: enough of them to connect all that may be."""
     sets = found.select("set", "n", "fp", "keys").dropDuplicates(["set"])
     spread = sets.select("set", "n", "fp", F.posexplode("keys").alias("pos", "key")).select("key", "set", "n", "pos", "fp")
     return spread.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a bigint, b bigint").distinct()
@@ -156,16 +158,76 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "set bigint, hashes array<bigint>")
 
 
+def tile_forest(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with similarity 0.8 or more between the ``left`` sets and the others, or among all if all are left."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = number[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2 ** 24 are exact
+    for start in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        common += part @ part.T
+    total = sizes[:, None] + sizes[None, :]
+    linked = 5 * common.astype(np.int64) >= 4 * (total - common.astype(np.int64))
+    label, out = np.arange(len(sets)), []
+    whole = bool(left.all())
+    for i in np.flatnonzero(left).tolist():
+        j = np.flatnonzero(linked[i] & (label != label[i]) & (True if whole else ~left))
+        if len(j):
+            others, at = np.unique(label[j], return_index=True)
+            out += [(names[i], names[k]) for k in j[at].tolist()]
+            label[np.isin(label, others)] = label[i]
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, one, other, block, set, hashes) sorted by the first three in, links out. One tile is held at a time."""
+    key, rows, out = None, [], []
+
+    def close() -> None:
+        if len(rows) > 1:
+            left = np.array([r[0] == key[1] for r in rows])
+            out.extend(tile_forest([r[1] for r in rows], [r[2] for r in rows], left))
+
+    def emit() -> pa.RecordBatch:
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        heads = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        for i, (root, one, other, block, name) in enumerate(heads):
+            if (root, one, other) != key:
+                close()
+                key, rows = (root, one, other), []
+            rows.append((block, name, batch.column(5)[i].values.to_numpy().view(np.uint64)))
+        if len(out) > 10_000:
+            yield emit()
+    close()
+    yield emit()
+
+
 def links(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs a, b of sets with similarity 0.8 or more, verified on all their shingles; found: the documents' sketches."""
-    pairs = written(candidates(found))
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    ids = written(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("__id")).select("__id").distinct())
+    """Pairs a, b of sets with similarity 0.8 or more that connect all such pairs, verified on all shingles; found: the documents' sketches."""
+    rooted = star_components(candidates(found)).select(F.col("node").alias("set"), "root")
+    rooted = written(rooted.union(rooted.select(F.col("root").alias("set"), "root").distinct()).distinct())
+    sizes = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    ids = written(found.join(rooted.select("set"), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("__id")).select("__id").distinct())
     sets = shingle_sets(docs.join(ids, docs[doc_id].eqNullSafe(ids["__id"]), "left_semi"), doc_id, text).groupBy("set").agg(F.first("hashes").alias("hashes"))
-    sets = written(sets)
-    one, other = sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
-    sized = pairs.join(one, "a").join(other, "b").select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return sized.filter(5 * F.col("common") >= 4 * (F.col("total") - F.col("common"))).select("a", "b")
+    placed = rooted.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = placed.select("root", "block", "set", other).select("root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("other"), "block", "set")
+    dealt = tiles.join(sets, "set").select("root", "one", "other", "block", "set", "hashes")
+    key = ["root", "one", "other"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify, "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -73,3 +73,48 @@ def test_fingerprints_stay_within_the_radius():
             cut = n - n // 9
             a, b = (np.frombuffer(near_copies.wide_fingerprint(x), np.uint64) for x in (both[:cut], both[n - cut :]))
             assert np.bitwise_count(a ^ b).sum() <= near_copies.RADIUS
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_large_families_and_tiles_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "COLUMNS", 64)
+    rnd = random.Random(21)
+    vocab = ["w%d" % i for i in range(2000)]
+    base = [rnd.choice(vocab) for _ in range(120)]
+    texts = []
+    for i in range(90):
+        other = base[:]
+        for _ in range(rnd.choice([1, 2, 3, 5, 9])):
+            other[rnd.randrange(len(other))] = rnd.choice(vocab)
+        texts.append(" ".join(other))
+    drift = base[:]
+    for i in range(12):  # a chain whose ends have little in common
+        drift[8 * i : 8 * i + 3] = [f"d{i}a", f"d{i}b", f"d{i}c"]
+        texts.append(" ".join(["z%d" % k for k in range(90)] + drift))
+    docs = [(rnd.randrange(10**6) * 200 + i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(frame).collect()) == plain_kept(docs)
+
+
+def test_tile_forest_equals_all_pairs():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(60)]
+    for left in (np.ones(60, bool), np.arange(60) < 25):
+        found = near_copies.tile_forest(list(range(60)), sets, left)
+        root = list(range(60))
+
+        def joined(pairs):
+            label = list(range(60))
+            for a, b in pairs:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+            return label
+
+        plain = []
+        for i in range(60):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common) and (left.all() or left[i] != left[j]):
+                    plain.append((i, j))
+        assert joined(found) == joined(plain) and len(found) < 60 and set(found) <= {(a, b) for p in plain for a, b in (p, p[::-1])} and root
