@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import query_ann, query_bpe, query_decontaminate, query_language, query_pii, query_quality, query_simhash, query_substring, query_token_files, query_toxicity
+from . import query_ann, query_bpe, query_decontaminate, query_language, query_pii, query_quality, query_runs, query_simhash, query_substring, query_token_files, query_toxicity
 
-_MODULES = (query_ann, query_pii, query_simhash, query_bpe, query_token_files, query_substring, query_quality, query_language, query_toxicity, query_decontaminate)
+_MODULES = (query_ann, query_pii, query_simhash, query_bpe, query_token_files, query_substring, query_quality, query_language, query_toxicity, query_decontaminate, query_runs)
 
 
 def queries() -> dict:
