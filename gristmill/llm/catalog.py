@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import query_ann, query_bpe, query_collocations, query_decontaminate, query_language, query_pii, query_quality, query_runs, query_simhash, query_substring, query_token_files, query_toxicity
+from . import query_ann, query_bpe, query_collocations, query_decontaminate, query_language, query_pii, query_quality, query_runs, query_simhash, query_substring, query_token_files, query_toxicity, query_warc
 
-_MODULES = (query_ann, query_pii, query_simhash, query_bpe, query_token_files, query_substring, query_quality, query_language, query_toxicity, query_decontaminate, query_runs, query_collocations)
+_MODULES = (query_ann, query_pii, query_simhash, query_bpe, query_token_files, query_substring, query_quality, query_language, query_toxicity, query_decontaminate, query_runs, query_collocations, query_warc)
 
 
 def queries() -> dict:
