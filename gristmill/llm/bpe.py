@@ -7,6 +7,9 @@ only pieces (or their runs of letters and marks) that are new, and a text's ids
 Decoding turns each id's characters back into bytes by the reversed table and joins them, so characters that tokens split come
 together again.
 
+A vocabulary file's added tokens, such as an end mark, are read as the library reads them by default: where a text holds one, it
+becomes that token. A file of ranks has none.
+
 Defined cases: null reads as empty text; an empty text has no tokens; an empty table gives an empty result; a text of any length
 is encoded whole; lone surrogates can't occur in Spark strings; repeated rows are encoded alike; of equally ranked merges the
 leftmost goes first; columns other than the named ones are passed through or not read.
@@ -62,8 +65,7 @@ def tokenizer_from_ranks(ranks: dict[bytes, int]):
     name = {k: shown_bytes(k) for k in ranks}
     merges = []
     for token in sorted(ranks, key=ranks.get):
-        splits = [(max(ranks[a], ranks[b]), name[a], name[b]) for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
-        merges += [(a, b) for _, a, b in splits]
+        merges += [(name[a], name[b]) for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
     made = Tokenizer(models.BPE(vocab={name[k]: v for k, v in ranks.items()}, merges=merges))
     made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     return made
@@ -132,9 +134,10 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else tokenizer_from_ranks(load_ranks(path))
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        #: Texts that hold one of the file's added tokens go to the library whole, which reads them as these tokens.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: The model by itself, where nothing but the byte-level split stands before it.
         plain = self.tokenizer.normalizer is None and "ByteLevel" in str(self.tokenizer.pre_tokenizer) and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
         self.tokenize = self.tokenizer.model.tokenize if plain else None
@@ -157,14 +160,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers.
 
-        A text's first piece has no space before it and is kept under a leading NUL; texts that hold a NUL bypass the table.
+        A text's first piece has no space before it and is kept under a leading NUL; texts that hold a NUL or an added token bypass the table.
         """
         out = []
         for group in in_chunks(texts, len, TEXT_AT_ONCE):
             split = []
             met: set[str] = set()
             for text in group:
-                if "\0" in text:
+                if "\0" in text or any(t in text for t in self.added):
                     split.append(None)
                     continue
                 pieces = self.cut(text)
@@ -232,6 +235,8 @@ class Codec:
         return run if run.isascii() and run != "\n" else shown_bytes(run.encode())
 
     def _apart(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = self.cut(text)
         parts = [first, *(" " + p for p in rest)]
         return b"".join(np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))

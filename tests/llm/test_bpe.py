@@ -38,11 +38,22 @@ def test_equals_rank_merging(multi):
 def test_equals_whole_text_encoding():
     codec = bpe.Codec(P.path("byte_bpe_50k.json"))
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     texts = EDGES + fuzz(2000, 9)
     assert [np.frombuffer(r, "<u4").tolist() for r in codec.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_as_the_library_reads_them():
+    codec = bpe.Codec(P.path("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rnd = random.Random(12)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "\0 <|endoftext|>", "<|endoftext |>", "x<|endoftext|>  y", "<|END|>"]
+    for text in fuzz(1500, 11):
+        at = rnd.randint(0, len(text))
+        texts.append(text[:at] + "<|endoftext|>" * rnd.randint(0, 2) + text[at:])
+    assert [np.frombuffer(r, "<u4").tolist() for r in codec.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(codec.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_round_trip_and_offsets(multi):
     codec, _ = multi
     decoder = bpe.Decoder(P.path("byte_bpe_multi_50k.tiktoken"))
