@@ -8,7 +8,7 @@ its sparse presence rows with the matrix (landmark presences' @ weights), whose
 
 Training is bounded: ``LANDMARKS`` and ``TRAINING`` texts a language in hash order, fewer where many languages share
 ``MOST_LANDMARKS`` and ``MOST_TRAINING``. The regression's normal equations are summed in the tasks. Every language that is not
-null is learnt, every whole text is scored.
+null is learnt, every whole text is scored. Rows that share id, language and text are one to learn from.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be learnt (no
 rows, no language); ties go to the language first in alphabetical order; repeated rows are scored alike; texts of any length are
@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_chunks, small_batches
-from .samples import texts_of_sample
+from .common import in_chunks, small_batches, written
 
 SPECTRUM = (1, 2, 3)
 LANDMARKS, MOST_LANDMARKS = 80, 640
@@ -174,43 +173,57 @@ def _sums(shared, roots, languages: list[str], weight: dict[str, float]):
     return run
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """lang, doc_id and a hash of the text: once for rows that are the same, so that copies of a row neither crowd a sample nor share its hash order."""
+    return rows.select("lang", "doc_id", F.xxhash64("text").alias("__t")).distinct()
+
+
+def _texts(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """lang, doc_id and text of a bounded sample of ``_different`` rows, each once."""
+    found = rows.withColumn("__t", F.xxhash64("text")).join(F.broadcast(sample), ["lang", "doc_id", "__t"])
+    return found.groupBy("lang", "doc_id", "__t").agg(F.min("text").alias("text"))
+
+
 def _per_language(known: DataFrame, counts: DataFrame, each: int, most: int, seed: int) -> DataFrame:
-    """At most ``each`` rows a language and ``most`` in all, in hash order.
+    """At most ``each`` of the ``_different`` rows a language and ``most`` in all, in hash order.
 
     Rows beyond the share of the hash range in which ``each`` are as good as certain to lie go before the shuffle, so a frequent
     language's rows never meet in one task.
     """
-    hashed = known.join(F.broadcast(counts), "lang").withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
+    hashed = known.join(F.broadcast(counts), "lang").withColumn("__h", F.xxhash64("doc_id", "__t", F.lit(seed)))
     share = (each + 10 * each**0.5 + 50) / F.col("count")
     near = hashed.filter((F.col("__h").cast("double") / 2.0**64 + 0.5) < share)
-    order = Window.partitionBy("lang").orderBy("__h", "doc_id")
+    order = Window.partitionBy("lang").orderBy("__h", "doc_id", "__t")
     ranked = near.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
-    return ranked.orderBy("__n", F.xxhash64("lang", F.lit(seed)), "lang").limit(most).select("doc_id", "lang")
+    return ranked.orderBy("__n", F.xxhash64("lang", F.lit(seed)), "lang").limit(most).select("lang", "doc_id", "__t")
 
 
-def fit(docs: DataFrame, known: DataFrame) -> Model:
-    """``known``: doc_id and lang of the rows that may be learnt from."""
+def fit(docs: DataFrame, known: DataFrame | None = None) -> Model:
+    """``docs``: doc_id, text and lang of the documents that may be learnt from; ``known`` gives doc_id and lang where these stand apart."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = known.filter("doc_id is not null and lang is not null").select("doc_id", "lang")
+    if known is not None:
+        docs = docs.select("doc_id", "text").join(known.select("doc_id", "lang").filter("lang is not null").distinct(), "doc_id")
+    rows = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null")
+    known = written(_different(rows))
     counts = known.groupBy("lang").count()  # a row for each language
     count = counts.count()
     if not count:
         return Model([])
     landmarks_each, training_each = (max(1, min(each, most // count)) for each, most in ((LANDMARKS, MOST_LANDMARKS), (TRAINING, MOST_TRAINING)))
-    chosen = texts_of_sample(docs, _per_language(known, counts, landmarks_each, MOST_LANDMARKS, 5)).select("lang", "doc_id", "text").collect()
+    chosen = _texts(rows, _per_language(known, counts, landmarks_each, MOST_LANDMARKS, 5)).select("lang", "doc_id", "text").collect()
     if not chosen:
         return Model([])
     chosen.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"] or ""))
-    postings = Postings([r["text"] or "" for r in chosen[: 2 * MOST_LANDMARKS]])
-    k_mm = postings.kernel([r["text"] or "" for r in chosen[: 2 * MOST_LANDMARKS]])
+    postings = Postings([r["text"] or "" for r in chosen])
+    k_mm = postings.kernel([r["text"] or "" for r in chosen])
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))
     picked = _per_language(known, counts, training_each, max(MOST_TRAINING, count), 6)
     drawn = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
     languages = sorted(drawn)
     weight = {g: sum(drawn.values()) / len(drawn) / n for g, n in drawn.items()}
-    sample = texts_of_sample(docs, picked).select("lang", "text").repartition(FIT_TASKS)
+    sample = _texts(rows, picked).select("lang", "text").repartition(FIT_TASKS)
     parts = sample.mapInArrow(_sums(spark.sparkContext.broadcast(postings), spark.sparkContext.broadcast(root), languages, weight), "l binary, r binary").collect()
     m = root.shape[1]
     left = sum(np.frombuffer(p["l"]).reshape(m, m) for p in parts) + RIDGE * np.eye(m)

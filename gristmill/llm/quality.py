@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """``labels``: doc_id and label (1 good, 0 bad), training rows only."""
     spark = docs.sparkSession
     small_batches(spark)
-    labels = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int"))
+    labels = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int")).distinct()
     by_class = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = by_class.get(1, 0) / sum(by_class.values()) if by_class else 0.5
     if len(by_class) < 2:

@@ -15,5 +15,5 @@ FOLDS, HELD_OUT = 5, 0
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = language.fit(docs, docs.select("doc_id", "lang").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    model = language.fit(docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     return language.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

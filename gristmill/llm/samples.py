@@ -17,6 +17,9 @@ def hash_sample(ids: DataFrame, limit: int, seed: int) -> DataFrame:
 
 
 def texts_of_sample(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of a sample whose size ``hash_sample`` bounds, with the sample's other columns."""
+    """The documents of a sample whose size ``hash_sample`` bounds: the sample's columns and text, a row for each row of the sample that has a document.
+
+    The sample's rows differ. Of documents that share an id the least text stands for all, so repeated ids never multiply the sample.
+    """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return slim.join(F.broadcast(sample), "doc_id")
+    return slim.join(F.broadcast(sample), "doc_id").groupBy(*sample.columns).agg(F.min("text").alias("text"))

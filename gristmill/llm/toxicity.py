@@ -143,7 +143,7 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, labelled: int, unlabelled_ids: Da
     toxic_ids = toxic_ids.filter("doc_id is not null").distinct()
     prior = min(0.9, max(0.005, toxic_ids.count() / max(1, labelled)))
     chosen = hash_sample(toxic_ids, POSITIVES, 3).withColumn("positive", F.lit(1))
-    rest = hash_sample(unlabelled_ids.filter("doc_id is not null"), UNLABELLED, 4).withColumn("positive", F.lit(0))
+    rest = hash_sample(unlabelled_ids.filter("doc_id is not null").distinct(), UNLABELLED, 4).withColumn("positive", F.lit(0))
     sample = checkpointed(texts_of_sample(docs, chosen.unionByName(rest)).select("positive", "text"))
     size = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):

@@ -89,3 +89,28 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     model = language.fit(docs, docs.select("doc_id", "lang"))
     assert language.predict(docs, model).collect()[0]["lang_pred"] == "und"
+
+
+def test_repeated_ids_and_rows_lose_no_language(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choices(SYLLABLES["aa"].split(), k=9)), "aa") for i in range(300)]
+    rows += [(7_000_000, " ".join(rnd.choices(SYLLABLES["bb"].split(), k=9)) if k % 2 else "der die und", "bb") for k in range(8000)]
+    rows += [(8_000_000, "ción que los mente", "cc")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    for model in (language.fit(docs), language.fit(docs, docs.select("doc_id", "lang"))):
+        assert model.languages == ["aa", "bb", "cc"]
+        found = model.scores(["the river of and the", "die Tür und der", "ción que los"])
+        assert found.argmax(1).tolist() == [0, 1, 2]
+    known = language._different(docs)
+    counts = known.groupBy("lang").count()
+    assert counts.filter("lang = 'cc'").first()["count"] == 1
+    sample = language._per_language(known, counts, 50, 1000, 6)
+    drawn = language._texts(docs, sample).groupBy("lang").count()
+    assert {r["lang"]: r["count"] for r in drawn.collect()} == {"aa": 50, "bb": 50, "cc": 1}
+
+
+def test_every_language_has_a_landmark(spark):
+    """Repeated ids take no other language's place among the landmarks."""
+    rows = [(1, f"only {i} first words", "aa") for i in range(2000)] + [(2, "zz yy xx", "zz")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "zz"] and model.scores(["zz yy xx"]).argmax() == 1

@@ -72,3 +72,17 @@ def test_repeated_rows_labels_ties_and_empty_table(spark, tmp_path):
         found.setdefault(r["doc_id"], set()).add(r["score"])
     assert all(len(v) == 1 for v in found.values()) and len(found) == 123
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_labels_and_documents_stay_within_bounds(spark):
+    from gristmill.llm.samples import texts_of_sample
+
+    docs = spark.createDataFrame([(1, "a")] * 300 + [(1, "b")] * 200 + [(i, "x") for i in range(2, 50)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] * 130 + [(1, 0)] + [(2, 0)] * 9, "doc_id long, label int").distinct()
+    got = sorted((r["doc_id"], r["label"], r["text"]) for r in texts_of_sample(docs, labels).collect())
+    assert got == [(1, 0, "a"), (1, 1, "a"), (2, 0, "x")]
+    rows = [(i, ("good plain words %d " % i if i % 2 else "junk @@ %d ## " % (i * 7)) * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows + [rows[5]] * 10_000, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5, 1)] * 10_000, "doc_id long, label int")
+    model = quality.fit(docs, labels)
+    assert model.prior == 0.5 and len(model.weights) > 0

@@ -92,3 +92,14 @@ def test_empty_table_clashing_names_and_repeated_rows(spark):
     scored = toxicity.score(docs, model)
     assert scored.columns == ["doc_id", "text", "score_kept", "score"] and len(set(scored.collect())) == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_stay_within_bounds(spark, monkeypatch):
+    taken = []
+    kept = toxicity.checkpointed
+    monkeypatch.setattr(toxicity, "checkpointed", lambda df: taken.append(kept(df)) or taken[-1])
+    rows = [(i, "you vile scum go" if i % 4 == 0 else "a calm day %d" % i) for i in range(200)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 10_000 + [rows[4]] * 10_000, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)] + [(4, 1)] * 10_000, "doc_id long, toxic int")
+    toxicity.fit_from_labels(docs, labels, lambda i: i.isNotNull())
+    assert {r["positive"]: r["count"] for r in taken[0].groupBy("positive").count().collect()} == {0: 200, 1: 25}
