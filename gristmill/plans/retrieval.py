@@ -37,7 +37,7 @@ STOP_WORDS = ("the", "of", "and", "in", "to")
 
 def sparse_idf_topk(spark, sf_dir):
     found = rt.sparse_top_k(table(spark, sf_dir, "documents"), _text_queries(spark, sf_dir), K, "doc_id", stop_words=STOP_WORDS, use_idf=True)
-    return found.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return found.select("query_id", "doc_id", "rank", "score")
 
 
 def _dense_of_items(spark, sf_dir, k):
@@ -105,7 +105,7 @@ _SPARSE = f"""
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 post AS (SELECT term, doc_id, l, count(*) AS tf FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM dw) GROUP BY ALL),
 qt AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark),
-ss AS (SELECT query_id, doc_id, round(CAST(sum(CAST(round(tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / 256)), 9) AS DECIMAL(18, 9))) AS DOUBLE), 6) AS score
+ss AS (SELECT query_id, doc_id, CAST(round(sum(CAST(round(tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / 256)), 9) AS DECIMAL(18, 9))), 6) AS DOUBLE) AS score
   FROM post JOIN qt USING (term) GROUP BY ALL),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ss)"""
 _ITEMS = """
@@ -123,9 +123,9 @@ ORACLE = {
     "sparse_bm25_topk": f"WITH {_SPARSE} SELECT query_id, doc_id, rank, score FROM sparse WHERE rank <= {K}",
     "sparse_idf_topk": f"""
 WITH {_SPARSE}, qs AS (SELECT * FROM qt WHERE term NOT IN {STOP_WORDS}), df AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / CAST(count(*) + 0.5 AS DOUBLE)) AS idf FROM post GROUP BY term),
-si AS (SELECT query_id, doc_id, round(CAST(sum(CAST(round(idf * (tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / 256))), 9) AS DECIMAL(18, 9))) AS DOUBLE), 6) AS score
+si AS (SELECT query_id, doc_id, CAST(round(sum(CAST(round(idf * (tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l / 256))), 9) AS DECIMAL(18, 9))), 6) AS DOUBLE) AS score
   FROM post JOIN qs USING (term) JOIN df USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM si)
-SELECT query_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= {K}""",
+SELECT query_id, doc_id, rank, score FROM r WHERE rank <= {K}""",
     "hybrid_rrf": f"""
 WITH {_SPARSE}, {_ITEMS}, s AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS s FROM sparse WHERE rank <= 20),
 d AS (SELECT query_id, doc_id, CAST(1 AS DOUBLE) / (1 + rank) AS d FROM near WHERE rank <= 20),
