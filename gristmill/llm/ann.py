@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: inverted lists of coarse centroids, product-quantised residuals, exact reranking.
 
 The index is fitted on a bounded sample in hash order (``FIT_ROWS``, more where many lists need it, up to ``MOST_FIT_ROWS``):
-spherical k-means gives the coarse centroids, a list for about ``ROWS_A_LIST`` rows up to ``MOST_LISTS``; k-means in each of ``PARTS`` slices of the residuals gives the codes. Every row is then indexed. The number of lists to probe is the least
+spherical k-means gives the coarse centroids, a list for about ``ROWS_A_LIST`` rows up to ``MANY_LISTS`` and then as many as
+the root of the rows; k-means in each of ``PARTS`` slices of the residuals gives the codes. Every row is then indexed. The number of lists to probe is the least
 that holds ``PROBE_SHARE`` of the true neighbours among the sample, so it follows how clustered the vectors are; a query probes
 further lists while those chosen hold too few rows. Lists are dealt in tiles of a bounded number of rows by a bounded number
 of queries, so neither a crowded list nor many queries meet in one task. In a tile every query's asymmetric distance table
@@ -15,6 +16,7 @@ from keeping all; fewer candidates than k give fewer rows; repeated ids count as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ from .samples import hash_sample
 
 FIT_ROWS, MOST_FIT_ROWS, SAMPLE_A_LIST = 20_000, 100_000, 25
 ROWS_A_LIST = 400
-MOST_LISTS = 4096
+MANY_LISTS = 4096
 PARTS = 16
 CODES = 256
 PROBE_SHARE = 0.985
@@ -82,7 +84,8 @@ def nearest_center(x: np.ndarray, centers: np.ndarray, spherical: bool = True) -
 
 
 def list_count(rows: int) -> int:
-    return int(min(MOST_LISTS, max(1, rows // ROWS_A_LIST)))
+    """A list for ``ROWS_A_LIST`` rows up to ``MANY_LISTS``, beyond that the root of the rows: lists and centroids grow alike."""
+    return max(1, min(rows // ROWS_A_LIST, max(MANY_LISTS, math.isqrt(rows))))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
@@ -202,9 +205,9 @@ def search_tile(index: Index, place: int, query_ids: np.ndarray, queries: np.nda
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for every row of ``queries``, itself left out."""
     spark = vectors.sparkSession
-    copies = Window.partitionBy("v").orderBy("vec_id")
-    numbered = usable(vectors, vec_id, embedding).select("*", F.dense_rank().over(copies).alias("copy"), F.lag("vec_id").over(copies).alias("before"))
-    rows = numbered.filter((F.col("copy") <= k + 1) & ~F.col("vec_id").eqNullSafe(F.col("before"))).drop("copy", "before")
+    different = usable(vectors, vec_id, embedding).distinct()
+    copies = Window.partitionBy("v").orderBy("vec_id")  # ranks are limited before the shuffle, so copies of one vector don't meet in one task
+    rows = different.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
     asked = usable(queries, vec_id, embedding).dropDuplicates()
     kind = asked.schema["v"].dataType.simpleString()
     total = usable(vectors, vec_id, embedding).count()

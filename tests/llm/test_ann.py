@@ -97,3 +97,20 @@ def test_double_vectors_and_many_lists(spark, monkeypatch):
     for r in ann.nearest(frame, frame.filter(F.col("vec_id") % 50 == 0)).collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert sum(len(set(got[q]) & {i for i, _ in v}) for q, v in want.items()) / 40 >= 0.9
+
+
+def test_lists_follow_the_rows():
+    assert [ann.list_count(n) for n in (0, 399, 4000, 1_000_000, 4_000_000, 1_000_000_000)] == [1, 1, 10, 2500, 4096, 31622]
+
+
+def test_copies_are_limited_before_they_meet(spark):
+    """One vector in thousands of rows: no task gets more of them than k + 1 from each of the others."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(3000)] + [(i % 7, [1.0, 2.0, 0.5]) for i in range(3000)] + [(10_000 + i, [float(i), 1.0, -1.0]) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    found = ann.nearest(vectors, vectors.filter("vec_id in (0, 2999, 10007)"))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    assert [got[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [got[2999, k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+    assert len([1 for q, _ in got if q == 10_007]) == 5
+    different = ann.usable(vectors).distinct()
+    ranked = different.withColumn("copy", ann.F.row_number().over(ann.Window.partitionBy("v").orderBy("vec_id"))).filter("copy <= 6")
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().toString()
