@@ -8,7 +8,7 @@ shard. So shards are routed, and a passage meets just the shard that can hold it
    word in eight is one. Anchors are grouped by hash; what was met once can't repeat and is left out.
 2. Passages. The windows around one place of a repeated anchor form a passage of at most ``2 * WINDOW`` words. Passages travel to
    their anchor's shard; equal passages of a task are combined before, only the earliest travels. Anchors that are met very often
-   (``hot_limit``) are split: there every window travels by itself, by its own hash, so that what meets is equal and
+   (``HOT_PLACES``) are split: there every window travels by itself, by its own hash, so that what meets is equal and
    combines as well.
 3. Automata. A shard holds whole anchors, about ``SHARD_WORDS`` words. Its suffix automaton keeps for every state the earliest
    window that ends there; all passages stream through it, and where the matching statistic reaches ``WINDOW`` words, a window
@@ -39,8 +39,8 @@ WINDOW = 20
 GRAM = 5
 CHUNK_WORDS = 1 << 21
 SHARD_WORDS = 1 << 16
-#: An anchor is hot from so many places on, or from a place in so many bytes of text on: at most some hundred thousand anchors are.
-HOT_PLACES, HOT_BYTES = 4096, 50_000_000
+#: An anchor is hot from so many places on.
+HOT_PLACES = 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -195,20 +195,17 @@ def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "doc_id", "row", "start", "n", "passage"])
 
 
-def _passages(shared):
+def _passages():
     """Documents with their places in, passages out. No passage: a place whose windows all go, settled within the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for group in in_chunks(batches, lambda b: b.nbytes // 7 + 1, CHUNK_WORDS):
             found, keys = _Earliest(), {}
             for batch in group:
                 for i in range(batch.num_rows):
                     doc, own, spots = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].values
                     words = words_of(batch.column(2)[i].as_py())
-                    row, start, n, hashes = (spots.field(k).to_numpy() for k in range(4))
-                    is_hot = np.isin(hashes, hot)
-                    for r, s, k, h, split in zip(row.tolist(), start.tolist(), n.tolist(), hashes.tolist(), is_hot.tolist(), strict=True):
+                    for r, s, k, h, split in zip(*(spots.field(k).to_pylist() for k in range(5)), strict=True):
                         if r != own:
                             continue
                         for a, m in [(s, k)] if not split else [(j, 1) for j in range(s, s + k)]:
@@ -372,20 +369,20 @@ def bucketed(docs: DataFrame) -> DataFrame:
     name = f"substring_{uuid.uuid4().hex}"
     options = {"compression": "zstd", "path": f"{shared_dir(spark)}/{name}"}
     numbered.select("doc_id", "row", "text").write.format("parquet").options(**options).bucketBy(buckets, "doc_id").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; its files lie in the application's folder
+    return found
 
 
 def repeated_runs(base: DataFrame) -> DataFrame:
     """Runs of windows (doc_id, row, start, n windows) that stand at an earlier place as well; base: of ``bucketed``."""
-    spark = base.sparkSession
     found = base.select("doc_id", "row", "text").mapInArrow(_anchor_rows, "key bigint, met int, hash bigint, doc_id bigint, row int, start int, n int")
-    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    limit = max(HOT_PLACES, size // HOT_BYTES)
-    spots = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_anchors(limit), "doc_id bigint, row int, start int, n int, hash bigint"))
-    hot = spark.sparkContext.broadcast(np.array(sorted(r["hash"] for r in spots.filter("n = 0").select("hash").collect()), np.int64))
-    by_doc = spots.filter("n > 0").groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n", "hash")).alias("spots"))
+    spots = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_anchors(HOT_PLACES), "doc_id bigint, row int, start int, n int, hash bigint"))
+    hot = written(spots.filter("n = 0").select("hash").distinct()).withColumn("hot", F.lit(True))  # its files' size decides how it is joined
+    flagged = spots.filter("n > 0").join(hot, "hash", "left")
+    by_doc = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n", "hash", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
     joined = base.join(by_doc, "doc_id").select("doc_id", "row", "text", "spots")
-    routed = joined.mapInArrow(_passages(hot), _PASSAGE).repartition("key").sortWithinPartitions("key")
+    routed = joined.mapInArrow(_passages(), _PASSAGE).repartition("key").sortWithinPartitions("key")
     return written(routed.mapInArrow(_decide, _RUN))
 
 

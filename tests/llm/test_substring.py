@@ -86,3 +86,18 @@ def test_equal_windows_share_their_anchor():
     h = rng.integers(0, 50, 400).astype(np.uint64)
     g = substring.gram_hashes(h, substring.GRAM)
     assert substring.sliding_least(g, 16).tolist() == [i + int(g[i : i + 16].argmin()) for i in range(len(g) - 15)]
+
+
+def test_hot_anchors_in_many_documents_and_no_table_left(spark):
+    """A passage in a hundred documents, hot from the third place on, between words of their own."""
+    line = " ".join(f"p{i}" for i in range(45))
+    docs = {i: " ".join([f"d{i}a{j}" for j in range(i % 9)] + [line] + [f"e{i}b{j}" for j in range(i % 5)]) for i in range(100)}
+    before = {t.name for t in spark.catalog.listTables()}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(6)
+    kept = substring.HOT_PLACES
+    try:
+        substring.HOT_PLACES = 3
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring.remove_repeats(frame).collect()}
+    finally:
+        substring.HOT_PLACES = kept
+    assert got == brute(docs) and {t.name for t in spark.catalog.listTables()} == before
