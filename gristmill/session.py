@@ -7,14 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "gristmill", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution on, Kryo-free defaults; extra settings by keyword (dots as ``__``)."""
+    """UTC, adaptive execution on, stream state in RocksDB; extra settings by keyword (dots as ``__``)."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     if master:
         builder = builder.master(master)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import hooks
 from ..operators.telemetry import evaluation_candidates, pick_sample
@@ -40,6 +43,28 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str
     return found.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def fresh_states(states: DataFrame, key: str, ts: str = "created_at", ttl: str = "10 minutes") -> DataFrame:
-    """Stream of state rows, each key once within its time to live: older state is dropped with the watermark."""
-    return states.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+class _FirstInTime(StatefulProcessor):
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        first = min(rows, key=lambda r: (r["__at"] is None, r["__at"]))
+        if not self.seen.exists():
+            self.seen.update((first["__at"],))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def fresh_states(states: DataFrame, key: str, ts: str = "created_at", ttl_seconds: float = 600) -> DataFrame:
+    """Stream of state rows, each key once within its time to live: the state store forgets a key that long after it was accepted.
+
+    Of a batch's rows with one key the earliest counts. Time is the engine's own; the RocksDB state store is needed.
+    """
+    rows = states.withColumn("__at", F.unix_millis(F.col(ts).cast("timestamp")))
+    found = rows.groupBy(key).transformWithState(_FirstInTime(int(ttl_seconds * 1000)), rows.schema, "append", "processingtime")
+    return found.drop("__at")
