@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, corpus, ingest, markdown, reminders, retrieval, stores, telemetry, texts
+from . import bucketed, chat, corpus, ingest, markdown, reminders, retrieval, stores, telemetry, texts
 
-_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus, ingest, markdown)
+_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus, ingest, markdown, bucketed)
 
 
 def queries() -> dict:

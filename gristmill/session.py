@@ -27,12 +27,20 @@ def build_session(app: str = "gristmill", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that ``spark.checkpoint.dir`` names; only a local session may do without one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the place that ``spark.checkpoint.dir`` names; only a local session may do without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="gristmill-"))
+        found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
