@@ -88,3 +88,37 @@ def html_blocks(html: Column | str, url: Column | str, drop_furniture: bool = Tr
         return pd.Series([blocks_of(a, b, drop_furniture) for a, b in zip(h, u, strict=True)])
 
     return F.pandas_udf(run, BLOCK_SCHEMA)(html, url)
+
+
+class _Links(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.base, self.found = None, []
+
+    def handle_starttag(self, tag, attrs):
+        href = dict(attrs).get("href")
+        if tag == "base" and href and self.base is None:
+            self.base = href
+        elif tag == "a" and href is not None:
+            self.found.append(href.strip())
+
+
+def links_of(html: str | None, url: str | None) -> list[str]:
+    """Full addresses of a page's links in order, relative ones joined to the page's address or its base; unreadable ones go."""
+    parser = _Links()
+    parser.feed(html or "")
+    parser.close()
+    out = []
+    for href in parser.found:
+        try:
+            out.append(urljoin(urljoin(url or "", parser.base or ""), href))
+        except ValueError:
+            continue
+    return out
+
+
+def html_links(html: Column | str, url: Column | str) -> Column:
+    def run(h: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([links_of(a, b) for a, b in zip(h, u, strict=True)])
+
+    return F.pandas_udf(run, "array<string>")(html, url)

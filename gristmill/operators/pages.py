@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.html import HEADINGS, html_blocks
-from ..functions.urls import crawl_key
+from ..functions.html import HEADINGS, html_blocks, html_links
+from ..functions.urls import crawl_key, is_web_url
 from ..session import reliable
 
+# Substrings of addresses that a crawl leaves out, and the heading of questions and answers.
+JUNK = ("mailto:", "tel:", ".jpg", ".png", ".jpeg", ".zip", "login", "signup", ".webp", ".mp4")
+QUESTIONS = "Frequently Asked Questions"
+
 BLOCKED_HEADINGS = ["quick links", "follow us", "contact us", "related links"]
 LEAST_BLOCK = 8
 
@@ -19,39 +23,65 @@ def page_blocks(pages: DataFrame, drop_furniture: bool = True) -> DataFrame:
     return pages.select("page_id", "url", F.inline(html_blocks("html", "url", drop_furniture)))
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """Cleaned text of every page: block texts of more than two characters in document order, boilerplate and repeats gone."""
-    ordered = F.array_sort(F.collect_list(F.when(F.length("text") > 2, F.struct("pos", "text"))))
-    joined = page_blocks(pages, False).groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("t"))
+def question_lines(blocks: DataFrame, question: str, answer: str, every: bool = False) -> DataFrame:
+    """page_id, q_pos, pos and line, ``Q: question | A: answer``, of every pair whose texts are not blank."""
+    found = faq_pairs(blocks, question, answer, every).filter("question <> '' and answer <> ''")
+    return found.select("page_id", "q_pos", "pos", F.concat(F.lit("Q: "), "question", F.lit(" | A: "), "answer").alias("line"))
+
+
+def page_text(pages: DataFrame, question: str | None = None, answer: str | None = None) -> DataFrame:
+    """Cleaned text of every page: block texts of more than two characters in document order, boilerplate and repeats gone.
+
+    With class words for questions and answers, their pairs follow as lines of their own.
+    """
+    blocks = page_blocks(pages, False)
+    rows = blocks.select("page_id", F.lit(0).alias("part"), "pos", F.when(F.length("text") > 2, F.col("text")).alias("text"))
+    if question and answer:
+        rows = rows.union(question_lines(blocks, question, answer).select("page_id", F.lit(1), "pos", "line"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("part", "pos", "text"))))
+    joined = rows.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("t"))
     return pages.select("page_id").join(joined, "page_id", "left").select("page_id", tx.clean_lines(tx.nfc(F.coalesce("t", F.lit("")))).alias("text"))
 
 
-def sections(pages: DataFrame, blocked: list[str] = BLOCKED_HEADINGS, least: int = LEAST_BLOCK) -> DataFrame:
+def sections(pages: DataFrame, blocked: list[str] = BLOCKED_HEADINGS, least: int = LEAST_BLOCK, question: str | None = None, answer: str | None = None, blocked_lines: tuple[str, ...] = ()) -> DataFrame:
     """page_id, pos, heading, items: text under each heading with its links, headings of the same name merged.
 
+    With class words for questions and answers, every answer is paired with the question before it in a section of its own at the
+    end, without the lines that hold one of ``blocked_lines`` in any case.
+
     Text before the first heading goes under ``<last path segment> - Introduction``; short and repeated items and blocked headings go.
     """
-    rows = page_blocks(pages).filter(F.col("tag").isin(*HEADINGS, "p", "table", "ul", "ol"))
+    blocks = page_blocks(pages)
+    rows = blocks.filter(F.col("tag").isin(*HEADINGS, "p", "table", "ul", "ol"))
     heading = F.when(F.col("tag").isin(*HEADINGS) & (F.col("text") != ""), F.col("text"))
     order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     intro = F.concat(F.element_at(F.split(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "/"), -1), F.lit(" - Introduction"))
     filled = rows.withColumn("heading", F.coalesce(F.last(heading, ignorenulls=True).over(order), intro))
     links = F.array_join(F.transform("links", lambda x: F.concat(F.lit(" | "), x["label"], F.lit(" ("), x["href"], F.lit(")"))), "")
     body = filled.filter(~F.col("tag").isin(*HEADINGS) & (F.length("text") >= least)).withColumn("item", F.concat("text", links))
-    named = body.filter(~F.lower("heading").rlike("|".join(blocked)))
+    named = body.filter(~F.lower("heading").rlike("|".join(blocked))).select("page_id", "heading", "pos", "item")
+    if question and answer:
+        lines = question_lines(blocks, question, answer, every=True)
+        for word in blocked_lines:
+            lines = lines.filter(~F.contains(F.lower("line"), F.lit(word.lower())))
+        named = named.union(lines.select("page_id", F.lit(QUESTIONS), F.lit(1 << 30) + F.col("pos"), "line"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "item")))
     return named.groupBy("page_id", "heading").agg(F.min("pos").alias("pos"), F.array_distinct(F.transform(ordered, lambda x: x["item"])).alias("items"))
 
 
-def faq_pairs(blocks: DataFrame, question: str = "title", answer: str = "content") -> DataFrame:
-    """Each question (a block whose class holds ``question``) with the first answer block after it, before the next question."""
+def faq_pairs(blocks: DataFrame, question: str = "title", answer: str = "content", every: bool = False) -> DataFrame:
+    """page_id, q_pos, question, pos, answer: each question (a block whose class holds ``question``) with the first answer block after it
+    and before the next question, or with ``every`` such answer."""
     q = F.col("cls").contains(question)
     a = F.col("cls").contains(answer) & ~q
     rows = blocks.filter(q | a).withColumn("is_q", q)
     order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("q_pos", F.last(F.when(F.col("is_q"), F.col("pos")), ignorenulls=True).over(order)).withColumn("q_text", F.last(F.when(F.col("is_q"), F.col("text")), ignorenulls=True).over(order))
+    asked = F.last(F.when(F.col("is_q"), F.struct(F.col("pos").alias("q_pos"), F.col("text").alias("question"))), ignorenulls=True).over(order)
+    pairs = rows.withColumn("asked", asked).filter("not is_q and asked is not null").select("page_id", "asked.*", "pos", F.col("text").alias("answer"))
+    if every:
+        return pairs
     first = F.row_number().over(Window.partitionBy("page_id", "q_pos").orderBy("pos"))
-    return rows.filter("not is_q and q_pos is not null").withColumn("n", first).filter("n = 1").select("page_id", "q_pos", F.col("q_text").alias("question"), F.col("text").alias("answer"))
+    return pairs.withColumn("n", first).filter("n = 1").drop("n")
 
 
 def cards(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
@@ -77,9 +107,17 @@ def crawl(edges: DataFrame, start: DataFrame, depth: int = 3, pages: int = 2500)
     return seen.orderBy("depth", "url").limit(pages)
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """source and target of every page's links, as crawl keys; links that lead to no web page are left out."""
-    root = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*", 0)
-    links = pages.select(F.col("url").alias("page"), root.alias("root"), F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), 1)).alias("href"))
-    target = F.when(F.col("href").startswith("/") & ~F.col("href").startswith("//"), F.concat("root", "href")).when(F.col("href").rlike("^https?://"), F.col("href"))
-    return links.select(crawl_key("page").alias("source"), crawl_key(target).alias("target")).filter("target is not null").distinct()
+def link_edges(pages: DataFrame, same_host: bool = False, junk: tuple[str, ...] = ()) -> DataFrame:
+    """source and target of every page's links to web pages, as crawl keys.
+
+    Links are those of the parsed page, joined to its address. ``same_host`` leaves out other hosts than the page's own, ``junk``
+    addresses that hold one of these substrings.
+    """
+    links = pages.select("url", F.explode(html_links("html", "url")).alias("href")).filter(is_web_url(F.col("href")))
+    if same_host:
+        host = lambda c: F.lower(F.try_parse_url(F.col(c), F.lit("HOST")))
+        links = links.filter(host("href") == host("url"))
+    edges = links.select(crawl_key("url").alias("source"), crawl_key("href").alias("target"))
+    for word in junk:
+        edges = edges.filter(~F.contains("target", F.lit(word)))
+    return edges.distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as tx
 from ..functions.urls import crawl_key
 from ..operators import chunking, pages as pg
@@ -71,6 +72,26 @@ def crawl_frontier(spark, sf_dir):
     return pg.crawl(pg.link_edges(p), p.select(crawl_key("url").alias("url")), pages=1_000_000)
 
 
+def crawl_same_host(spark, sf_dir):
+    """From the pages with even ids along links that stay on their host and lead to no junk."""
+    p = table(spark, sf_dir, "pages")
+    return pg.crawl(pg.link_edges(p, same_host=True, junk=pg.JUNK), p.filter("page_id % 2 = 0").select(crawl_key("url").alias("url")), pages=1_000_000)
+
+
+def split_in_sql(spark, sf_dir):
+    """Chunks of every text by the table function."""
+    tables.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_index, md5(c.chunk) AS chunk_md5 FROM {docs} d, LATERAL recursive_split(d.text, 500, 75) c", docs=docs)
+
+
+def blocks_in_sql(spark, sf_dir):
+    """Block elements of every page by the table function."""
+    tables.register(spark)
+    p = table(spark, sf_dir, "pages")
+    return spark.sql("SELECT p.page_id, b.pos, b.tag, md5(b.text) AS text_md5, size(b.links) AS links FROM {p} p, LATERAL html_blocks(p.html, p.url) b", p=p)
+
+
 def card_list(spark, sf_dir):
     return pg.cards(table(spark, sf_dir, "documents").withColumn("k", F.col("source")), "k", "text", "doc_id").groupBy("k").agg(F.count(F.lit(1)).alias("names"), F.sum(F.length("description")).alias("chars"))
 
@@ -80,7 +101,7 @@ def name_lists(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.is_name_list(items).alias("name_list"), F.size(tx.adjacent_distinct(items)).alias("items"))
 
 
-QUERIES = {f.__name__: f for f in (adaptive_chunks, chunk_ids, greedy_pack, merge_tiny, hierarchy_children, hierarchy_parents, hierarchy_leaves, html_title, html_text, html_sections, crawl_frontier, card_list, name_lists)}
+QUERIES = {f.__name__: f for f in (adaptive_chunks, chunk_ids, greedy_pack, merge_tiny, hierarchy_children, hierarchy_parents, hierarchy_leaves, html_title, html_text, html_sections, crawl_frontier, crawl_same_host, split_in_sql, blocks_in_sql, card_list, name_lists)}
 
 _CHILD = r"""
 s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -124,6 +145,14 @@ WITH RECURSIVE l AS (SELECT url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS
 t AS (SELECT url, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN root || href WHEN regexp_matches(href, '^https?://') THEN href END AS target FROM l),
 e AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS source, regexp_replace(regexp_replace(target, '[?#].*$', ''), '/+$', '') AS target FROM t WHERE target IS NOT NULL),
 w AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, 0 AS depth FROM pages UNION SELECT target, depth + 1 FROM w JOIN e ON w.url = e.source WHERE depth < 3)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY url""",
+    "crawl_same_host": r"""
+WITH RECURSIVE l AS (SELECT url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS root, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+t AS (SELECT url, root, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN root || href WHEN regexp_matches(href, '^https?://') THEN href END AS target FROM l),
+e AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS source, regexp_replace(regexp_replace(target, '[?#].*$', ''), '/+$', '') AS target FROM t
+  WHERE target IS NOT NULL AND lower(regexp_extract(target, '^[A-Za-z]+://[^/?#]*')) = lower(root)),
+k AS (SELECT * FROM e WHERE NOT regexp_matches(target, 'mailto:|tel:|[.]jpg|[.]png|[.]jpeg|[.]zip|login|signup|[.]webp|[.]mp4')),
+w AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, 0 AS depth FROM pages WHERE page_id % 2 = 0 UNION SELECT target, depth + 1 FROM w JOIN k ON w.url = k.source WHERE depth < 3)
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY url""",
     "card_list": r"""
 WITH p AS (SELECT source AS k, doc_id, trim(CASE WHEN contains(text, chr(10)) THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END) AS name,
