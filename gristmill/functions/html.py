@@ -122,3 +122,36 @@ def html_links(html: Column | str, url: Column | str) -> Column:
         return pd.Series([links_of(a, b) for a, b in zip(h, u, strict=True)])
 
     return F.pandas_udf(run, "array<string>")(html, url)
+
+
+class _Title(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.done = False, [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or (tag == "title" and not self.done)
+
+    def handle_endtag(self, tag):
+        if tag == "title" and self.inside:
+            self.inside, self.done = False, True
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def title_of(html: str | None) -> str:
+    """Text of the first title; empty without one."""
+    parser = _Title()
+    parser.feed(html or "")
+    parser.close()
+    return "".join(parser.parts)
+
+
+def html_title(html: Column | str) -> Column:
+    return F.pandas_udf(_titles, "string")(html)
+
+
+def _titles(h: pd.Series) -> pd.Series:
+    return h.map(title_of)

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qs, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _normal(url: str | None) -> str | None:
-    if url is None:
-        return None
-    u = urlsplit(url)
-    pairs = [(k, v[0] if len(v) == 1 else v) for k, v in parse_qs(u.query, keep_blank_values=True).items()]
-    path = u.path if u.path == "/" else u.path.rstrip("/")
-    return urlunsplit((u.scheme.lower(), u.netloc.lower(), path, urlencode(sorted(pairs, key=lambda p: (p[0], str(p[1])))), ""))
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
 
 
-def _normal_series(s: pd.Series) -> pd.Series:
-    return s.map(_normal)
+def _encoded(c: Column) -> Column:
+    """Form encoding that keeps ~ and escapes *."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def _sorted_query(query: Column) -> Column:
+    """Pairs in order of key and value, freshly encoded; the values of a repeated key become one list, written in brackets."""
+    pair = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=?", "")).alias("v"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+
+    def whole(key: Column) -> Column:
+        values = F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: p["v"])
+        return F.struct(key.alias("k"), F.when(F.size(values) == 1, values[0]).otherwise(F.concat(F.lit("['"), F.array_join(values, "', '"), F.lit("']"))).alias("v"))
+
+    return F.array_join(F.transform(F.array_sort(F.transform(keys, whole)), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
 def normalize_url(c: Column | str) -> Column:
     """Lower-case scheme and host, no trailing slash but the root's, sorted query, no fragment."""
-    return F.pandas_udf(_normal_series, "string")(c)
+    url = F.col(c) if isinstance(c, str) else c
+    part = lambda n: F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.-]*:))?(//[^/?#]*)?([^?#]*)(?:[?]([^#]*))?", n)
+    path = F.when(part(3) == "/", "/").otherwise(F.regexp_replace(part(3), "/+$", ""))
+    query = _sorted_query(part(4))
+    return F.concat(F.lower(part(1)), F.lower(part(2)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
 def _join_series(base: pd.Series, href: pd.Series) -> pd.Series:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import reliable
 from ..functions import urls
 from ..functions.splitting import recursive_split
 
@@ -154,9 +155,22 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> Data
     return joined.withColumn("allowed", ~F.coalesce(blocked, F.lit(False))).drop("disallow", "__path")
 
 
-def targets_of(spark, registry: list[dict], schedule: str) -> DataFrame:
-    """The entries of an in-code registry (url, source, category, schedule) with a schedule tier."""
-    return spark.createDataFrame(registry, "url string, source string, category string, schedule string").filter(F.col("schedule") == schedule)
+def targets_of(registry: DataFrame, schedule: str) -> DataFrame:
+    """The entries of a registry (url, source, category, schedule) with a schedule tier, one a url: the first by source."""
+    tier = registry.filter(F.col("schedule") == schedule)
+    return tier.groupBy("url").agg(F.min(F.struct("source", "category")).alias("t")).select("url", "t.*")
+
+
+def placed(rows: DataFrame, *order: Column, place: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in a total order, without gathering them in one task.
+
+    Rows are dealt by ranges of the order; each part numbers its own and adds how many the parts before it hold.
+    """
+    dealt = reliable(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").count()  # a row for each part
+    before = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(place, (F.col("__own") + F.col("__before")).cast("int")).drop("__part", "__own", "__before")
 
 
 def differs(c: Column, value) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions import text as tx
+from ..functions.html import html_title as html_title_of
 from ..functions.urls import crawl_key
 from ..operators import chunking, pages as pg
 from ..sources.tables import table
@@ -55,7 +56,7 @@ def hierarchy_leaves(spark, sf_dir):
 
 
 def html_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", html_title_of("html").alias("title"))
 
 
 def html_text(spark, sf_dir):
@@ -139,7 +140,7 @@ SELECT doc_id, CAST(len(done) AS INTEGER) AS bodies, md5(array_to_string(done, c
     "hierarchy_children": f"WITH {_CHILD} SELECT parent_id || '::' || heading AS child_id, parent_id, md5(content) AS content_md5 FROM c",
     "hierarchy_parents": f"""WITH {_CHILD} SELECT parent_id, md5(string_agg('Heading:' || chr(10) || heading || chr(10) || chr(10) || 'Content:' || chr(10) || content, chr(10) || chr(10) ORDER BY pos)) AS content_md5,
 count(*) AS child_count FROM c GROUP BY parent_id""",
-    "html_title": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
+    "html_title": "SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title FROM pages",
     "crawl_frontier": r"""
 WITH RECURSIVE l AS (SELECT url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS root, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
 t AS (SELECT url, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN root || href WHEN regexp_matches(href, '^https?://') THEN href END AS target FROM l),

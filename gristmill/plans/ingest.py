@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -119,8 +118,8 @@ def history_by_url(spark, sf_dir):
 
 
 def history_ordered(spark, sf_dir):
-    order = Window.orderBy(F.desc("last_scraped"), "url")
-    return _history(spark, sf_dir).filter("source = 'src2'").withColumn("place", F.row_number().over(order)).select("place", "url", "scrape_count")
+    rows = _history(spark, sf_dir).filter("source = 'src2'")
+    return ingest.placed(rows, F.desc("last_scraped"), F.col("url")).select("place", "url", "scrape_count")
 
 
 def history_chunk_ids(spark, sf_dir):
@@ -138,18 +137,15 @@ def notification_lists(spark, sf_dir):
 
 
 def sorted_ids(spark, sf_dir):
-    return chunks(spark, sf_dir).agg(F.array_join(F.slice(F.array_sort(F.collect_set("parent_id")), 1, 100), ",").alias("ids"))
-
-
-TARGETS = [
-    {"url": "https://x.example/news", "source": "news", "category": "events", "schedule": "fast"},
-    {"url": "https://x.example/law", "source": "law", "category": "rules", "schedule": "slow"},
-    {"url": "https://x.example/faq", "source": "faq", "category": "faq", "schedule": "fast"},
-]
+    first = chunks(spark, sf_dir).select("parent_id").filter("parent_id is not null").distinct().orderBy("parent_id").limit(100)
+    return first.agg(F.array_join(F.array_sort(F.collect_list("parent_id")), ",").alias("ids"))
 
 
 def targets_by_tier(spark, sf_dir):
-    return ingest.targets_of(spark, TARGETS, "fast").select("url", "source")
+    """Pages as a registry of targets: their hosts as sources, every third one on the fast tier."""
+    schedule = F.when(F.col("page_id") % 3 == 0, "fast").otherwise("slow")
+    registry = table(spark, sf_dir, "pages").select("url", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("source"), F.lit("page").alias("category"), schedule.alias("schedule"))
+    return ingest.targets_of(registry, "fast").select("url", "source")
 
 
 def robots_gate(spark, sf_dir):
@@ -293,7 +289,7 @@ SELECT vec_id, list_sum(list_transform(s, lambda x: abs(x))) / CAST(len(s) AS DO
 SELECT event_id, 'stack' AS list FROM (SELECT event_id FROM events WHERE event_type IS DISTINCT FROM 'error' ORDER BY ts DESC, event_id DESC LIMIT 100)
 UNION ALL SELECT event_id, 'popup' FROM (SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 20)""",
     "sorted_ids": f"WITH {CHUNKS_SQL}, p AS (SELECT DISTINCT parent_id FROM chunks ORDER BY parent_id LIMIT 100) SELECT string_agg(parent_id, ',' ORDER BY parent_id) AS ids FROM p",
-    "targets_by_tier": "SELECT 'https://x.example/' || s AS url, s AS source FROM (VALUES ('news'), ('faq')) t(s)",
+    "targets_by_tier": "SELECT url, min(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1))) AS source FROM pages WHERE page_id % 3 = 0 GROUP BY url",
     "robots_gate": r"""
 WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, NOT (length(host) % 2 = 0 AND starts_with(path, '/de')) AS allowed FROM p""",

@@ -57,9 +57,11 @@ def smashed_words(spark, sf_dir):
 
 
 def ui_boilerplate(spark, sf_dir):
-    phrases = F.array(*(F.lit(p) for p in ["Read More", " view all ", "Coming soon", "real text"]))
-    rows = _docs(spark, sf_dir).select("doc_id", F.element_at(phrases, (F.col("doc_id") % 4 + 1).cast("int")).alias("content"))
-    return rows.filter(~tx.is_interface_phrase("content")).select("doc_id", "content")
+    """Lines of every text that are no interface labels; every fifth line reads as a label that its number picks."""
+    labels = F.array(*(F.lit(p) for p in ["Read More", " view all ", "Coming soon", "real text"]))
+    line = lambda x, i: F.when(i % 5 == 4, F.element_at(labels, (F.size(F.split(x, " ")) % 4 + 1).cast("int"))).otherwise(x)
+    kept = F.filter(F.transform(F.split("text", "\n"), line), lambda x: ~tx.is_interface_phrase(x))
+    return _docs(spark, sf_dir).select("doc_id", F.size(kept).alias("lines"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
 
 
 def text_counts(spark, sf_dir):
@@ -145,9 +147,11 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 x AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS line FROM l)
 SELECT doc_id, pos, line FROM x WHERE NOT regexp_matches(line, '[a-zA-Z0-9]{2,}')""",
     "smashed_words": r"SELECT doc_id, md5(regexp_replace(replace(text, ' ', ''), '([a-z0-9])([A-Z])', '\1 \2', 'g')) AS repaired_md5 FROM documents",
-    "ui_boilerplate": """
-SELECT doc_id, content FROM (SELECT doc_id, ['Read More', ' view all ', 'Coming soon', 'real text'][doc_id % 4 + 1] AS content FROM documents)
-WHERE lower(trim(content)) NOT IN ('upcoming event past event', 'read more', 'view all', 'click here', 'know more', 'coming soon', 'no data found', 'no results found')""",
+    "ui_boilerplate": r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, list_transform(l, lambda x, i: CASE WHEN i % 5 = 0 THEN ['Read More', ' view all ', 'Coming soon', 'real text'][len(string_split(x, ' ')) % 4 + 1] ELSE x END) AS l FROM l),
+k AS (SELECT doc_id, list_filter(l, lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g')) NOT IN ('upcoming event past event', 'read more', 'view all', 'click here', 'know more', 'coming soon', 'no data found', 'no results found')) AS l FROM s)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS lines, md5(array_to_string(l, chr(10))) AS kept_md5 FROM k""",
     "text_counts": r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS sections,
 CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents""",
     "breadcrumb_filter": f"WITH {_NAV} SELECT source, count(*) FILTER (crumb) AS breadcrumbs, count(*) AS items FROM crumbs GROUP BY source",
