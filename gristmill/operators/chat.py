@@ -33,6 +33,16 @@ def recent_messages(messages: DataFrame, has_summary: Column, chat: str = "chat_
     return kept.filter(tx.strip("content") != "").withColumn("position", F.row_number().over(Window.partitionBy(chat).orderBy(seq))).drop("__n")
 
 
+# Fixed value: messages of a chat that are listed.
+LISTED = 100
+
+
+def first_messages(messages: DataFrame, chat: str = "chat_id", seq: str = "seq", limit: int = LISTED) -> DataFrame:
+    """The first messages of each chat in their own order, with their place."""
+    order = Window.partitionBy(chat).orderBy(seq)
+    return messages.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
 def router_history(messages: DataFrame, chat: str = "chat_id", seq: str = "seq") -> DataFrame:
     """``ROLE: content`` lines of each chat's last turns, cut to the last characters."""
     order = Window.partitionBy(chat).orderBy(F.desc(seq))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -106,6 +106,22 @@ def hierarchy_parents(children: DataFrame) -> DataFrame:
     return children.groupBy("parent_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("child_count"))
 
 
+# Fixed value: the heading of passages without one.
+NO_HEADING = "PDF Content"
+
+
+def by_heading(passages: DataFrame, key: str, pos: str = "pos", path: str = "path", text: str = "text", default: str = NO_HEADING) -> DataFrame:
+    """key, heading, place (of headings in the order in which they are first seen) and texts in order; blank texts go.
+
+    A heading is its path's parts joined by `` > ``, or the default where there are none.
+    """
+    heading = F.coalesce(tx.blank_to_null(F.array_join(F.filter(path, lambda p: tx.strip(p) != ""), " > ")), F.lit(default))
+    rows = passages.select(key, F.col(pos).alias("__pos"), heading.alias("heading"), tx.strip(text).alias("__text")).filter("__text <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__text"))), lambda x: x["__text"])
+    grouped = rows.groupBy(key, "heading").agg(F.min("__pos").alias("__first"), ordered.alias("texts"))
+    return grouped.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("__first", "heading"))).select(key, "place", "heading", "texts")
+
+
 def embedding_text(kind: str, text: Column) -> Column:
     """Text as the embedder wants it: kind is passage or query."""
     return F.concat(F.lit(f"{kind}: "), text)

@@ -33,6 +33,30 @@ def event_time(text: Column, zone: str = "Asia/Kolkata") -> Column:
     return F.when(aware, F.try_to_timestamp(text)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(text), zone))
 
 
+# Forms that a date may have where it is no ISO text; of an ambiguous day and month the month comes first.
+DATE_FORMS = [
+    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyyMMdd",
+]
+TIME_FORMS = "[ h:mm a][, h:mm a][ H:mm[:ss]]"
+CUSTOM_OFFSET_FALLBACK = 1440
+
+
+def lenient_event_time(text: Column, zone: str = "Asia/Kolkata", fallback: Column | None = None) -> Column:
+    """ISO text, or one of ``DATE_FORMS`` with a time or without, as local time of ``zone``; else ``fallback``, null by default."""
+    plain = tx.collapse(text)
+    local = F.coalesce(*(F.try_to_timestamp(plain, F.lit(d + TIME_FORMS)) for d in DATE_FORMS))
+    found = F.coalesce(event_time(text, zone), F.to_utc_timestamp(local, zone))
+    return found if fallback is None else F.coalesce(found, fallback)
+
+
+def custom_offset_minutes(event: Column, offset: Column, zone: str = "Asia/Kolkata") -> Column:
+    """Minutes before an event: 1h, 1d, 3d, or a moment of its own, at least 0; a day where the offset is unreadable."""
+    named = F.create_map(F.lit("1h"), F.lit(60), F.lit("1d"), F.lit(1440), F.lit("3d"), F.lit(4320))
+    moment = lenient_event_time(offset, zone)
+    before = F.when(moment.isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_timestamp(event) - F.unix_timestamp(moment)) / 60)))
+    return F.coalesce(F.try_element_at(named, offset).cast("bigint"), before.cast("bigint"), F.lit(CUSTOM_OFFSET_FALLBACK).cast("bigint"))
+
+
 def notify_at(event: Column, minutes: Column, now: Column) -> Column:
     return F.greatest(event - F.make_dt_interval(mins=minutes.cast("int")), now)
 

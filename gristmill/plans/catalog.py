@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bucketed, chat, corpus, ingest, markdown, reminders, retrieval, stores, telemetry, texts
+from . import bucketed, chat, corpus, ingest, markdown, reminders, retrieval, stores, telemetry, texts, values
 
-_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus, ingest, markdown, bucketed)
+_TOPICS = (telemetry, texts, stores, retrieval, chat, reminders, corpus, ingest, markdown, bucketed, values)
 
 
 def queries() -> dict:

@@ -1,5 +1,3 @@
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
@@ -52,4 +50,26 @@ def test_urls_titles_sources_and_durations(spark):
     assert title_of("<svg><title>a &amp; b</title></svg><title>c</title>") == "a & b" and title_of("<title>x") == "x" and title_of(None) == ""
     one = spark.createDataFrame([("ﬁx",), ("plain",), (None,)], "k string").select(tx.nfkc("k").alias("k")).collect()
     assert [r["k"] for r in one] == ["fix", "plain", None]
-    assert dt and chat
+
+
+def test_lenient_dates(spark):
+    import datetime as dt
+
+    from gristmill.operators import reminders as rm
+
+    cases = {
+        "2024-03-01T10:00:00Z": dt.datetime(2024, 3, 1, 10), "2024-03-01 10:00": dt.datetime(2024, 3, 1, 4, 30), "3/4/2024": dt.datetime(2024, 3, 3, 18, 30), "25/12/2024 18:00": dt.datetime(2024, 12, 25, 12, 30),
+        "  4 Mar 2024  5:30 PM ": dt.datetime(2024, 3, 4, 12), "March 4, 2024, 5:30 AM": dt.datetime(2024, 3, 4), "4.3.2024 00:30:15": dt.datetime(2024, 3, 3, 19, 0, 15), "tomorrow": None, "": None,
+    }
+    frame = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    rows = {r["t"]: (r["at"], r["f"]) for r in frame.select("t", rm.lenient_event_time(F.col("t")).alias("at"), rm.lenient_event_time(F.col("t"), fallback=now).alias("f")).collect()}
+    assert {k: v[0] for k, v in rows.items()} == {**cases, None: None}
+    assert rows["tomorrow"][1] == dt.datetime(2024, 1, 1) and rows["3/4/2024"][1] == cases["3/4/2024"]
+
+
+def test_normal_sources_and_durations(spark):
+    row = spark.createDataFrame([([" A ", "", "b\n", None],)], "s array<string>").select(chat.normal_sources(F.col("s")).alias("s")).first()
+    assert row["s"] == ["a", "b"]
+    shown = spark.createDataFrame([(0,), (999,), (1000,), (1239,), (60_000,)], "m long").select(tx.duration_text(F.col("m")).alias("d")).collect()
+    assert [r["d"] for r in shown] == ["0ms", "999ms", "1.00s", "1.24s", "60.00s"]
