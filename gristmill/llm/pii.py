@@ -4,9 +4,8 @@ The patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and inte
 trained by numpy from the labelled sentences below and adds what patterns miss: local telephone numbers, spaced or dotted
 addresses, identifiers, secrets with or without digits, names and street addresses.
 
-Whole texts are decoded by Viterbi in numpy batches: a text's tokens are cut into chains of ``CORE`` tokens that reach ``MARGIN``
-tokens into their neighbours, features look across the cuts. Where even the best label of every token of a chain, with the best
-transitions on either side, scores less than none, the path without labels is the best one and needs no table.
+Whole texts are decoded by Viterbi in numpy batches, exactly: tokens that an upper bound proves to be without label in the best path
+cut a text into stretches, and each stretch's path is a part of the whole text's one best path.
 Spans of the field that touch a pattern's span are dropped: pattern spans stay as they are; so are spans of more than
 ``MOST_TOKENS`` tokens, which are no single item.
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import in_chunks, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id", "name", "address")
-CORE, MARGIN = 48, 8
+CELLS = 1 << 15
 MOST_TOKENS = 12
 TOKENS_AT_ONCE = 1 << 17
 TYPES_KEPT = 200_000
@@ -494,7 +493,12 @@ def default_field() -> Field:
 
 
 def label_tokens(token_lists: list[list[str]], scores: TokenScores, prune: bool = True) -> list[np.ndarray]:
-    """Labels of every token of every text."""
+    """Labels of every token of every text: each text's one best path.
+
+    A token's bound is what the best label, with the best transitions on either side, gains over none there. Labels stand in runs, and a run
+    gains at most the sum of its tokens' bounds; a token that no stretch with a sum of 0 or more holds has none in the best path. The stretches
+    between such tokens are decoded by themselves, entered from none and left to none, which is the whole text's path.
+    """
     field = scores.field
     parts, at, starts = [np.zeros(2, np.int64)], 2, []
     for tokens in token_lists:
@@ -504,24 +508,34 @@ def label_tokens(token_lists: list[list[str]], scores: TokenScores, prune: bool
     e = scores.scores(np.concatenate(parts))
     sizes = np.array([len(t) for t in token_lists], np.int64)
     starts = np.array(starts, np.int64)
-    chains = -(-sizes // CORE)
-    text = np.repeat(np.arange(len(sizes)), chains)
-    core = starts[text] + CORE * (np.arange(len(text)) - np.repeat(np.cumsum(chains) - chains, chains))
-    ends = starts[text] + sizes[text]
-    low, high = np.maximum(core - MARGIN, starts[text]), np.minimum(core + CORE + MARGIN, ends)
+    first, last = np.zeros(len(e), bool), np.zeros(len(e), bool)
+    first[starts[sizes > 0]] = last[(starts + sizes - 1)[sizes > 0]] = True
+    live = np.cumsum(first.astype(np.int64) - np.concatenate(([0], last[:-1]))) > 0
     if prune:
-        inside, edge = ((e[:, 1:] + extra[1:]).max(1) - e[:, 0] > -1e-3 for extra in map(np.float32, field.bonus()))
-        may = np.concatenate(([0], np.cumsum(inside)))
-        live = (may[high] > may[low]) | edge[low] | edge[high - 1]
-        core, ends, low, high = core[live], ends[live], low[live], high[live]
+        inside, edge = ((e[:, 1:] + extra[1:]).max(1).astype(np.float64) - e[:, 0] for extra in field.bonus())
+        bound = np.where(live, np.where(first | last, np.maximum(inside, edge), inside), -1e6)
+        total = np.cumsum(bound)
+        before = np.concatenate(([0], total[:-1]))
+        most = (total - np.minimum.accumulate(before)) + (np.maximum.accumulate(total[::-1])[::-1] - before) - bound
+        live &= most > -1e-3
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], live.astype(np.int8), [0]))))
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    order = np.argsort(size, kind="stable")
     labels = np.zeros(len(e), np.int64)
-    width = CORE + 2 * MARGIN
-    for i in range(0, len(core), 512):
-        begin, n = low[i : i + 512], (high - low)[i : i + 512]
-        places = np.minimum(begin[:, None] + np.arange(width), len(e) - 1)
-        paths = field.viterbi(e[places].astype(np.float64), n)
-        inside = (places >= core[i : i + 512, None]) & (places < np.minimum(core + CORE, ends)[i : i + 512, None])
-        labels[places[inside]] = paths[inside]
+    enter, leave = (field.move + field.forbidden)[0] - field.start, (field.move + field.forbidden)[:, 0]
+    done = 0
+    while done < len(order):
+        own = order[done : done + 4096]
+        own = own[: max(1, int((size[own] * np.arange(1, len(own) + 1) <= CELLS).sum()))]  # sizes ascend: a group's padded cells are bounded
+        done += len(own)
+        n = size[own]
+        places = np.minimum(begin[own, None] + np.arange(int(n.max())), len(e) - 1)
+        scored = e[places].astype(np.float64)
+        scored[~first[begin[own]], 0] += enter
+        inner = np.flatnonzero(~last[begin[own] + n - 1])
+        scored[inner, n[inner] - 1] += leave
+        inside = np.arange(places.shape[1]) < n[:, None]
+        labels[places[inside]] = field.viterbi(scored, n)[inside]
     return [labels[a : a + n] for a, n in zip(starts, sizes, strict=True)]
 
 

@@ -89,7 +89,25 @@ def test_scores_and_pruning_equal_plain_decoding():
     pruned, whole = (pii.label_tokens(tokens, scores, prune) for prune in (True, False))
     assert all((a == b).all() for a, b in zip(pruned, whole, strict=True)) and any(p.any() for p in pruned)
     single = [(a == b).mean() for a, b in zip(whole, field.decode(tokens), strict=True) if len(b)]
-    assert np.mean(single) > 0.995  # chains against whole texts
+    assert np.mean(single) == 1  # stretches against whole texts
+
+
+def test_stretches_give_the_whole_texts_path():
+    """Random fields and tokens, so that labelled runs are long, weak and at the texts' ends."""
+    rng = np.random.default_rng(11)
+    words = ["tel", "5551234", "Anna", "Smith", "the", "of", "key", "=", "x9Q", "12", "Street", "."]
+    for shift in (0.0, 1.0, 2.0, 4.0):
+        field = pii.Field()
+        field.index = {f: i for i, f in enumerate(sorted({f for own in pii.window_features(words * 3) for f in own}))}
+        field.emit = rng.normal(size=(len(field.index), field.labels)) * 0.3
+        field.emit[:, 0] += shift / 6
+        field.move = rng.normal(size=field.move.shape)
+        scores = pii.TokenScores(field)
+        tokens = [[words[i] for i in rng.integers(0, len(words), rng.integers(0, 80))] for _ in range(60)]
+        pruned, whole = (pii.label_tokens(tokens, scores, prune) for prune in (True, False))
+        assert all((a == b).all() for a, b in zip(pruned, whole, strict=True))
+        single = [(a == b).all() for a, b in zip(whole, field.decode(tokens), strict=True) if len(b)]
+        assert all(single)
 
 
 def test_empty_table_and_clashing_names(spark):
