@@ -25,9 +25,9 @@ class _Blocks(HTMLParser):
     Unclosed paragraphs and list items end where the next one opens or their parent closes.
     """
 
-    def __init__(self, base: str, furniture: bool):
+    def __init__(self, base: str, furniture: tuple[str, ...], dropped: set[str]):
         super().__init__(convert_charrefs=True)
-        self.base, self.drop_furniture = base, furniture
+        self.base, self.furniture, self.dropped = base, furniture, dropped
         self.stack: list[tuple[str, dict | None]] = []
         self.out: list[dict] = []
         self.muted = 0
@@ -41,7 +41,7 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
         attributes = dict(attrs)
         cls = (attributes.get("class") or "").lower()
-        muted = tag in DROPPED or (self.drop_furniture and any(w in cls for w in FURNITURE))
+        muted = tag in self.dropped or any(w in cls for w in self.furniture)
         block = None
         if not self.muted and not muted:
             if tag in BLOCKS:
@@ -76,16 +76,18 @@ class _Blocks(HTMLParser):
             self.link["parts"].append(data)
 
 
-def blocks_of(html: str | None, base: str | None = "", drop_furniture: bool = True) -> list[dict]:
-    parser = _Blocks(base or "", drop_furniture)
+def blocks_of(html: str | None, base: str | None = "", furniture: tuple[str, ...] = FURNITURE, dropped: set[str] = DROPPED) -> list[dict]:
+    parser = _Blocks(base or "", furniture, dropped)
     parser.feed(html or "")
     parser.close()
     return [{"pos": b["pos"], "tag": b["tag"], "cls": b["cls"], "text": " ".join("".join(b["parts"]).split()), "links": b["links"]} for b in parser.out]
 
 
-def html_blocks(html: Column | str, url: Column | str, drop_furniture: bool = True) -> Column:
+def html_blocks(html: Column | str, url: Column | str, furniture: tuple[str, ...] = FURNITURE, dropped: set[str] = DROPPED) -> Column:
+    """Block elements outside ``dropped`` tags and elements whose class holds a word of ``furniture``."""
+
     def run(h: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([blocks_of(a, b, drop_furniture) for a, b in zip(h, u, strict=True)])
+        return pd.Series([blocks_of(a, b, furniture, dropped) for a, b in zip(h, u, strict=True)])
 
     return F.pandas_udf(run, BLOCK_SCHEMA)(html, url)
 

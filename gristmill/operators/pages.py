@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.html import HEADINGS, html_blocks, html_links
+from ..functions.html import DROPPED, FURNITURE, HEADINGS, html_blocks, html_links
 from ..functions.urls import crawl_key, is_web_url
 from ..session import reliable
 
@@ -18,9 +18,9 @@ BLOCKED_HEADINGS = ["quick links", "follow us", "contact us", "related links"]
 LEAST_BLOCK = 8
 
 
-def page_blocks(pages: DataFrame, drop_furniture: bool = True) -> DataFrame:
+def page_blocks(pages: DataFrame, furniture: tuple[str, ...] = FURNITURE, dropped: set[str] = DROPPED) -> DataFrame:
     """page_id, url and one row for each block element: pos, tag, cls, text, links."""
-    return pages.select("page_id", "url", F.inline(html_blocks("html", "url", drop_furniture)))
+    return pages.select("page_id", "url", F.inline(html_blocks("html", "url", furniture, dropped)))
 
 
 def question_lines(blocks: DataFrame, question: str, answer: str, every: bool = False) -> DataFrame:
@@ -34,7 +34,7 @@ def page_text(pages: DataFrame, question: str | None = None, answer: str | None
 
     With class words for questions and answers, their pairs follow as lines of their own.
     """
-    blocks = page_blocks(pages, False)
+    blocks = page_blocks(pages, ())
     rows = blocks.select("page_id", F.lit(0).alias("part"), "pos", F.when(F.length("text") > 2, F.col("text")).alias("text"))
     if question and answer:
         rows = rows.union(question_lines(blocks, question, answer).select("page_id", F.lit(1), "pos", "line"))
@@ -43,32 +43,43 @@ def page_text(pages: DataFrame, question: str | None = None, answer: str | None
     return pages.select("page_id").join(joined, "page_id", "left").select("page_id", tx.clean_lines(tx.nfc(F.coalesce("t", F.lit("")))).alias("text"))
 
 
-def sections(pages: DataFrame, blocked: list[str] = BLOCKED_HEADINGS, least: int = LEAST_BLOCK, question: str | None = None, answer: str | None = None, blocked_lines: tuple[str, ...] = ()) -> DataFrame:
+def sections(
+    pages: DataFrame, blocked: list[str] = BLOCKED_HEADINGS, least: int = LEAST_BLOCK, question: str | None = None, answer: str | None = None, blocked_lines: tuple[str, ...] = (),
+    headings: tuple[str, ...] = HEADINGS, equal: bool = False, furniture: tuple[str, ...] = FURNITURE, dropped: set[str] = DROPPED,
+) -> DataFrame:
     """page_id, pos, heading, items: text under each heading with its links, headings of the same name merged.
 
-    With class words for questions and answers, every answer is paired with the question before it in a section of its own at the
-    end, without the lines that hold one of ``blocked_lines`` in any case.
-
-    Text before the first heading goes under ``<last path segment> - Introduction``; short and repeated items and blocked headings go.
+    Text before the first heading goes under ``<last path segment> - Introduction``; short and repeated items go, and so do those that
+    hold one of ``blocked_lines`` in any case, and headings that hold one of ``blocked`` in any case or, with ``equal``, are one.
+    With class words for questions and answers, every answer is paired with the question before it in a section of its own at the end.
+    ``headings``, ``furniture`` and ``dropped`` are the tags and class words that a site's layout asks for.
     """
-    blocks = page_blocks(pages)
-    rows = blocks.filter(F.col("tag").isin(*HEADINGS, "p", "table", "ul", "ol"))
-    heading = F.when(F.col("tag").isin(*HEADINGS) & (F.col("text") != ""), F.col("text"))
+    blocks = page_blocks(pages, furniture, dropped)
+    rows = blocks.filter(F.col("tag").isin(*headings, "p", "table", "ul", "ol"))
+    heading = F.when(F.col("tag").isin(*headings) & (F.col("text") != ""), F.col("text"))
     order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     intro = F.concat(F.element_at(F.split(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "/"), -1), F.lit(" - Introduction"))
     filled = rows.withColumn("heading", F.coalesce(F.last(heading, ignorenulls=True).over(order), intro))
     links = F.array_join(F.transform("links", lambda x: F.concat(F.lit(" | "), x["label"], F.lit(" ("), x["href"], F.lit(")"))), "")
-    body = filled.filter(~F.col("tag").isin(*HEADINGS) & (F.length("text") >= least)).withColumn("item", F.concat("text", links))
-    named = body.filter(~F.lower("heading").rlike("|".join(blocked))).select("page_id", "heading", "pos", "item")
+    body = filled.filter(~F.col("tag").isin(*headings) & (F.length("text") >= least)).withColumn("item", F.concat("text", links))
+    gone = F.col("heading").isin(*blocked) if equal else F.lower("heading").rlike("|".join(blocked))
+    named = body.filter(~gone).select("page_id", "heading", "pos", "item") if blocked else body.select("page_id", "heading", "pos", "item")
     if question and answer:
         lines = question_lines(blocks, question, answer, every=True)
-        for word in blocked_lines:
-            lines = lines.filter(~F.contains(F.lower("line"), F.lit(word.lower())))
         named = named.union(lines.select("page_id", F.lit(QUESTIONS), F.lit(1 << 30) + F.col("pos"), "line"))
+    for word in blocked_lines:
+        named = named.filter(~F.contains(F.lower("item"), F.lit(word.lower())))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "item")))
     return named.groupBy("page_id", "heading").agg(F.min("pos").alias("pos"), F.array_distinct(F.transform(ordered, lambda x: x["item"])).alias("items"))
 
 
+def flattened(found: DataFrame) -> DataFrame:
+    """page_id and text: of each page's sections in order ``heading: items`` and a blank line."""
+    line = F.concat("heading", F.lit(": "), F.array_join("items", " "), F.lit("\n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
+    return found.groupBy("page_id").agg(F.array_join(ordered, "\n").alias("text"))
+
+
 def faq_pairs(blocks: DataFrame, question: str = "title", answer: str = "content", every: bool = False) -> DataFrame:
     """page_id, q_pos, question, pos, answer: each question (a block whose class holds ``question``) with the first answer block after it
     and before the next question, or with ``every`` such answer."""

@@ -67,6 +67,12 @@ def html_sections(spark, sf_dir):
     return pg.sections(table(spark, sf_dir, "pages")).select("page_id", "heading", "pos", F.size("items").alias("items"))
 
 
+def flat_sections(spark, sf_dir):
+    """Pages by the older layout: three levels of headings, blocked ones by equality, flattened to one text."""
+    found = pg.sections(table(spark, sf_dir, "pages"), blocked=["Quick Links"], headings=("h1", "h2", "h3"), equal=True, blocked_lines=("all rights reserved",))
+    return pg.flattened(found).select("page_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
 def crawl_frontier(spark, sf_dir):
     """From every page along its links."""
     p = table(spark, sf_dir, "pages")
@@ -102,7 +108,7 @@ def name_lists(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.is_name_list(items).alias("name_list"), F.size(tx.adjacent_distinct(items)).alias("items"))
 
 
-QUERIES = {f.__name__: f for f in (adaptive_chunks, chunk_ids, greedy_pack, merge_tiny, hierarchy_children, hierarchy_parents, hierarchy_leaves, html_title, html_text, html_sections, crawl_frontier, crawl_same_host, split_in_sql, blocks_in_sql, card_list, name_lists)}
+QUERIES = {f.__name__: f for f in (adaptive_chunks, chunk_ids, greedy_pack, merge_tiny, hierarchy_children, hierarchy_parents, hierarchy_leaves, html_title, html_text, html_sections, flat_sections, crawl_frontier, crawl_same_host, split_in_sql, blocks_in_sql, card_list, name_lists)}
 
 _CHILD = r"""
 s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),

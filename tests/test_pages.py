@@ -85,3 +85,11 @@ def test_documents_by_service_or_locally(spark, tmp_path):
     assert got["bad.md"] == (None, None, "remote: TimeoutError: service") and set(got) == {"good.md", "slow.md", "blank.md", "bad.md"}
     alone = files.read_documents(spark, f"{tmp_path}/in", None, local, "*.md").filter("engine is null").collect()
     assert len(alone) == 1 and alone[0]["error"].startswith("local: UnicodeDecodeError")
+
+
+def test_older_layout_flattened(spark):
+    html = """<div class="announcement">ad text of some length</div><p>before any heading</p><h1>Quick Links</h1><p>blocked section</p><h2>Quick Links Extra</h2><p>kept, not equal</p>
+      <h4>no heading here</h4><h3>Last</h3><ul><li>item text <a href="/x">go</a></li></ul><p>kept, not equal</p><p>ALL RIGHTS reserved 2020</p><form><p>form text stays</p></form>"""
+    p = pages(spark, ("https://h.org/a/b", html))
+    found = pg.sections(p, blocked=["Quick Links"], headings=("h1", "h2", "h3"), equal=True, blocked_lines=("all rights reserved",), furniture=("announcement",), dropped={"nav"})
+    assert pg.flattened(found).first()["text"] == "b - Introduction: before any heading\n\nQuick Links Extra: kept, not equal\n\nLast: item text go | go (https://h.org/x) kept, not equal form text stays\n"
