@@ -11,7 +11,8 @@ only thin out the pairs that collide:
 3. Pairs that share a hash are candidates if sizes allow the similarity, if the hash can be among the union's ``KEYS`` smallest,
    and if 256-bit SimHash fingerprints differ in at most ``RADIUS`` bits. A similar pair differs in 39 on average with a deviation
    of 6, and in more than 64 with a chance of 5e-6; sets under ``FEW`` shingles pass up to ``WIDE`` bits, under ``TINY`` all.
-   A bucket passes on a spanning forest of its candidates, never all pairs; their components hold every similar pair.
+   A bucket passes on a spanning forest of its candidates, never all pairs; their components hold every similar pair. A bucket of
+   more than ``BUCKET_ROWS`` sets, as a common passage makes, is dealt in tiles of two blocks each.
 4. Whole shingle sets travel once, to their component. Within it all pairs are verified exactly by matrix products over the
    shingles that sets share, and again only a forest of the links is passed on. A component of more than ``TILE`` sets is dealt in
    tiles, each of two blocks, so none is held in one place.
@@ -38,6 +39,7 @@ KEYS = 16
 RADIUS, WIDE = 64, 80
 FEW, TINY = 64, 24
 TILE = 1024
+BUCKET_ROWS = 2048
 COLUMNS = 4096
 
 
@@ -137,11 +139,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def dealt_buckets(sets: DataFrame) -> DataFrame:
+    """key, set, n, pos, fp: a row for each of a set's hashes; a hash of over ``BUCKET_ROWS`` sets is dealt in tiles.
+
+    Such a hash's sets fall in blocks, and every two blocks meet in a tile with a key of its own, so no task holds more of them than
+    two blocks.
+    """
+    spread = sets.select("set", "n", "fp", F.posexplode("keys").alias("pos", "key"))
+    crowded = written(spread.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS))  # its files' size decides how it is joined
+    blocks = F.ceil(F.col("count") / BUCKET_ROWS).cast("int")
+    placed = spread.join(crowded, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least("block", other), F.greatest("block", other)))
+    keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(tiles)
+    return placed.select(F.explode(keys).alias("key"), "set", "n", "pos", "fp")
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """Pairs a, b of different sets that may be similar: enough of them to connect all that may be."""
-    sets = found.select("set", "n", "fp", "keys").dropDuplicates(["set"])
-    spread = sets.select("set", "n", "fp", F.posexplode("keys").alias("pos", "key")).select("key", "set", "n", "pos", "fp")
-    return spread.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a bigint, b bigint").distinct()
+    sets = written(found.select("set", "n", "fp", "keys").dropDuplicates(["set"]))
+    return dealt_buckets(sets).repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
