@@ -60,29 +60,6 @@ def test_near_copy_far_apart_in_fingerprints(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("rows", [3, 40])
-def test_crowded_buckets_equal_brute_force(spark, monkeypatch, rows):
-    """Tiny limits: most hashes of these copies are crowded."""
-    monkeypatch.setattr(near_copies, "BUCKET_ROWS", rows)
-    rnd = random.Random(3)
-    vocab = ["w%d" % i for i in range(2000)]
-    passage = [rnd.choice(vocab) for _ in range(40)]
-    docs = []
-    for i in range(160):
-        own = passage + [rnd.choice(vocab) for _ in range(rnd.randint(0, 14))]
-        docs.append((i, " ".join(own if i % 3 else [rnd.choice(vocab) for _ in range(30)] + own)))
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert sorted(r["doc_id"] for r in near_copies.keep_one(frame).collect()) == plain_kept(docs)
-
-
-def test_a_hash_of_thousands_of_sets_is_dealt_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "BUCKET_ROWS", 300)
-    sets = spark.range(5000).selectExpr("id AS set", "100L AS n", "cast('f' AS binary) AS fp", "array(7L, id + 100) AS keys")
-    sizes = near_copies.dealt_buckets(sets).groupBy("key").count().collect()
-    crowded = [r["count"] for r in sizes if r["count"] > 1]
-    assert len(crowded) == 17 * 18 // 2 and max(crowded) < 3 * 300 and sum(crowded) == 17 * 5000 and len(sizes) == 5000 + len(crowded)
-
-
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.drop_near_duplicates(spark, frame, "").count() == 0
