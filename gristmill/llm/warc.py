@@ -5,7 +5,8 @@ place for a member if its header decodes and its data begin with a WARC version
 range to the end, beyond the range if need be; what starts before belongs to the range before. So a large file is read by many
 tasks, each byte about once, and a lost executor costs its ranges only. The writer names its files after attempts and moves them
 to their place when the job commits, so repeated tasks leave nothing behind; it compresses a member anew where the magic stands inside it,
-so no place within its own members can be taken for a start.
+with a filler in the record's header where the checksum and length in the gzip trailer form the magic, so no place within its own
+members can be taken for a start.
 
 Files are opened with pyarrow's file systems, so archives lie where these reach: local or mounted folders, HDFS, S3, GCS, ABFS.
 
@@ -40,6 +41,7 @@ READ_BYTES = 1 << 20
 PIECE_BYTES = 16 << 10
 BATCH_BYTES = 8 << 20
 STAGING = "_temporary"
+FILLERS = 64
 HTTP = "application/http; msgtype=response"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
@@ -68,8 +70,11 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_of(record_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
-    """A response record, or a revisit of ``refers_to`` that keeps the HTTP header alone. The header tells the whole payload's length."""
+def record_of(record_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str, filler: int = 0) -> bytes:
+    """A response record, or a revisit of ``refers_to`` that keeps the HTTP header alone. The header tells the whole payload's length.
+
+    ``filler`` puts a field of its own, so many characters long, into the record's header.
+    """
     http = _header([("Content-Type", "text/html; charset=UTF-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
     block = http if refers_to else http + payload
     fields = [("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date)]
@@ -77,10 +82,22 @@ def record_of(record_id: str, url: str | None, payload: bytes, refers_to: str |
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to:
         fields += [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", PROFILE)]
+    if filler:
+        fields.append(("X-Filler", "x" * filler))
     fields += [("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("Content-Type", HTTP), ("Content-Length", str(len(block)))]
     return _header(fields) + block + b"\r\n\r\n"
 
 
+def member_of(record_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str, level: int = 6) -> bytes:
+    """The record's member. A gzip trailer (checksum and length) can hold the magic at every level: then a filler changes both."""
+    for filler in range(FILLERS):
+        try:
+            return deflated(record_of(record_id, url, payload, refers_to, date, filler), level)
+        except ValueError:
+            if filler == FILLERS - 1:
+                raise
+
+
 def _fields(head: bytes) -> dict[str, str]:
     """The fields of a header, names in lower case; a line that begins with a blank goes on with the field before."""
     lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").splitlines()[1:]
@@ -263,7 +280,7 @@ class _Writer(DataSourceArrowWriter):
                         info = b"software: gristmill\r\nformat: WARC File Format 1.1\r\n"
                         size = out.write(deflated(_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", self.date), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(info)))]) + info + b"\r\n\r\n"))
                     payload = r["payload"] or b""
-                    size += out.write(deflated(record_of(r["record_id"], r["url"], payload, r["refers_to"], self.date), self.level))
+                    size += out.write(member_of(r["record_id"], r["url"], payload, r["refers_to"], self.date, self.level))
         finally:
             if out is not None:
                 out.close()

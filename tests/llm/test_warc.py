@@ -4,6 +4,7 @@ import hashlib
 import io
 import os
 import random
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -76,6 +77,27 @@ def test_members_never_hold_the_magic():
         assert member.find(warc.MAGIC, 1) < 0 and gzip.decompress(member) == body
 
 
+def test_trailers_that_form_the_magic(spark, tmp_path):
+    """A checksum that ends in 1f before a length of 8b 08: no level helps, and the record is written all the same."""
+    date, rows, k = "1970-01-01T00:00:00Z", [], 0
+    while len(rows) < 2:
+        url = "u%06d" % k
+        size = len(warc.record_of("urn:page:%d" % len(rows), url, b"0" * 1000, None, date))
+        html = "x%06d" % k + "y" * (1000 - 7 + 0x088B - size)
+        record = warc.record_of("urn:page:%d" % len(rows), url, html.encode(), None, date)
+        assert len(record) == 0x088B
+        if zlib.crc32(record) >> 24 == 0x1F:
+            with pytest.raises(ValueError):
+                warc.deflated(record)
+            rows.append((len(rows), url, html))
+        k += 1
+    path = f"{tmp_path}/w"
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    for split in ("50", "100000000"):
+        got = sorted((r["record_id"], r["url"], r["payload"].decode()) for r in warc.read_records(spark, path, splitBytes=split).collect())
+        assert got == [(f"urn:page:{i}", u, h) for i, u, h in rows]
+
+
 def test_foreign_archives(spark, tmp_path):
     """Several records in a member, folded header lines, other record types, bare blocks, no digest."""
     text = b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nGET\r\n\r\n" + b"WARC/1.0\r\nwarc-type:  Response\r\nWARC-Record-ID: <urn:a>\r\nWARC-Target-URI: http://x/\r\n  y\r\nContent-Type: text/dns\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
