@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from gristmill.functions import tables
-from gristmill.functions.html import html_blocks, links_of
+from gristmill.functions.html import html_blocks, links_of, title_of
 from gristmill.functions.splitting import recursive_split
 from gristmill.operators import pages as pg
 from gristmill.sources import files
@@ -20,6 +20,11 @@ def test_links_of_parsed_pages():
     assert links_of('<base href="/deep/"><a href="k">k</a>', "https://h.org/") == ["https://h.org/deep/k"] and links_of(None, None) == []
 
 
+def test_titles_decode_whole_references():
+    titles = {"cut&amp;&amp": "cut&&amp", "a&am": "a&am", "&lt;b&gt; &#65;&#x42; &eacute;": "<b> AB é", "R&D &copy 1 &nosuch; &notit;": "R&D &copy 1 &nosuch; &notit;", "x & y&": "x & y&"}
+    assert {t: title_of(f"<html><head><title>{t}</title></head><p>&amp</p>") for t in titles} == titles and title_of(None) == ""
+
+
 def test_crawl_stays_on_its_host(spark):
     p = pages(
         spark,
