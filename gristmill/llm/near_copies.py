@@ -1,11 +1,12 @@
 """Near copies by word shingles: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-SimHash balls cannot serve this bound: at similarity 0.8 two 64-bit fingerprints differ in ten bits on average, and balls wide
-enough to meet hold nearly all pairs. So a text is found by the smallest XXH64 values of its shingles instead, and fingerprints
-only thin out the pairs that collide:
+Candidates come from two sides, and whatever they find is verified on all shingles. ``simhash``'s meet-in-the-middle ball hashing links
+64-bit fingerprints of the sets that differ in three bits at most. These balls alone cannot serve the bound: at similarity 0.8 two
+fingerprints differ in ten bits on average, and balls wide enough to meet hold nearly all pairs. So what lies farther apart meets in
+the smallest XXH64 values of its shingles, and wider fingerprints only thin out the pairs that collide:
 
-1. Equal shingle sets are one set from here on, named by the XXH64 of their sorted hashes.
-2. A set of n shingles emits its ``KEYS`` smallest hashes, fewer if n - ceil(0.8 n) + 1 are fewer: no similar pair's first
+1. Equal shingle sets are one set from here on, named by the XXH64 of their sorted hashes. Their 64-bit fingerprints link by balls.
+2. Besides, a set of n shingles emits its ``KEYS`` smallest hashes, fewer if n - ceil(0.8 n) + 1 are fewer: no similar pair's first
    common hash lies behind that many. In a similar pair at least 0.8 of the union is common, so the chance that none of the
    union's ``KEYS`` smallest hashes is common is at most 0.2 ** KEYS (7e-12); shorter sets are met with certainty.
 3. Pairs that share a hash are candidates if sizes allow the similarity, if the hash can be among the union's ``KEYS`` smallest,
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches, written
 from .simhash import SEED, shingle_hashes, star_components
+from .simhash import links as ball_links
 
 SIZE = 5
 KEYS = 16
@@ -72,7 +74,7 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, set (digest of the shingle set), n, fp and keys of every document."""
+    """doc_id, set (digest of the shingle set), n, fp, its first 64 bits and keys of every document."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -85,10 +87,10 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 sizes.append(len(own))
                 fps.append(wide_fingerprint(own))
                 keys.append(own[: prefix_length(len(own))].view(np.int64))
-            columns = [batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "n", "fp", "keys"])
+            columns = [batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(np.frombuffer(b"".join(fps), "<i8")[::4]), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "n", "fp", "fp64", "keys"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, set bigint, n bigint, fp binary, keys array<bigint>")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, set bigint, n bigint, fp binary, fp64 bigint, keys array<bigint>")
 
 
 def bucket_forest(sets: np.ndarray, n: np.ndarray, pos: np.ndarray, fps: np.ndarray) -> np.ndarray:
@@ -137,11 +139,26 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def ball_pairs(found: DataFrame) -> DataFrame:
+    """Pairs a, b that connect all different sets whose 64-bit fingerprints differ in at most three bits."""
+    sets = found.select("set", F.col("fp64").alias("fp")).distinct()
+    firsts = sets.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("times"))
+    same = sets.join(firsts.filter("times > 1"), "fp").filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    named = firsts.select("fp", "first")
+    near = ball_links(firsts).join(named.toDF("a", "left"), "a").join(named.toDF("b", "right"), "b")
+    return near.select(F.col("left").alias("a"), F.col("right").alias("b")).union(same)
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """Pairs a, b of different sets that may be similar: enough of them to connect all that may be."""
+    return ball_pairs(found).union(key_pairs(found)).distinct()
+
+
+def key_pairs(found: DataFrame) -> DataFrame:
+    """Pairs a, b of different sets that meet in one of their smallest hashes."""
     sets = found.select("set", "n", "fp", "keys").dropDuplicates(["set"])
     spread = sets.select("set", "n", "fp", F.posexplode("keys").alias("pos", "key")).select("key", "set", "n", "pos", "fp")
-    return spread.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a bigint, b bigint").distinct()
+    return spread.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pairs, "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,12 +192,11 @@ def tile_forest(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> l
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
         common += part @ part.T
-    total = sizes[:, None] + sizes[None, :]
-    linked = 5 * common.astype(np.int64) >= 4 * (total - common.astype(np.int64))
     label, out = np.arange(len(sets)), []
     whole = bool(left.all())
     for i in np.flatnonzero(left).tolist():
-        j = np.flatnonzero(linked[i] & (label != label[i]) & (True if whole else ~left))
+        linked = 9 * common[i].astype(np.int64) >= 4 * (sizes[i] + sizes)  # 5 c >= 4 (total - c), a row at a time
+        j = np.flatnonzero(linked & (label != label[i]) & (True if whole else ~left))
         if len(j):
             others, at = np.unique(label[j], return_index=True)
             out += [(names[i], names[k]) for k in j[at].tolist()]

@@ -60,6 +60,21 @@ def test_near_copy_far_apart_in_fingerprints(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 3]
 
 
+def test_ball_hashing_finds_copies_without_the_smallest_hashes(spark, monkeypatch):
+    """The stage's SimHash balls alone link what differs in three bits, and links are verified."""
+    monkeypatch.setattr(near_copies, "_pairs", lambda batches: iter(()))
+    rnd = random.Random(3)
+    docs = []
+    for i in range(40):
+        body = ["w%d" % rnd.randrange(5000) for _ in range(400)]
+        docs += [(3 * i, " ".join(body)), (3 * i + 1, " ".join(body + ["tail"])), (3 * i + 2, " ".join(reversed(body)))]
+    fps = {d: int(np.frombuffer(near_copies.wide_fingerprint(near_copies.shingle_set(t)), "<u8")[0]) for d, t in docs}
+    close = [3 * i + 1 for i in range(40) if (fps[3 * i] ^ fps[3 * i + 1]).bit_count() <= 3]
+    assert len(close) > 20
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(frame).collect()) == [d for d, _ in docs if d not in close]
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.drop_near_duplicates(spark, frame, "").count() == 0
