@@ -105,7 +105,8 @@ def card_list(spark, sf_dir):
 
 def name_lists(spark, sf_dir):
     items = F.filter(F.transform(F.split("text", r"[.,\n]"), tx.strip), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.is_name_list(items).alias("name_list"), F.size(tx.adjacent_distinct(items)).alias("items"))
+    d = table(spark, sf_dir, "documents").select("doc_id", items.alias("items"))
+    return d.select("doc_id", tx.is_name_list("items").alias("name_list"), F.size(tx.adjacent_distinct("items")).alias("items"))
 
 
 QUERIES = {f.__name__: f for f in (adaptive_chunks, chunk_ids, greedy_pack, merge_tiny, hierarchy_children, hierarchy_parents, hierarchy_leaves, html_title, html_text, html_sections, flat_sections, crawl_frontier, crawl_same_host, split_in_sql, blocks_in_sql, card_list, name_lists)}

@@ -1,6 +1,7 @@
 """Literal rows for the algorithms that the tables don't exercise."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -213,3 +214,11 @@ def test_small_column_functions(spark):
         chat.load_ids(F.col("ids")).alias("ids"), chat.load_ids(F.lit("oops")).alias("bad"), chat.dump_ids(chat.load_ids(F.col("ids"))).alias("dumped"), tx.nfkc("k").alias("k"), tx.percent_text(F.lit(0.1234)).alias("p"),
     ).first()
     assert tuple(row) == ("ta", "hi", "en", "in", True, 12.5**0.5, True, ["a", "b"], [], '["a","b"]', "fin", "12.3%")
+
+
+def test_adjacent_distinct_takes_time_in_proportion(spark):
+    made = spark.range(1).select(F.split(F.repeat(F.lit("b,B,a,"), 10_000), ",").alias("t"))
+    started = time.monotonic()
+    assert made.select(F.size(tx.adjacent_distinct(F.transform("t", tx.strip)))).first()[0] == 20_001 and time.monotonic() - started < 60
+    rows = [([],), (["A"],), (["a", "A", "b", "a"],), (None,), ([None, "a", None],)]
+    assert of(spark, rows, "t array<string>", tx.adjacent_distinct("t")) == [[], ["A"], ["a", "b", "a"], None, [None]]
