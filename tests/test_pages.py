@@ -1,9 +1,12 @@
 import os
+import tracemalloc
+
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
 from gristmill.functions import tables
-from gristmill.functions.html import html_blocks, links_of, title_of
+from gristmill.functions.html import blocks_of, blocks_of_batch, html_blocks, links_of, title_of
 from gristmill.functions.splitting import recursive_split
 from gristmill.operators import pages as pg
 from gristmill.sources import files
@@ -20,6 +23,20 @@ def test_links_of_parsed_pages():
     assert links_of('<base href="/deep/"><a href="k">k</a>', "https://h.org/") == ["https://h.org/deep/k"] and links_of(None, None) == []
 
 
+def test_blocks_of_a_batch_stay_compact():
+    """Python objects of a few pages at a time, whatever the size of the batch."""
+    html = "<div><h1>h</h1>" + "<p>some <a href='x'>text</a></p>" * 40 + "</div>"
+    peaks = []
+    for n in (300, 3000):
+        h, u = pa.array([html] * (n - 1) + [None]), pa.array(["http://h/"] * n)
+        tracemalloc.start()
+        found = blocks_of_batch(h, u)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == n and found[0].as_py() == blocks_of(html, "http://h/") and found[n - 1].as_py() == []
+    assert peaks[1] < 2 * peaks[0]
+
+
 def test_titles_decode_whole_references():
     titles = {"cut&amp;&amp": "cut&&amp", "a&am": "a&am", "&lt;b&gt; &#65;&#x42; &eacute;": "<b> AB é", "R&D &copy 1 &nosuch; &notit;": "R&D &copy 1 &nosuch; &notit;", "x & y&": "x & y&"}
     assert {t: title_of(f"<html><head><title>{t}</title></head><p>&amp</p>") for t in titles} == titles and title_of(None) == ""
