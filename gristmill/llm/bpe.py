@@ -27,16 +27,18 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, small_batches
+from .common import small_batches
 
 PIECES_KEPT = 150_000
 AT_ONCE = 4096
-TEXT_AT_ONCE = 1 << 18
+TEXT_AT_ONCE = 1 << 21
 _CUT = re.compile(r" (?=[^\s\x85\xa0\x1c-\x1f])")
-_WIDE = re.compile(r" [\s\x85\xa0\x1c-\x1f]| $")
+#: A space before a blank or the end, as RE2 writes Python's blanks.
+_WIDE = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ID = attrgetter("id")
@@ -152,61 +154,94 @@ class Codec:
         cls._loaded[path].pieces_kept = pieces_kept
         return cls._loaded[path]
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces whose concatenation, with one space between any two, is the text."""
-        return _CUT.split(text) if _WIDE.search(text) else text.split(" ")
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers.
+        """Ids of each text as little-endian 32-bit integers."""
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        starts = np.append(0, ends[:-1])
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another and where each text's ids end; null reads as empty."""
+        texts = pc.fill_null(texts, "")
+        group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_AT_ONCE
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        ids, ends, before = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if a < b:
+                own, own_ends = self._encode_group(texts[a:b])
+                ids.append(own)
+                ends.append(own_ends + before)
+                before += len(own)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Arrow cuts the texts and numbers their distinct pieces; the table is asked once for each of these, the ids are gathered by number.
 
         A text's first piece has no space before it and is kept under a leading NUL; texts that hold a NUL or an added token bypass the table.
+        Texts with a space before another blank are cut by the regular expression.
         """
-        out = []
-        for group in in_chunks(texts, len, TEXT_AT_ONCE):
-            split = []
-            met: set[str] = set()
-            for text in group:
-                if "\0" in text or any(t in text for t in self.added):
-                    split.append(None)
-                    continue
-                pieces = self.cut(text)
-                pieces[0] = "\0" + pieces[0]
-                split.append(pieces)
-                met.update(pieces)
-            find = self._ids_of(met).__getitem__
-            out += [self._apart(text) if pieces is None else b"".join(map(find, pieces)) for text, pieces in zip(group, split, strict=True)]
-        return out
-
-    def _ids_of(self, met: set[str]) -> dict[str, bytes]:
-        """The ids of these pieces: a small table of their own, quick to look up; the large one is asked once for each."""
+        apart = np.zeros(len(texts), bool)
+        for mark in ("\0", *self.added):
+            apart |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        odd = apart | pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        heads = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        words = lists.flatten()
+        numbered = words.dictionary_encode()
+        number = numbered.indices.to_numpy().astype(np.int64)
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number[heads] = len(pieces) + np.arange(len(heads))
+        pieces += ["\0" + p for p in words.take(pa.array(heads)).to_pylist()]
+        raw = self._ids_of(pieces)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        at, size = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ends = np.cumsum(size)
+        place = np.repeat(at - ends + size, size)
+        place += np.arange(len(place))
+        found = np.frombuffer(b"".join(raw), np.int32)[place]
+        last = ends[np.append(heads[1:], len(words)) - 1] if len(heads) else ends
+        if not odd.any():
+            return found, last
+        rest = [self._apart(t) if by else self._cut_apart(t) for t, by in zip(texts.filter(pa.array(odd)).to_pylist(), apart[odd].tolist(), strict=True)]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~odd] = np.diff(last, prepend=0)
+        sizes[odd] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        whole, by_table = np.empty(sizes.sum(), np.int32), np.repeat(~odd, sizes)
+        whole[by_table] = found
+        whole[~by_table] = np.frombuffer(b"".join(rest), np.int32)
+        return whole, np.cumsum(sizes)
+
+    def _cut_apart(self, text: str) -> bytes:
+        first, *rest = _CUT.split(text)
+        return b"".join(self._ids_of(["\0" + first, *rest]))
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of these pieces by the table; what it doesn't hold is encoded."""
         if len(self.young) > self.pieces_kept:
             self.old, self.young = self.young, {}
         young, take = self.young, self.old.pop
-        pieces = list(met)
-        own = dict(zip(pieces, map(young.get, pieces), strict=True))
-        whole: list[str] = []
+        found = list(map(young.get, pieces))
+        whole: dict[str, list[int]] = {}
         tokenize, space = self.tokenize, _SHOWN[0x20]
-        for piece in [p for p, ids in own.items() if ids is None]:
-            ids = take(piece, None)
+        for at in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[at]
+            ids = take(piece, None) or young.get(piece)
             if ids is None:
-                if tokenize is None:
-                    whole.append(piece)
-                    continue
-                if piece.isalpha() and piece.isascii():
+                if tokenize is not None and piece.isalpha() and piece.isascii():
                     ids = array("I", map(_ID, tokenize(space + piece))).tobytes()
-                else:
-                    ids = self._alone(piece)
-                    if ids is None:
-                        whole.append(piece)
-                        continue
-            own[piece] = young[piece] = ids
-        for i in range(0, len(whole), AT_ONCE):
-            part = whole[i : i + AT_ONCE]
+                elif tokenize is None or (ids := self._alone(piece)) is None:
+                    whole.setdefault(piece, []).append(at)
+                    continue
+            found[at] = young[piece] = ids
+        new = list(whole)
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
             real = [p[1:] if p[:1] == "\0" else " " + p for p in part]
             for key, e in zip(part, self.tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
-                own[key] = young[key] = array("I", e.ids).tobytes()
-        return own
+                young[key] = ids = array("I", e.ids).tobytes()
+                for at in whole[key]:
+                    found[at] = ids
+        return found
 
     def _alone(self, piece: str) -> bytes | None:
         """Ids of a piece of plain letters, marks and single line breaks: the model is asked for each run. None for other pieces."""
@@ -237,17 +272,21 @@ class Codec:
     def _apart(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = self.cut(text)
+        first, *rest = _CUT.split(text)
         parts = [first, *(" " + p for p in rest)]
         return b"".join(np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
 
 
-def id_array(raw: list[bytes]) -> pa.Array:
-    """Lists of ids from their bytes, without a copy into Python integers."""
-    sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    values = np.frombuffer(b"".join(raw), np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+def id_lists(ids: np.ndarray, ends: np.ndarray, tail: int | None = None) -> pa.Array:
+    """Lists of ids that end at ``ends``, each with ``tail`` behind it if given, without a copy into Python integers."""
+    if tail is not None:
+        own = np.ones(len(ids) + len(ends), bool)
+        ends = ends + np.arange(1, len(ends) + 1)
+        own[ends - 1] = False
+        whole = np.full(len(own), tail, np.int32)
+        whole[own] = ids
+        ids = whole
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids", append: int | None = None, offsets: bool = False, running: str | None = None, pieces_kept: int = PIECES_KEPT) -> DataFrame:
@@ -259,7 +298,6 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text] if keep is None else keep
-    tail = b"" if append is None else int(append).to_bytes(4, "little")
     extra = [f"{ids}_start", f"{ids}_end"] if offsets else []
     counted = [running] if running else []
     slim = docs.select(*kept, docs[text].alias("__text"))
@@ -267,16 +305,17 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, before = Codec.load(vocabulary, pieces_kept), 0
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
-            raw = codec.encode(texts)
-            columns = [id_array([r + tail for r in raw] if tail else raw)]
+            texts = batch.column(len(kept))
+            found, ends = codec.encode_column(texts)
+            columns = [id_lists(found, ends, append)]
             if offsets:
-                spans = [Decoder.load(vocabulary).offsets(np.frombuffer(r, "<u4"), t.encode()) for r, t in zip(raw, texts, strict=True)]
-                columns += [id_array([s[i].astype("<i4").tobytes() for s in spans]) for i in (0, 1)]
+                starts = np.append(0, ends[:-1]).tolist()
+                spans = [Decoder.load(vocabulary).offsets(found[a:b], (t or "").encode()) for a, b, t in zip(starts, ends.tolist(), texts.to_pylist(), strict=True)]
+                columns += [id_lists(np.concatenate([s[i] for s in spans]) if spans else found, ends) for i in (0, 1)]
             if running:
-                ends = before + columns[0].offsets.to_numpy().astype(np.int64)
-                columns.append(pa.array(ends[:-1]))
-                before = int(ends[-1])
+                places = before + columns[0].offsets.to_numpy().astype(np.int64)
+                columns.append(pa.array(places[:-1]))
+                before = int(places[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*batch.schema.names[: len(kept)], ids, *extra, *counted])
 
     kept_ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(kept)]]

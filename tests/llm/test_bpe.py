@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -102,3 +103,17 @@ def test_query_rows(spark, tmp_path, multi):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert query_bpe.query(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_ask_the_table_once_for_each_piece(monkeypatch):
+    """Ids gathered by number: 1.2 MB of texts of few words, some with blanks in a row, an end mark or NUL, nulls and slices between."""
+    codec = bpe.Codec(P.path("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [f"w{i} plain, words. " * 1000 + f"end{i}" for i in range(60)] + [None, "", "two  blanks  x", "em  x", "a <|endoftext|> b", "\0 x", "odd "]
+    asked, real = [], codec._ids_of
+    monkeypatch.setattr(codec, "_ids_of", lambda pieces: asked.append(len(pieces)) or real(pieces))
+    ids, ends = codec.encode_column(pa.array(["left out", *texts])[1:])
+    assert sum(asked) < 300
+    own = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for t in own for i in t] and ends.tolist() == np.cumsum([len(t) for t in own]).tolist()
+    assert bpe.id_lists(ids, ends, 7).to_pylist() == [[*t, 7] for t in own]
