@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 NEW, UNCHANGED, MODIFIED = "new", "unchanged", "modified"
 
 
-def detect(pages: DataFrame, history: DataFrame, text: str = "content") -> DataFrame:
-    """url, content_hash, change and the chunk ids to delete of every fetched page (one row a url)."""
-    now = pages.select("url", F.sha2(text, 256).alias("content_hash"))
+def detect(pages: DataFrame, history: DataFrame, text: str = "content", hashed: bool = False) -> DataFrame:
+    """url, content_hash, change and the chunk ids to delete of every fetched page (one row a url); ``hashed`` pages bring content_hash instead of a text."""
+    now = pages.select("url", "content_hash" if hashed else F.sha2(text, 256).alias("content_hash"))
     old = history.select("url", F.col("content_hash").alias("old_hash"), F.col("chunk_ids").alias("old_chunk_ids"))
     change = F.when(F.col("old_hash").isNull(), NEW).when(F.col("old_hash") == F.col("content_hash"), UNCHANGED).otherwise(MODIFIED)
     stale = F.when(F.col("change") == MODIFIED, F.col("old_chunk_ids")).otherwise(F.array().cast("array<string>"))

@@ -53,14 +53,12 @@ def _fetched(docs, round_):
 
 def refresh_runs(spark, sf_dir):
     """Two runs over all documents as pages: one page is new in the second, every fifth has changed."""
-    docs = table(spark, sf_dir, "documents")
+    docs = f"{sf_dir.rstrip('/')}/document[s].parquet"  # a pattern: a stream takes a single file by nothing else
     path = _path(spark, "refresh")
     store = refresh.open_store(spark, f"{path}/store")
     for round_ in (1, 2):
-        pages = _fetched(docs, round_)
-        pages.write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/in")
-        refresh.refresh_available(stream, store, f"{path}/checkpoint", f"2024-01-0{round_} 00:00:00")
+        stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 1000).parquet(docs)
+        refresh.refresh_available(_fetched(stream, round_), store, f"{path}/checkpoint-{round_}", f"2024-01-0{round_} 00:00:00", source=f"round {round_}")
     chunks = store.read("chunks").groupBy("url").agg(F.array_sort(F.collect_list("chunk_id")).alias("stored"))
     same = F.array_sort(F.array_distinct("chunk_ids")) == F.coalesce("stored", F.array().cast("array<string>"))
     return store.read("history").join(chunks, "url", "left").select("url", "content_hash", "scrape_count", F.day("last_changed").alias("changed_in"), same.alias("chunks_agree"), "status")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import few
+
 BUCKETS = 64
 
 
@@ -88,28 +90,43 @@ class BucketStore:
     def _numbered(self, rows: DataFrame, by: list[str]) -> DataFrame:
         return rows.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(self.buckets)).cast("int"))
 
-    def stage(self, table: str, rows: DataFrame | None = None, gone: DataFrame | None = None, on: list[str] | None = None, at: Manifest | None = None) -> Staged:
+    def read_staged(self, staged: Staged, at: Manifest) -> DataFrame:
+        """The rewritten buckets of a table before they are committed."""
+        schema = StructType.fromJson(at.tables[staged.table]["schema"])
+        folders = [f"{self.path}/{f}" for f in staged.folders.values()]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def stage(self, table: str, rows: DataFrame | None = None, gone: DataFrame | None = None, on: list[str] | None = None, at: Manifest | None = None, within: bool = False) -> Staged:
         """Rewrite the buckets of ``rows`` and ``gone``: old rows with the key of a new one, or that match ``gone`` on ``on``, make way for ``rows``.
 
-        ``rows`` has one row a key; ``on`` holds the columns that the table is dealt by, so that ``gone`` finds its buckets.
+        ``rows`` has one row a key; ``on`` holds the columns that the table is dealt by, so that ``gone`` finds its buckets. ``within`` says
+        that all ``rows`` stand for something in ``gone``: then ``gone`` alone tells what makes way, and ``rows`` are evaluated once.
+        Old rows are shuffled only where too many keys make way to be broadcast; else they stay in the files' order.
         """
         at = at or self.manifest()
         own = at.tables[table]
         key, by = own["key"], own["by"]
         if gone is not None and not set(by) <= set(on or []):
             raise ValueError(f"{table} is dealt by {by}: what goes must be named by these columns")
-        parts = [self._numbered(x, by).select("__bucket") for x in (rows, gone) if x is not None]
+        if within and gone is None:
+            raise ValueError("rows within what goes need what goes")
+        parts = [self._numbered(x, by).select("__bucket") for x in (None if within else rows, gone) if x is not None]
         touched = sorted(r[0] for r in (parts[0].union(parts[1]) if len(parts) > 1 else parts[0]).distinct().collect())
-        left = self.read(table, touched, at)
-        if gone is not None:
-            left = left.join(gone.select(*on).distinct(), on, "left_anti")
-        if rows is not None:
-            left = left.join(rows.select(*key), key, "left_anti").unionByName(rows.select(left.columns))
-        folder = f"{table}/{at.version + 1:012d}-{uuid.uuid4().hex}"
         columns = StructType.fromJson(own["schema"]).names
-        dealt = self._numbered(left.select(*columns), by).repartition("__bucket")
-        if touched:
-            dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        new = None if rows is None else self._numbered(rows.select(*columns), by).repartition("__bucket")
+        if any(str(b) in own["folders"] for b in touched):
+            left, shuffled = self.read(table, touched, at), False
+            for keys, names in ((gone, on), (None if within else rows, key)):
+                if keys is not None:
+                    keys = keys.select(*names).distinct()
+                    light = few(keys)
+                    left, shuffled = left.join(F.broadcast(keys) if light else keys, names, "left_anti"), shuffled or not light
+            left = self._numbered(left.select(*columns), by)
+            left = left.repartition("__bucket") if shuffled else left
+            new = left if new is None else left.unionByName(new)
+        folder = f"{table}/{at.version + 1:012d}-{uuid.uuid4().hex}"
+        if touched and new is not None:
+            new.write.partitionBy("__bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         made = {n.removeprefix("__bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("__bucket=")}
         return Staged(table, touched, made)
 

@@ -1,9 +1,12 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.errors import PySparkException
 
+from gristmill import session
+from gristmill.session import shared_folder
 from gristmill.sources.buckets import BucketStore, Conflict
 from gristmill.streaming import refresh
 
@@ -118,3 +121,38 @@ def test_batches_are_applied_once(spark, tmp_path):
     assert refresh.apply_batch(store, batch, 0, "2024-01-01 00:00:00")
     assert not refresh.apply_batch(store, batch, 0, "2024-01-01 00:00:00")
     assert store.read("history").first()["scrape_count"] == 1
+
+
+def test_refresh_keeps_no_texts_between_its_steps(spark, tmp_path):
+    """Texts go from the batch into the store's buckets: what lies in the shared folder besides is a small part of them."""
+    rnd = random.Random(4)
+    rows = [(f"u{i}", " ".join(f"{rnd.getrandbits(60):x}" for _ in range(400)), "s", "law", None, dt.datetime(2024, 1, 1)) for i in range(120)]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/in")
+    store = refresh.open_store(spark, f"file://{tmp_path}/store", 4)
+    shared_folder(spark)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared) for f in names)
+
+    before = held()
+    refresh.apply_batch(store, spark.read.parquet(f"{tmp_path}/in"), 0, "2024-01-01 00:00:00")
+    assert store.read("history").count() == 120 and held() - before < sum(len(r[1]) for r in rows) / 5
+
+
+@pytest.mark.parametrize("limit", [0, 64, 64 << 20])
+def test_refresh_with_and_without_broadcasts(spark, tmp_path, monkeypatch, limit):
+    """Repeated, null, changed, blank and unchanged pages end alike, however many keys may be broadcast."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+    store = refresh.open_store(spark, f"file://{tmp_path}/store", 4)
+    one = [page("a", "one"), page("b", "two"), page("b", "zwei", 1), page("b", "drei", 1), page("c", "same"), page(None, "lost"), page("d", "goes")]
+    two = [page("a", "one", 2), page("b", "four", 2), page("c", "older", 1), page("c", "same", 2), ("d", None, "s", "law", None, None), page("e", "new", 2)]
+    for number, rows in enumerate((one, two)):
+        assert refresh.apply_batch(store, spark.createDataFrame(rows, PAGES), number, f"2024-01-0{number + 1} 00:00:00")
+    chunks, history = state(store)
+    assert {u: (n, len(ids) > 0) for u, _, n, ids, _ in history} == {"a": (2, True), "b": (2, True), "c": (2, True), "d": (2, False), "e": (1, True)}
+    assert sorted(c[0] for c in chunks) == sorted(i for _, _, _, ids, _ in history for i in ids)
+    assert {(c[1], c[3].split()[0]) for c in chunks} == {("a", "one"), ("b", "four"), ("c", "same"), ("e", "new")}
+    assert store.manifest().batches == {"pages": 1}
+    with pytest.raises(ValueError):
+        store.stage("chunks", store.read("chunks"), within=True)
